@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.columns import (by, clip, col, div, full, iso_week, last_rows, logret, pct_change,
                                          prior_rows, roll, so_far)
 from quantloom.functions.noise import gaussian
+from quantloom.functions.rolling import rolling, rolling_pairs
 from quantloom.operators.ranks import scaled_ranks, with_group_stats
 
 LN2 = math.log(2.0)
@@ -42,12 +43,8 @@ def lag_features(df: DataFrame, columns: Sequence[str], lags: Sequence[int], key
 def rolling_features(df: DataFrame, columns: Sequence[str], windows: Sequence[int], key: Sequence[str] = ("symbol",),
                      time: Sequence[str] = ("date",)) -> DataFrame:
     """Full-window rolling mean and sample deviation."""
-    out = {}
-    for c in columns:
-        for n in windows:
-            out[f"{c}_mean{n}"] = roll(F.avg, c, n, key, time)
-            out[f"{c}_std{n}"] = roll(F.stddev_samp, c, n, key, time)
-    return df.withColumns(out)
+    specs = {f"{c}_mean{n}": ("avg", c, n) for c in columns for n in windows}
+    return rolling(df, specs | {f"{c}_std{n}": ("std", c, n) for c in columns for n in windows}, key, time)
 
 
 def volatility(panel: DataFrame, windows: Sequence[int] = (5, 20, 60), range_window: int = 20, vov_window: int = 60) -> DataFrame:
@@ -55,12 +52,11 @@ def volatility(panel: DataFrame, windows: Sequence[int] = (5, 20, 60), range_win
     hl2 = F.pow(F.log(F.col("high") / F.col("low")), 2)
     gk = 0.5 * hl2 - (2 * LN2 - 1) * F.pow(F.log(F.col("close") / F.col("open")), 2)
     d = panel.withColumns({"_r1": logret("close", 1, by()), "_hl2": hl2, "_gk": clip(gk, 0.0)})
-    d = d.withColumns({f"realized_vol_{n}": roll(F.stddev_samp, "_r1", n) for n in windows} | {
-        f"parkinson_vol_{range_window}": F.sqrt(roll(F.avg, "_hl2", range_window) / (4 * LN2)),
-        f"garman_klass_vol_{range_window}": F.sqrt(roll(F.avg, "_gk", range_window))})
+    d = rolling(d, {f"realized_vol_{n}": ("std", "_r1", n) for n in windows} | {"_pk": ("avg", "_hl2", range_window), "_gm": ("avg", "_gk", range_window)})
+    d = d.withColumns({f"parkinson_vol_{range_window}": F.sqrt(F.col("_pk") / (4 * LN2)), f"garman_klass_vol_{range_window}": F.sqrt("_gm")})
     if 20 in windows:
-        d = d.withColumn(f"vol_of_vol_{vov_window}", roll(F.stddev_samp, "realized_vol_20", vov_window))
-    return d.drop("_r1", "_hl2", "_gk")
+        d = rolling(d, {f"vol_of_vol_{vov_window}": ("std", "realized_vol_20", vov_window)})
+    return d.drop("_r1", "_hl2", "_gk", "_pk", "_gm")
 
 
 def rolling_vol(panel: DataFrame, window: int, estimator: str, name: str = "vol") -> DataFrame:
@@ -68,13 +64,13 @@ def rolling_vol(panel: DataFrame, window: int, estimator: str, name: str = "vol"
     o, h, lo, c = (F.log(F.col(x)) for x in ("open", "high", "low", "close"))
     if estimator == "close_to_close":
         d = panel.withColumn("_x", logret("close", 1, by()))
-        return d.withColumn(name, roll(F.stddev_samp, "_x", window)).drop("_x")
+        return rolling(d, {name: ("std", "_x", window)}).drop("_x")
     if estimator == "parkinson":
         d = panel.withColumn("_x", F.pow(h - lo, 2))
-        return d.withColumn(name, F.sqrt(roll(F.avg, "_x", window) / (4 * LN2))).drop("_x")
+        return rolling(d, {"_m": ("avg", "_x", window)}).withColumn(name, F.sqrt(F.col("_m") / (4 * LN2))).drop("_x", "_m")
     if estimator == "rogers_satchell":
         d = panel.withColumn("_x", (h - c) * (h - o) + (lo - c) * (lo - o))
-        return d.withColumn(name, F.sqrt(clip(roll(F.avg, "_x", window), 0.0))).drop("_x")
+        return rolling(d, {"_m": ("avg", "_x", window)}).withColumn(name, F.sqrt(clip("_m", 0.0))).drop("_x", "_m")
     raise ValueError(f"unknown estimator {estimator!r}")
 
 
@@ -167,12 +163,9 @@ def past_only_ohlcv(panel: DataFrame, windows: Sequence[int] = (5, 20, 60), hori
         "open_close_return": div("close", "open") - 1.0, "log_return_1": logret("close", 1, w),
         "high_low_range": div(F.col("high") - F.col("low"), "close"), "dollar_volume": F.col("volume") * F.col("close"),
         "volume_change_1": pct_change("volume", 1, w)})
-    out = {}
     for n in windows:
-        least = max(2, min(n, 5))
-        out[f"realized_vol_{n}"] = roll(F.stddev_samp, "log_return_1", n, least=least)
-        out[f"return_{n}_mean"] = roll(F.avg, "return_1", n, least=least)
-    return horizon_labels(d.withColumns(out), horizons)
+        d = rolling(d, {f"realized_vol_{n}": ("std", "log_return_1", n), f"return_{n}_mean": ("avg", "return_1", n)}, least=max(2, min(n, 5)))
+    return horizon_labels(d, horizons)
 
 
 def minute_features(panel: DataFrame, horizon: int = 15, key: Sequence[str] = ("symbol",), time: Sequence[str] = ("date",)) -> DataFrame:
@@ -180,8 +173,8 @@ def minute_features(panel: DataFrame, horizon: int = 15, key: Sequence[str] = ("
     w = by(key, time)
     d = panel.withColumns({f"ret{n}": pct_change("close", n, w) for n in (1, 5, 15, 60)} | {
         "vwap_dev": div("close", "vwap") - 1.0, "log_volume": F.log1p("volume"), "log_count": F.log1p("count")})
-    return d.withColumns({"vol15": roll(F.stddev_samp, "ret1", 15, key, time), "vol60": roll(F.stddev_samp, "ret1", 60, key, time),
-                          "future_return": div(F.lead("close", horizon).over(w), "close") - 1.0})
+    d = rolling(d, {"vol15": ("std", "ret1", 15), "vol60": ("std", "ret1", 60)}, key, time)
+    return d.withColumn("future_return", div(F.lead("close", horizon).over(w), "close") - 1.0)
 
 
 CHARACTERISTICS = ("momentum_1m momentum_3m momentum_6m momentum_12m_skip_1m reversal_1d reversal_5d reversal_1m realized_vol_20 "
@@ -193,20 +186,17 @@ def characteristics(panel: DataFrame) -> DataFrame:
     """The nineteen price and volume characteristics of the cross-sectional model."""
     d = panel.withColumns({"log_ret": logret("close", 1, by()), "dollar_volume": F.col("close") * F.col("volume"),
                            "_loc": (F.col("close") - F.col("low")) / clip(F.col("high") - F.col("low"), 1e-9)})
-    d = d.withColumns({"_ill": div(F.abs("log_ret"), "dollar_volume"),
-                       **{f"_sum{n}": roll(F.sum, "log_ret", n) for n in (5, 21, 63, 126, 252)}})
+    d = rolling(d.withColumn("_ill", div(F.abs("log_ret"), "dollar_volume")), {
+        "momentum_1m": ("sum", "log_ret", 21), "momentum_3m": ("sum", "log_ret", 63), "momentum_6m": ("sum", "log_ret", 126),
+        "_sum252": ("sum", "log_ret", 252), "reversal_5d": ("sum", "log_ret", 5), "realized_vol_20": ("std", "log_ret", 20),
+        "realized_vol_60": ("std", "log_ret", 60), "dollar_volume_20d": ("avg", "dollar_volume", 20), "amihud_illiq_20": ("avg", "_ill", 20),
+        "max_daily_return_20": ("max", "log_ret", 20), "_hi60": ("max", "close", 60), "_hi252": ("max", "close", 252),
+        "_va": ("avg", "volume", 20), "_vs": ("std", "volume", 20), "close_location_20": ("avg", "_loc", 20)})
     d = d.withColumns({
-        "momentum_1m": F.col("_sum21"), "momentum_3m": F.col("_sum63"), "momentum_6m": F.col("_sum126"),
-        "momentum_12m_skip_1m": F.col("_sum252") - F.col("_sum21"), "reversal_1d": F.col("log_ret"),
-        "reversal_5d": F.col("_sum5"), "reversal_1m": F.col("_sum21"),
-        "realized_vol_20": roll(F.stddev_samp, "log_ret", 20), "realized_vol_60": roll(F.stddev_samp, "log_ret", 60),
-        "dollar_volume_20d": roll(F.avg, "dollar_volume", 20), "amihud_illiq_20": roll(F.avg, "_ill", 20),
-        "max_daily_return_20": roll(F.max, "log_ret", 20),
-        "drawdown_60": div("close", roll(F.max, "close", 60)) - 1.0, "drawdown_252": div("close", roll(F.max, "close", 252)) - 1.0,
-        "volume_shock_zscore_20": div(F.col("volume") - roll(F.avg, "volume", 20), roll(F.stddev_samp, "volume", 20)),
-        "close_location_20": roll(F.avg, "_loc", 20)})
-    d = market_beta(d.drop("_loc", "_ill", *[f"_sum{n}" for n in (5, 21, 63, 126, 252)]))
-    return d.drop("mkt_ret")
+        "momentum_12m_skip_1m": F.col("_sum252") - F.col("momentum_1m"), "reversal_1d": F.col("log_ret"), "reversal_1m": F.col("momentum_1m"),
+        "drawdown_60": div("close", "_hi60") - 1.0, "drawdown_252": div("close", "_hi252") - 1.0,
+        "volume_shock_zscore_20": div(F.col("volume") - F.col("_va"), "_vs")})
+    return market_beta(d.drop("_loc", "_ill", "_sum252", "_hi60", "_hi252", "_va", "_vs")).drop("mkt_ret")
 
 
 def market_beta(panel: DataFrame, spec: Sequence[tuple[int, int]] = ((60, 30), (252, 100)), idio: int = 60) -> DataFrame:
@@ -214,44 +204,45 @@ def market_beta(panel: DataFrame, spec: Sequence[tuple[int, int]] = ((60, 30), (
 
     The residual variance follows from the same moments: var(r) - beta * cov(r, m).
     """
-    w = by()
-    d = panel if "log_ret" in panel.columns else panel.withColumn("log_ret", logret("close", 1, w))
+    d = panel if "log_ret" in panel.columns else panel.withColumn("log_ret", logret("close", 1, by()))
     d = with_group_stats(d, ["date"], calendar_sized=True, mkt_ret=F.avg("log_ret"))
-    d = d.withColumns({"_m": F.when(F.col("log_ret").isNotNull(), F.col("mkt_ret")), "_i": F.row_number().over(w)})
+    d = rolling_pairs(d.withColumn("_i", F.row_number().over(by())), "log_ret", "mkt_ret", [n for n, _ in spec], shift=1)
     for n, least in spec:
-        o = prior_rows(n)
-        enough = (F.count("log_ret").over(o) >= least) & (F.col("_i") > n)
-        d = d.withColumn(f"beta_to_market_{n}", F.when(enough, div(F.covar_samp("log_ret", "_m").over(o), F.var_samp("_m").over(o))))
+        enough = (F.col(f"_pair_n_{n}") >= least) & (F.col("_i") > n)
+        d = d.withColumn(f"beta_to_market_{n}", F.when(enough, div(f"_pair_cov_{n}", f"_pair_vy_{n}")))
         if n == idio:
-            resid = F.var_samp("log_ret").over(o) - F.col(f"beta_to_market_{n}") * F.covar_samp("log_ret", "_m").over(o)
+            resid = F.col(f"_pair_vx_{n}") - F.col(f"beta_to_market_{n}") * F.col(f"_pair_cov_{n}")
             d = d.withColumn(f"idiosyncratic_vol_{n}", F.when(enough, F.sqrt(F.greatest(resid, F.lit(0.0)))))
-    return d.drop("_m", "_i")
+    return d.drop("_i", *[c for c in d.columns if c.startswith("_pair_")])
 
 
 def rolling_index_beta(df: DataFrame, y: str, x: str, window: int, key: Sequence[str] = ("symbol",), time: Sequence[str] = ("date",)) -> DataFrame:
     """Population covariance over sample variance, both on full windows."""
-    d = df.withColumn("_xy", F.col(x) * F.col(y))
-    cov = roll(F.avg, "_xy", window, key, time) - roll(F.avg, x, window, key, time) * roll(F.avg, y, window, key, time)
-    return d.withColumn("beta", div(cov, roll(F.var_samp, x, window, key, time))).drop("_xy")
+    d = rolling(df.withColumn("_xy", F.col(x) * F.col(y)), {"_a": ("avg", "_xy", window), "_ax": ("avg", x, window), "_ay": ("avg", y, window),
+                                                          "_vx": ("var", x, window)}, key, time)
+    return d.withColumn("beta", div(F.col("_a") - F.col("_ax") * F.col("_ay"), "_vx")).drop("_xy", "_a", "_ax", "_ay", "_vx")
 
 
 def trend_fingerprint(panel: DataFrame, windows: Sequence[int] = (20, 60, 120, 252)) -> DataFrame:
-    """OLS trend of the log close on time: direction, |slope|, R², and spikiness max|r|/sd of the window."""
+    """OLS trend of the log close on time: direction, |slope|, R², and spikiness max|r|/sd of the window.
+
+    Over n consecutive rows the time index has the fixed sum of squares n(n²-1)/12, so slope and R²
+    follow from running sums of y, y² and t·y.
+    """
     w = by()
-    d = panel.withColumns({"_t": F.row_number().over(w).cast("double"), "_lc": F.log("close"),
-                           "_r": F.coalesce(logret("close", 1, w), F.lit(0.0))})
-    stage = {}
+    d = panel.withColumns({"_t": F.row_number().over(w).cast("double"), "_lc": F.log("close"), "_r": F.coalesce(logret("close", 1, w), F.lit(0.0))})
+    d = d.withColumn("_ar", F.abs("_r"))
+    d = rolling_pairs(d, "_t", "_lc", windows)
+    d = rolling(d, {f"_sd{n}": ("std", "_r", n) for n in windows} | {f"_mx{n}": ("max", "_ar", n) for n in windows})
     for n in windows:
-        f = last_rows(n)
-        stage |= {f"_s{n}": full(n, F.regr_slope("_lc", "_t"), "_lc", f), f"_q{n}": full(n, F.regr_r2("_lc", "_t"), "_lc", f),
-                  f"_k{n}": F.when(F.count("_r").over(f) >= n, F.coalesce(div(F.max(F.abs("_r")).over(f), F.stddev_samp("_r").over(f)), F.lit(0.0)))}
-    d = d.withColumns(stage)
-    for n in windows:
-        ready = F.col(f"_s{n}").isNotNull()
-        d = d.withColumns({f"trend_direction_{n}": F.signum(f"_s{n}"), f"trend_strength_{n}": F.abs(f"_s{n}"),
-                           f"trend_linearity_r2_{n}": F.when(ready, clip(F.coalesce(f"_q{n}", F.lit(0.0)), 0.0, 1.0)),
-                           f"spikiness_{n}": F.col(f"_k{n}")}).drop(f"_s{n}", f"_q{n}", f"_k{n}")
-    return d.drop("_t", "_lc", "_r")
+        ready = F.col(f"_pair_n_{n}") >= n
+        tss = n * (n * n - 1) / 12.0 / (n - 1)
+        slope = F.col(f"_pair_cov_{n}") / tss
+        r2 = F.coalesce(div(slope * slope * tss, f"_pair_vy_{n}"), F.lit(0.0))
+        d = d.withColumns({f"trend_direction_{n}": F.when(ready, F.signum(slope)), f"trend_strength_{n}": F.when(ready, F.abs(slope)),
+                           f"trend_linearity_r2_{n}": F.when(ready, clip(r2, 0.0, 1.0)),
+                           f"spikiness_{n}": F.when(ready, F.coalesce(div(f"_mx{n}", f"_sd{n}"), F.lit(0.0)))})
+    return d.drop("_t", "_lc", "_r", "_ar", *[c for c in d.columns if c.startswith(("_pair_", "_sd", "_mx"))])
 
 
 def vwap_proxy(panel: DataFrame, window: int = 5) -> DataFrame:
@@ -264,13 +255,12 @@ def index_state_features(panel: DataFrame) -> DataFrame:
     """Single-index state features (annualised volatilities); rows with any incomplete window are dropped."""
     w, year = by(), math.sqrt(252.0)
     d = panel.withColumns({"log_return": logret("close", 1, w), "_rg": div(F.col("high") - F.col("low"), "close")})
-    out = {
-        "realized_vol_21": roll(F.stddev_samp, "log_return", 21) * year, "realized_vol_63": roll(F.stddev_samp, "log_return", 63) * year,
-        "drawdown_60": div("close", roll(F.max, "close", 60)) - 1.0, "drawdown_252": div("close", roll(F.max, "close", 252)) - 1.0,
-        "trend_slope_50": logret("close", 50, w) / 50.0, "trend_slope_200": logret("close", 200, w) / 200.0,
-        "range_pct_20": roll(F.avg, "_rg", 20),
-        "volume_zscore_20": (F.col("volume") - roll(F.avg, "volume", 20)) / clip(roll(F.stddev_samp, "volume", 20), 1e-9)}
-    return d.withColumns(out).select("symbol", "date", "log_return", *out).dropna()
+    d = rolling(d, {"_v21": ("std", "log_return", 21), "_v63": ("std", "log_return", 63), "_h60": ("max", "close", 60), "_h252": ("max", "close", 252),
+                    "range_pct_20": ("avg", "_rg", 20), "_va": ("avg", "volume", 20), "_vs": ("std", "volume", 20)})
+    out = {"realized_vol_21": F.col("_v21") * year, "realized_vol_63": F.col("_v63") * year, "drawdown_60": div("close", "_h60") - 1.0,
+           "drawdown_252": div("close", "_h252") - 1.0, "trend_slope_50": logret("close", 50, w) / 50.0, "trend_slope_200": logret("close", 200, w) / 200.0,
+           "volume_zscore_20": (F.col("volume") - F.col("_va")) / clip("_vs", 1e-9)}
+    return d.withColumns(out).select("symbol", "date", "log_return", "range_pct_20", *out).dropna()
 
 
 def meta_label_features(panel: DataFrame, lookback: int = 20, horizon: int = 5) -> DataFrame:
@@ -315,22 +305,26 @@ def ewma(df: DataFrame, x: str, span: float, name: str, key: Sequence[str] = ("s
 
 
 def ewmas(df: DataFrame, specs: dict[str, tuple[str, float]], key: Sequence[str] = ("symbol",), time: Sequence[str] = ("date",)) -> DataFrame:
-    """Several exponential means at once.
+    """Several exponential means at once, linear in the rows and without Python.
 
-    ``num_t = x_t + (1-a) num_{t-1}`` has the closed form ``(1-a)^t Σ x_i (1-a)^-i``, which overflows
-    on long series; a frame of the last ``m`` rows with (1-a)^m below 1e-17 gives the same double.
+    With k = 1-a the weighted sum is ``num_t = x_t + k num_{t-1}``.  The closed form of the recursion
+    scales by k^-i, which overflows on long series, so rows are cut into blocks of B rows with
+    k^B <= 1e-17: inside a block the scaled running sum is safe, and of the past only the value at
+    the end of the previous block still counts.  The sum of weights has a closed form.
     """
     w = by(key, time)
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-
-    def mean(x: str, span: float) -> Column:
+    d = df.withColumn("_i", F.row_number().over(w) - 1)
+    for name, (x, span) in specs.items():
         keep = 1.0 - 2.0 / (span + 1.0)
-        rows = max(2, math.ceil(math.log(1e-17) / math.log(keep)))
-        history = F.collect_list(F.col(x)).over(w.rowsBetween(-(rows - 1), 0))
-        return F.aggregate(history, zero, lambda a, v: F.struct((v + keep * a["n"]).alias("n"), (1.0 + keep * a["d"]).alias("d")),
-                           lambda a: div(a["n"], a["d"]))
-
-    return df.withColumns({name: mean(x, span) for name, (x, span) in specs.items()})
+        size = max(2, math.ceil(math.log(1e-17) / math.log(keep)))
+        pos = F.col("_i") % size
+        d = d.withColumns({"_b": F.floor(F.col("_i") / size), "_z": F.col(x) * F.pow(F.lit(keep), -pos)})
+        inside = F.sum("_z").over(W.partitionBy(*key, "_b").orderBy(*time).rowsBetween(W.unboundedPreceding, 0))
+        d = d.withColumn("_p", inside * F.pow(F.lit(keep), pos))
+        carry = F.last(F.when(pos == size - 1, F.col("_p")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+        weight = (1.0 - F.pow(F.lit(keep), F.col("_i") + 1)) / (1.0 - keep)
+        d = d.withColumn(name, (F.col("_p") + F.coalesce(carry, F.lit(0.0)) * F.pow(F.lit(keep), pos + 1)) / weight).drop("_b", "_z", "_p")
+    return d.drop("_i")
 
 
 def rolling_mad(df: DataFrame, x: str, n: int, name: str) -> DataFrame:
@@ -390,16 +384,17 @@ def variance_premium(dates: DataFrame, n: int = 21, key: Sequence[str] = ("symbo
     Needs ``close`` and ``vix``; ``vix9d``, ``vix3m``, ``vvix``, ``skew`` and ``vxn`` add their columns when present.
     """
     d = dates.withColumn("_r", logret("close", 1, by(key)))
-    d = d.withColumn("_r2", F.col("_r") * F.col("_r"))
-    d = d.withColumns({"realized_var_annual": roll(F.sum, "_r2", n, key) * (252.0 / n), "implied_var_annual": F.pow(F.col("vix") / 100.0, 2)})
+    d = rolling(d.withColumn("_r2", F.col("_r") * F.col("_r")), {"_s": ("sum", "_r2", n)}, key)
+    d = d.withColumns({"realized_var_annual": F.col("_s") * (252.0 / n), "implied_var_annual": F.pow(F.col("vix") / 100.0, 2)})
     d = d.withColumn("vrp", F.col("implied_var_annual") - F.col("realized_var_annual"))
     for source, name in {"vix9d": "term_9d_30d", "vix3m": "term_30d_3m", "vvix": "vvix_to_vix", "vxn": "vxn_to_vix"}.items():
         if source in dates.columns:
             d = d.withColumn(name, div(source, "vix"))
-    if "skew" in dates.columns:
-        d = d.withColumn("skew_z60", (F.col("skew") - roll(F.avg, "skew", 60, key)) / clip(roll(F.stddev_samp, "skew", 60, key), 1e-6))
-    z = (F.col("vrp") - roll(F.avg, "vrp", 60, key)) / clip(roll(F.stddev_samp, "vrp", 60, key), 1e-9)
-    return d.withColumn("vrp_z60", z).drop("_r", "_r2")
+    skew = "skew" in dates.columns
+    d = rolling(d, {"_m": ("avg", "vrp", 60), "_d": ("std", "vrp", 60)} | ({"_km": ("avg", "skew", 60), "_kd": ("std", "skew", 60)} if skew else {}), key)
+    if skew:
+        d = d.withColumn("skew_z60", (F.col("skew") - F.col("_km")) / clip("_kd", 1e-6))
+    return d.withColumn("vrp_z60", (F.col("vrp") - F.col("_m")) / clip("_d", 1e-9)).drop("_r", "_r2", "_s", "_m", "_d", "_km", "_kd")
 
 
 def implied_vol_features(dates: DataFrame) -> DataFrame:

