@@ -11,15 +11,16 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _N = NormalDist()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def norm_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else (float(v > 0) if np.isinf(v) else _N.cdf(v)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def norm_ppf(p: pd.Series) -> pd.Series:
     return p.map(lambda v: _N.inv_cdf(v) if pd.notna(v) and 0.0 < v < 1.0 else None)

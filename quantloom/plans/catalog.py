@@ -6,7 +6,7 @@ import importlib
 
 from quantloom.plans.registry import QUERIES, Query
 
-MODULES = ("queries_features", "queries_market", "queries_backtest")
+MODULES = ("queries_features", "queries_market", "queries_backtest", "queries_signals", "queries_overfit")
 
 
 def all_queries() -> dict[str, Query]:

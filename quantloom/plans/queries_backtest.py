@@ -270,7 +270,7 @@ def prediction_metrics(spark, sf):
     return mt.prediction_metrics(scored(spark, sf).withColumn("grp", F.col("symbol") % 10), "y", "pred", "w", ["grp"])
 
 
-@query("MT8", f"""WITH @bars, {SMOOTH}, {SA}, d AS (SELECT symbol % 10 AS grp, date, avg(net) AS x FROM sa GROUP BY 1, 2), a AS (SELECT date, avg(ur) AS b FROM sa GROUP BY 1), j AS (SELECT * FROM d JOIN a USING (date)), f AS (SELECT grp, regr_slope(x, b) AS s FROM j GROUP BY grp)
+@query("MT8", f"""WITH @bars, {SMOOTH}, {SA}, d AS (SELECT symbol % 10 AS grp, date, avg(net) AS x FROM sa GROUP BY 1, 2), an AS (SELECT date, avg(ur) AS b FROM sa GROUP BY 1), j AS (SELECT * FROM d JOIN an USING (date)), f AS (SELECT grp, regr_slope(x, b) AS s FROM j GROUP BY grp)
 SELECT j.grp, count(*) AS n, corr(x, b) AS correlation, (avg(x) / stddev_samp(x) - avg(b) / stddev_samp(b)) * sqrt(252) AS incremental_sharpe, any_value(s) AS beta, avg(x - s * b) / stddev_samp(x - s * b) * sqrt(252) AS residual_sharpe FROM j JOIN f ON j.grp = f.grp GROUP BY j.grp""",
        "correlation incremental_sharpe beta residual_sharpe")
 def attribution(spark, sf):
