@@ -6,7 +6,7 @@ import importlib
 
 from quantloom.plans.registry import QUERIES, Query
 
-MODULES = ("queries_features", "queries_market", "queries_backtest", "queries_signals", "queries_overfit")
+MODULES = ("queries_features", "queries_market", "queries_backtest", "queries_signals", "queries_overfit", "queries_text")
 
 
 def all_queries() -> dict[str, Query]:
