@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.columns import div, zero_fill
 from quantloom.operators import metrics as mt
 from quantloom.operators.ranks import ordinal
+from quantloom.session import durable
 
 MAX_GRAM_FEATURES = 2000
 
@@ -181,7 +182,9 @@ def forest_classifier(label: str, trees: int = 20, depth: int = 4, seed: int = 4
 
 def walk_forward_model(rows: DataFrame, folds: DataFrame, features: Sequence[str], estimator, date: str = "date", test_role: str = "test", probability: bool = False) -> DataFrame:
     """Fit one MLlib model per fold on its train dates and score its test dates; folds are independent jobs."""
-    d = assembler(features).transform(clean(rows, features))
+    # iterative learners read their input many times: the feature windows are materialised once
+    d = assembler(features).transform(durable(clean(rows, features)))
+    folds = durable(folds)
     ids = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]  # a handful of folds
     out = None
     for f in ids:

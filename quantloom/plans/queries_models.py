@@ -17,6 +17,7 @@ from quantloom.plans.queries_signals import universe_bars
 from quantloom.plans.registry import query
 from quantloom.plans.sqltext import lr, windows
 from quantloom.plans.views import bars, scored, sectors, table
+from quantloom.session import durable
 
 ROWS_SQL = f"""rw AS (SELECT symbol, date, close / open - 1 AS x1, volume / 25 AS x2, lead(close) OVER wk / close - 1 AS y FROM bars {windows()}), rr AS (SELECT * FROM rw WHERE y IS NOT NULL),
 dt AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM rr)), k AS (SELECT greatest(CAST(ceil((n - 500 - 250) / 250) AS BIGINT), 0) + 1 AS folds FROM dt LIMIT 1),
@@ -116,7 +117,7 @@ def surrogate_classifier(spark, sf):
     from quantloom.functions.noise import gaussian
     d = learner_rows(spark, sf).withColumn("noise", gaussian("date", "symbol", seed=5)).withColumn("label", F.when(F.col("y") < -0.02, 0).when(F.col("y") > 0.02, 2).otherwise(1))
     feats = [*FEATS, "noise"]
-    x = ml.assembler(feats).transform(ml.clean(ml.class_weights(d, "label"), feats))
+    x = ml.assembler(feats).transform(durable(ml.clean(ml.class_weights(d, "label"), feats)))
     cut = F.lit("2000-01-01").cast("date")
     model = ml.forest_classifier("label", trees=10, weight="class_weight").fit(x.filter(F.col("date") < cut))
     weak = ml.below_noise_floor(list(zip(feats, model.featureImportances.toArray().tolist())))
