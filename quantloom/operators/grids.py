@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.noise import uniform
@@ -47,23 +48,22 @@ PROFILES = (("base", 0.0, 0.0, "both", 1, 0, 0), ("edge_1x", 0.0, 1.0, "both", 1
             ("cooldown_15", 0.0, 0.0, "both", 1, 15, 0), ("delay_1", 0.0, 0.0, "both", 1, 0, 1), ("strict", 0.5, 2.0, "both", 5, 5, 0), ("strict_delay", 0.5, 2.0, "both", 5, 5, 1))
 
 
-def bar_variants(spark: SparkSession) -> DataFrame:
-    """Minute-bar variants of six families crossed with the execution profiles, round-robin ready."""
+def bar_variants(base: DataFrame) -> DataFrame:
+    """Minute-bar variants of six families crossed with the execution profiles, for every symbol of ``base``."""
     axes = {"momentum": (5, 15, 30, 60, 120, 240), "mean_reversion": (15, 30, 60, 120, 240), "breakout": (30, 60, 120, 240), "volatility": (15, 30, 60, 120), "liquidity": (30, 60, 120, 240), "paper_derived": (60, 120, 240, 480)}
-    base = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.array(*[F.lit(v) for v in vs]).alias("vs")) for f, vs in axes.items()])).alias("g"))
-    d = base.select("g.family", F.explode("g.vs").alias("lookback")).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in (0.0, 0.001, 0.002, 0.005)])))
+    grid = base.select("symbol", F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.array(*[F.lit(v) for v in vs]).alias("vs")) for f, vs in axes.items()])).alias("g"))
+    d = grid.select("symbol", "g.family", F.explode("g.vs").alias("lookback")).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in (0.0, 0.001, 0.002, 0.005)])))
     prof = F.array(*[F.struct(F.lit(p[0]).alias("profile"), F.lit(p[3]).alias("side"), F.lit(p[4]).alias("holding"), F.lit(p[5]).alias("cooldown"), F.lit(p[6]).alias("delay")) for p in PROFILES])
-    return d.withColumn("_p", F.explode(prof)).select("family", "lookback", "threshold", "_p.*").withColumn("variant_id", F.sha1(F.to_json(F.struct("family", "lookback", "threshold", "profile"))))
+    return d.withColumn("_p", F.explode(prof)).select("symbol", "family", "lookback", "threshold", "_p.*").withColumn("variant_id", F.sha1(F.to_json(F.struct("symbol", "family", "lookback", "threshold", "profile"))))
 
 
 def balanced(variants: DataFrame, target: int, group: str = "family", order: Sequence[str] = ("variant_id",)) -> DataFrame:
     """Round-robin over the groups up to ``target`` variants, after removing equal ids."""
-    from pyspark.sql import Window as W
     from quantloom.sources.market import keep_last
     d = keep_last(variants, ["variant_id"], [group], first=True)
     return d.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(*order))).orderBy("_rn", group).limit(target).drop("_rn")
 
 
-def model_grid(spark: SparkSession, models: Sequence[str], features: Sequence[str], horizons: Sequence[int], quantiles: Sequence[float], sides: Sequence[str]) -> DataFrame:
-    return expand(spark.range(1), {"model": models, "feature_set": features, "horizon": horizons, "quantile": quantiles, "side": sides}).drop("id").withColumn(
+def model_grid(base: DataFrame, models: Sequence[str], features: Sequence[str], horizons: Sequence[int], quantiles: Sequence[float], sides: Sequence[str]) -> DataFrame:
+    return expand(base, {"model": models, "feature_set": features, "horizon": horizons, "quantile": quantiles, "side": sides}).withColumn(
         "variant", F.concat_ws("|", "model", "feature_set", F.col("horizon").cast("string"), F.col("quantile").cast("string"), "side"))

@@ -145,7 +145,7 @@ def chat_records(spark, sf):
     return tx.chat_records(ins, docs).select("id", F.sha2("record", 256).alias("digest"))
 
 
-@query("DQ1", """WITH @ticks, g AS (SELECT symbol, epoch_us(event_time) - lag(epoch_us(event_time)) OVER (PARTITION BY symbol ORDER BY trade_id) AS g FROM ticks)
+@query("DQ1 WN43", """WITH @ticks, g AS (SELECT symbol, epoch_us(event_time) - lag(epoch_us(event_time)) OVER (PARTITION BY symbol ORDER BY trade_id) AS g FROM ticks)
 SELECT symbol, count(*) AS n, min(CASE WHEN g > 0 THEN g END) AS min_gap_us, max(g) AS max_gap_us, count_if(g >= 0) / count(g) * 100 AS monotone_pct, 0.0::DOUBLE AS duplicate_pct FROM g GROUP BY symbol""", "monotone_pct duplicate_pct", digits=4)
 def tick_timestamps(spark, sf):
     return dq.tick_timestamps(ticks(spark, sf))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.functions.columns import require_columns
+from quantloom.functions.columns import finite, require_columns
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -245,8 +245,15 @@ def daily_panel(raw: DataFrame, mapping: dict[str, str]) -> DataFrame:
                       F.col(mapping["volume"]).cast("double").alias("volume")).filter("close IS NOT NULL")
 
 
-def first_rows_per_file(df: DataFrame, n: int) -> DataFrame:
-    """First ``n`` rows of every source file, by position in the file."""
-    w = W.partitionBy("source_file").orderBy("_pos")
-    d = df.withColumn("source_file", F.col("_metadata.file_path")).withColumn("_pos", F.monotonically_increasing_id())
-    return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn", "_pos")
+def first_rows_per_file(df: DataFrame, n: int, target: str | None = None) -> DataFrame:
+    """First ``n`` rows of every parquet file by its row index (no shuffle), tagged with the file, finite targets only."""
+    d = df.filter(F.col("_metadata.row_index") < n).withColumn("source_file", F.col("_metadata.file_name"))
+    return d if target is None else d.filter(finite(target))
+
+
+def symbol_from_path(path: str | Column) -> Column:
+    """Symbol of a feature file: the parent folder or a file-name token that ends in USDT, else the folder."""
+    p = F.col(path) if isinstance(path, str) else path
+    parent, stem = F.element_at(F.split(p, "/"), -2), F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\.[^.]*$", "")
+    token = F.get(F.filter(F.split(stem, "_"), lambda t: F.upper(t).endswith("USDT")), 0)
+    return F.upper(F.when(F.upper(parent).endswith("USDT"), parent).otherwise(F.coalesce(token, F.when(parent != "", parent), stem)))
