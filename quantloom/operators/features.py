@@ -314,17 +314,16 @@ def ewmas(df: DataFrame, specs: dict[str, tuple[str, float]], key: Sequence[str]
     """
     w = by(key, time)
     d = df.withColumn("_i", F.row_number().over(w) - 1)
-    for name, (x, span) in specs.items():
-        keep = 1.0 - 2.0 / (span + 1.0)
-        size = max(2, math.ceil(math.log(1e-17) / math.log(keep)))
-        pos = F.col("_i") % size
-        d = d.withColumns({"_b": F.floor(F.col("_i") / size), "_z": F.col(x) * F.pow(F.lit(keep), -pos)})
-        inside = F.sum("_z").over(W.partitionBy(*key, "_b").orderBy(*time).rowsBetween(W.unboundedPreceding, 0))
-        d = d.withColumn("_p", inside * F.pow(F.lit(keep), pos))
-        carry = F.last(F.when(pos == size - 1, F.col("_p")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-        weight = (1.0 - F.pow(F.lit(keep), F.col("_i") + 1)) / (1.0 - keep)
-        d = d.withColumn(name, (F.col("_p") + F.coalesce(carry, F.lit(0.0)) * F.pow(F.lit(keep), pos + 1)) / weight).drop("_b", "_z", "_p")
-    return d.drop("_i")
+    keeps = {n: 1.0 - 2.0 / (span + 1.0) for n, (_, span) in specs.items()}
+    sizes = {n: max(2, math.ceil(math.log(1e-17) / math.log(k))) for n, k in keeps.items()}
+    pos = {n: F.col("_i") % b for n, b in sizes.items()}
+    power = lambda n, e: F.pow(F.lit(keeps[n]), e)
+    d = d.withColumns({f"_b{b}": F.floor(F.col("_i") / b) for b in set(sizes.values())} | {f"_z_{n}": F.col(x) * power(n, -pos[n]) for n, (x, _) in specs.items()})
+    d = d.withColumns({f"_p_{n}": F.sum(f"_z_{n}").over(W.partitionBy(*key, f"_b{sizes[n]}").orderBy(*time).rowsBetween(W.unboundedPreceding, 0)) * power(n, pos[n]) for n in specs})
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumns({f"_e_{n}": F.last(F.when(pos[n] == sizes[n] - 1, F.col(f"_p_{n}")), ignorenulls=True).over(before) for n in specs})
+    out = {n: (F.col(f"_p_{n}") + F.coalesce(F.col(f"_e_{n}"), F.lit(0.0)) * power(n, pos[n] + 1)) / ((1.0 - power(n, F.col("_i") + 1)) / (1.0 - keeps[n])) for n in specs}
+    return d.withColumns(out).drop("_i", *[f"_b{b}" for b in set(sizes.values())], *[f"_{k}_{n}" for k in "zpe" for n in specs])
 
 
 def rolling_mad(df: DataFrame, x: str, n: int, name: str) -> DataFrame:

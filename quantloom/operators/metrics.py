@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import col, div
+from quantloom.operators.blocks import blocked
 
 BIG = 1e6
 
@@ -181,12 +182,11 @@ def regime_metrics(df: DataFrame, ret: str, regime: str, k: float = 252.0) -> Da
     return daily_metrics(df, ret, [regime], k=k)
 
 
-def round_trip_hits(fills: DataFrame, key: str = "symbol", order: Sequence[str] = ("ts",)) -> DataFrame:
-    """Hit rate of consecutive fill pairs: the first opens, the second closes."""
-    w = W.partitionBy(key).orderBy(*order)
-    d = fills.withColumns({"_rn": F.row_number().over(w), "_open": F.lag("price").over(w), "_side": F.lag("side").over(w)}).filter("_rn % 2 = 0")
+def round_trip_hits(fills: DataFrame, key: str = "symbol", time: str = "ts", ties: Sequence[str] = ()) -> DataFrame:
+    """Hit rate of consecutive fill pairs: the first opens, the second closes.  Fills are met block by block."""
+    d = blocked(fills, lambda x, over: x.withColumns({"_open": F.lag("price").over(over()), "_side": F.lag("side").over(over())}), back=1, time=time, ties=ties, key=key)
     pnl = (F.col("price") - F.col("_open")) * F.when(F.col("_side") == "buy", 1.0).otherwise(-1.0)
-    return d.agg(F.coalesce(F.avg((pnl > 0).cast("double")), F.lit(0.0)).alias("hit_rate"), F.count(F.lit(1)).alias("n_round_trips"))
+    return d.filter("_idx % 2 = 1").agg(F.coalesce(F.avg((pnl > 0).cast("double")), F.lit(0.0)).alias("hit_rate"), F.count(F.lit(1)).alias("n_round_trips"))
 
 
 def phase_metrics(daily: DataFrame, ret: str, holdout_start: str, k: float = 252.0) -> DataFrame:

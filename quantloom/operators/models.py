@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import div, zero_fill
 from quantloom.operators import metrics as mt
-from quantloom.operators.ranks import ordinal
-from quantloom.session import durable
+from quantloom.operators.ranks import value_bin
+from quantloom.session import durable, spread
 
 MAX_GRAM_FEATURES = 2000
 
@@ -136,16 +136,20 @@ def average_ensemble(df: DataFrame, models: Sequence[str], name: str = "average"
 
 # ---------------------------------------------------------------- feature screening
 
-def univariate_auc(df: DataFrame, features: Sequence[str], label: str, ties: Sequence[str]) -> DataFrame:
+def univariate_auc(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Train-against-holdout AUC of every feature from mid-ranks (Mann-Whitney), all features in one job.
 
-    The values are unpivoted and ranked per feature without sorting a feature in one task; equal values
-    share the mean of their ordinals.
+    Rows are first counted per (feature, value), so a value that fills a third of the table is one row; the
+    distinct values are then ranked bin by bin.  Equal values share their mean rank.
     """
-    long = df.select(label, *ties, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), zero_fill(c).alias("x")) for c in features])).alias("s")).select(label, *ties, "s.*")
-    r = ordinal(long, "x", "_r", ("feature",), tuple(ties))
-    by_value = r.groupBy("feature", "x").agg(F.sum("_r").alias("_sr"), F.count(F.lit(1)).alias("_n"), F.count_if(F.col(label) == 1).alias("_p"))
-    s = by_value.groupBy("feature").agg(F.sum(F.col("_sr") / F.col("_n") * F.col("_p")).alias("rank_sum"), F.sum("_p").cast("double").alias("p"), F.sum("_n").cast("double").alias("n"))
+    long = df.select(label, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), zero_fill(c).alias("x")) for c in features])).alias("s")).select(label, "s.*")
+    v = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p")).withColumn("_bin", value_bin("x"))
+    sizes = v.groupBy("feature", "_bin").agg(F.sum("n").alias("_n"))
+    below = W.partitionBy("feature").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    off = sizes.select("feature", "_bin", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("feature", "_bin").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    r = v.withColumn("_in", before).join(off, ["feature", "_bin"]).withColumn("_rank", F.col("_off") + F.col("_in") + (F.col("n") + 1) / 2.0)
+    s = r.groupBy("feature").agg(F.sum(F.col("_rank") * F.col("p")).alias("rank_sum"), F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
     auc = div(F.col("rank_sum") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p")))
     return s.withColumn("auc", F.greatest(auc, 1.0 - auc)).select("feature", "auc").withColumn("drop", F.col("auc") >= 0.6)
 
@@ -297,7 +301,7 @@ def regime_states(rows: DataFrame, features: Sequence[str], key: Sequence[str],
 
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", date date, n_states int, state int, p_risk_on double, risk_on boolean"
-    return d.groupBy(*key, "n_states").applyInPandas(fit, schema)
+    return spread(d, *key, "n_states").groupBy(*key, "n_states").applyInPandas(fit, schema)
 
 
 def state_stability(states: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.columns import by, div
 from quantloom.functions.noise import uniform
 from quantloom.functions.normal import norm_cdf, norm_ppf
-from quantloom.session import durable
+from quantloom.session import durable, spread
 
 MAX_SPLITS = 20_000
 EULER = 0.5772156649015329
@@ -67,10 +67,11 @@ def block_moments(returns: DataFrame, blocks: int, keys: Sequence[str] = (), dro
     return m.groupBy(*keys, "strategy_id").agg(F.collect_list("s").alias("blocks"))  # at most one entry per block
 
 
-def _scores(rows: pd.DataFrame, masks: np.ndarray, mode: str) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """In- and out-of-sample scores (strategies × splits) in small chunks.
+def _scores(rows: pd.DataFrame, masks: np.ndarray, mode: str, sides: tuple[bool, ...] = (True, False)) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Scores (strategies × splits) on the in-sample (True) and out-of-sample (False) side, in small chunks.
 
-    Blocks are added in a fixed order, so a strategy's scores do not depend on its chunk.
+    Block moments merge by three small matrix products around each strategy's own mean.  Scores are
+    rounded to ten digits, so strategies that only differ by a scale factor tie exactly.
     """
     blocks = masks.shape[1]
     for lo in range(0, len(rows), 32):
@@ -79,49 +80,41 @@ def _scores(rows: pd.DataFrame, masks: np.ndarray, mode: str) -> Iterator[tuple[
         for i, cells in enumerate(part["blocks"]):
             for c in cells:
                 n[i, c["block"]], mean[i, c["block"]], m2[i, c["block"]] = c["n"], c["mean"], c["m2"]
+        center = mean.mean(axis=1, keepdims=True)
+        d = mean - center
         out = []
-        for side in (masks, ~masks):
-            shape = (len(part), masks.shape[0])
-            cnt, tot, ss, sq = np.zeros(shape), np.zeros(shape), np.zeros(shape), np.zeros(shape)
-            center = mean.mean(axis=1)
-            for b in range(blocks):
-                on = side[:, b].astype(float)[None, :]
-                d = (mean[:, b] - center)[:, None]
-                cnt += on * n[:, b][:, None]
-                tot += on * (n[:, b][:, None] * d)
-                ss += on * m2[:, b][:, None]
-                sq += on * (n[:, b][:, None] * d * d)
+        for inside in sides:
+            on = (masks if inside else ~masks).astype(float).T
             if mode == "mean":
-                w = side.sum(axis=1)[None, :].astype(float)
-                acc = np.zeros(shape)
-                for b in range(blocks):
-                    acc += side[:, b].astype(float)[None, :] * mean[:, b][:, None]
-                out.append(acc / w)
+                out.append(np.round(mean @ on / on.sum(axis=0), 12))
                 continue
+            cnt, avg, ss = n @ on, (n * d) @ on, (m2 + n * d * d) @ on
             with np.errstate(divide="ignore", invalid="ignore"):
-                avg = tot / cnt
-                var = np.maximum(ss + sq - cnt * avg * avg, 0.0) / (cnt - 1.0)
-                sr = np.where(var > 1e-30, (avg + center[:, None]) / np.sqrt(var) * YEAR, 0.0)
-            out.append(np.nan_to_num(sr, nan=0.0, posinf=0.0, neginf=0.0))
-        yield part, out[0], out[1]
+                avg /= cnt
+                ss -= cnt * avg * avg
+                ss /= cnt - 1.0
+                sr = np.where(ss > 1e-30, (avg + center) / np.sqrt(np.maximum(ss, 1e-300)) * YEAR, 0.0)
+            out.append(np.round(np.nan_to_num(sr, nan=0.0, posinf=0.0, neginf=0.0), 10))
+        yield part, out
 
 
 def split_ranks(moments: DataFrame, blocks: int, mode: str = "sharpe", keys: Sequence[str] = ()) -> DataFrame:
     """Per split: the in-sample winner, its out-of-sample score and how many strategies score below, above and equal.
 
-    Two passes over the strategy rows.  Each task folds its partition into one row per (group, split);
-    the winners of the first pass (splits × groups rows, bounded by the split list) are joined to the
-    second pass as a broadcast array per group.  Ties go to the smaller strategy id.
+    Two passes over the strategy rows.  Each task folds its rows into one row per (group, split); the
+    winners of the first pass, an array bounded by the split list, meet the buckets of strategies in the
+    second.  Ties go to the smaller strategy id.
     """
     key_cols = list(keys)
     m = moments.withColumn("_g", F.concat_ws("|", *[F.col(k).cast("string") for k in key_cols]) if key_cols else F.lit(""))
+    m = spread(m, "_g", "strategy_id")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         masks = split_masks(blocks)
         found: dict[str, list[np.ndarray]] = {}
         for rows in batches:
             for g, grp in rows.groupby("_g", sort=False):
-                for part, ins, oos in _scores(grp, masks, mode):
+                for part, (ins, oos) in _scores(grp, masks, mode):
                     ids = part["strategy_id"].to_numpy(dtype=object)
                     order = np.argsort(ids, kind="stable")
                     pick = order[np.argmax(ins[order], axis=0)]
@@ -140,25 +133,28 @@ def split_ranks(moments: DataFrame, blocks: int, mode: str = "sharpe", keys: Seq
                .groupBy("_g", "split").agg(F.min(F.struct("neg_is", "strategy_id", "oos")).alias("w"))
                .groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("split", F.col("w.strategy_id").alias("star"), F.col("w.oos").alias("oos")))).alias("stars")))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        masks = split_masks(blocks)
-        acc: dict[str, list[np.ndarray]] = {}
-        for rows in batches:
-            for g, grp in rows.groupby("_g", sort=False):
-                stars = grp["stars"].iloc[0]
-                star_id = np.array([s["star"] for s in stars], dtype=object)
-                star_oos = np.array([s["oos"] for s in stars], dtype=float)
-                for part, _, oos in _scores(grp, masks, mode):
-                    ids = part["strategy_id"].to_numpy(dtype=object)[:, None]
-                    other = ids != star_id[None, :]
-                    counts = [(other & (oos < star_oos)).sum(0), (other & (oos > star_oos)).sum(0), (other & (oos == star_oos) & (ids < star_id[None, :])).sum(0),
-                              np.full(masks.shape[0], len(part))]
-                    acc[g] = counts if g not in acc else [a + b for a, b in zip(acc[g], counts)]
-        for g, (less, more, equal, n) in acc.items():
-            yield pd.DataFrame({"_g": g, "split": np.arange(len(less)), "less": less, "more": more, "equal_before": equal, "n": n})
-
-    counted = (m.select("_g", "strategy_id", "blocks").join(F.broadcast(winners), "_g")
-               .mapInPandas(place, "_g string, split long, less long, more long, equal_before long, n long")
+    def place(rows: pd.DataFrame, win: pd.DataFrame) -> pd.DataFrame:
+        names = ["_g", "split", "less", "more", "equal_before", "n"]
+        if rows.empty or win.empty:
+            return pd.DataFrame(columns=names)
+        masks, stars = split_masks(blocks), win["stars"].iloc[0]
+        star_id, star_oos = np.array([s["star"] for s in stars], dtype=object), np.array([s["oos"] for s in stars], dtype=float)
+        acc: list[np.ndarray] | None = None
+        for part, (oos,) in _scores(rows, masks, mode, (False,)):
+            ids = part["strategy_id"].to_numpy(dtype=object)
+            level = oos == star_oos
+            at, split = np.nonzero(level)
+            tie = np.zeros(len(stars), dtype=int)
+            np.add.at(tie, split, ids[at] < star_id[split])
+            counts = [(oos < star_oos).sum(0), (oos > star_oos).sum(0), tie, np.full(len(stars), len(part))]
+            acc = counts if acc is None else [x + y for x, y in zip(acc, counts)]
+        return pd.DataFrame({"_g": rows["_g"].iloc[0], "split": np.arange(len(stars)), "less": acc[0], "more": acc[1], "equal_before": acc[2], "n": acc[3]})
+
+    # the list of winners goes once to every bucket of strategies, not to every strategy
+    buckets = 4 * moments.sparkSession.sparkContext.defaultParallelism
+    left = m.select("_g", "strategy_id", "blocks", F.pmod(F.xxhash64("strategy_id"), F.lit(buckets)).cast("int").alias("_b"))
+    right = winners.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    counted = (left.groupBy("_g", "_b").cogroup(right.groupBy("_g", "_b")).applyInPandas(place, "_g string, split long, less long, more long, equal_before long, n long")
                .groupBy("_g", "split").agg(*[F.sum(c).alias(c) for c in ("less", "more", "equal_before", "n")]))
     star = winners.select("_g", F.explode("stars").alias("s")).select("_g", "s.split", F.col("s.star").alias("star"), F.col("s.oos").alias("star_oos"))
     return counted.join(star, ["_g", "split"]).withColumnRenamed("_g", "grp")
@@ -281,7 +277,7 @@ def stationary_bootstrap(returns: DataFrame, resamples: int = 10_000, block: int
     """
     chunks = math.ceil(resamples / per_task)
     d = return_arrays(returns).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    d = d.withColumn("key", F.xxhash64("strategy_id", "chunk", F.lit(seed))).repartition("strategy_id", "chunk")
+    d = spread(d.withColumn("key", F.xxhash64("strategy_id", "chunk", F.lit(seed))), "strategy_id", "chunk")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -400,7 +396,7 @@ def correlation_edges(returns: DataFrame, threshold: float = 0.9, tile: int = 25
                 src.append(ids[j]); dst.append(min(ids[partners]))
         return pd.DataFrame({"src": src, "dst": dst}, dtype=object)
 
-    e = a.groupBy("_p", "_q").applyInPandas(product, "src string, dst string")
+    e = spread(a, "_p", "_q").groupBy("_p", "_q").applyInPandas(product, "src string, dst string")
     return e.filter("src <> dst").distinct()
 
 

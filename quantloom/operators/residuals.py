@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import by, logret
+from quantloom.session import spread
 
 
 def residual_z(bars: DataFrame, sectors: DataFrame, window: int = 60, components: int = 3, block_dates: int = 256) -> DataFrame:
@@ -24,33 +25,39 @@ def residual_z(bars: DataFrame, sectors: DataFrame, window: int = 60, components
 
     A missing return is 0, as is the whole row of a name before it lists.
     """
-    n = window
+    n, block_dates = window, max(block_dates, window)  # a date reaches back into one block at most
     r = bars.withColumn("_r", F.coalesce(logret("close", 1, by()), F.lit(0.0))).join(sectors.select("symbol", "sector"), "symbol")
     dates = r.select("date").distinct().withColumn("_i", F.row_number().over(W.orderBy("date")) - 1)  # calendar-sized
     total = dates.agg(F.count(F.lit(1)).alias("_t"))
     dates = dates.crossJoin(total)  # one-row side
-    arr = r.join(F.broadcast(dates), "date").groupBy("symbol", "sector").agg(F.collect_list(F.struct("_i", "_r")).alias("cells"), F.max("_t").alias("t"))  # one row per name, calendar-bounded
+    cells = r.join(F.broadcast(dates), "date").groupBy("symbol", "sector").agg(F.collect_list(F.struct("_i", "_r")).alias("cells"), F.max("_t").alias("t"))  # one row per name, calendar-bounded
 
-    def dense(cells, t: int) -> np.ndarray:
-        x = np.zeros(t)
-        x[[c["_i"] for c in cells]] = [c["_r"] for c in cells]
-        return x
+    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                x = np.zeros(row.t)
+                x[[c["_i"] for c in row.cells]] = [c["_r"] for c in row.cells]
+                out.append(x)
+            yield pd.DataFrame({"symbol": pdf["symbol"], "sector": pdf["sector"], "x": out})
+
+    arr = spread(cells, "symbol").mapInPandas(dense, f"symbol {dict(bars.dtypes)['symbol']}, sector string, x array<double>")
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[str, tuple[np.ndarray, int]] = {}
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                x = dense(row.cells, row.t)
-                lagged = np.zeros((row.t, n + 1))
-                for d in range(min(n + 1, row.t)):
-                    lagged[d:, d] = x[:row.t - d]
+                x = np.asarray(row.x, dtype=float)
+                lagged = np.zeros((len(x), n + 1))
+                for d in range(min(n + 1, len(x))):
+                    lagged[d:, d] = x[:len(x) - d]
                 old, count = acc.get(row.sector, (0.0, 0))
                 acc[row.sector] = (old + x[:, None] * lagged, count + 1)
         for s, (b, count) in acc.items():
             yield pd.DataFrame({"sector": s, "i": np.arange(len(b)), "names": count, "band": list(b)})
 
     zero = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda _: F.lit(0.0))
-    g = arr.select("sector", "cells", "t").mapInPandas(bands, "sector string, i int, names long, band array<double>")
+    g = arr.select("sector", "x").mapInPandas(bands, "sector string, i int, names long, band array<double>")
     g = g.groupBy("sector", "i").agg(F.sum("names").alias("names"), F.collect_list("band").alias("bs"))  # one array per task and date
     g = g.withColumn("band", F.aggregate("bs", zero, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))).drop("bs")
     block = F.floor(F.col("i") / block_dates)
@@ -85,10 +92,9 @@ def residual_z(bars: DataFrame, sectors: DataFrame, window: int = 60, components
             out.append((pdf["sector"].iloc[0], t, c.tolist(), float(sd)))
         return pd.DataFrame(out, columns=["sector", "i", "c", "sd"])
 
-    coef = g.groupBy("sector", "blk").applyInPandas(coefficients, "sector string, i int, c array<double>, sd double")
+    coef = spread(g, "sector", "blk").groupBy("sector", "blk").applyInPandas(coefficients, "sector string, i int, c array<double>, sd double")
     # a name's own dense series and its windows
-    grid = arr.withColumn("_all", F.sequence(F.lit(0), (F.col("t") - 1).cast("int"))).select("symbol", "sector", F.map_from_entries(F.transform("cells", lambda c: F.struct(c["_i"], c["_r"]))).alias("m"), F.explode("_all").alias("i"))
-    grid = grid.select("symbol", "sector", "i", F.coalesce(F.element_at("m", F.col("i")), F.lit(0.0)).alias("_r"))
+    grid = arr.select("symbol", "sector", F.posexplode("x").alias("i", "_r"))
     past = W.partitionBy("symbol").orderBy("i").rowsBetween(-n, -1)
     grid = grid.withColumn("_w", F.collect_list("_r").over(past)).join(coef, ["sector", "i"])
     mean = F.aggregate("_w", F.lit(0.0), lambda a, v: a + v) / float(n)

@@ -106,11 +106,15 @@ def signal_table(bars: DataFrame, families: Sequence[str], lookbacks: Sequence[i
     The only shuffle after the per-symbol windows spreads the indicator rows by (symbol, family,
     lookback), so a universe of few symbols still uses the whole cluster; thresholds come after it.
     """
-    d = bars
+    parts = []
     for n in lookbacks:
-        d = indicators(d, n, families)
-    pairs = [F.struct(F.lit(f).alias("family"), F.lit(n).alias("lookback"), F.col(f"{f}_{n}.a").alias("a"), F.col(f"{f}_{n}.b").alias("b")) for n in lookbacks for f in families]
-    d = d.select("symbol", "date", "close", *carry, F.explode(F.array(*pairs)).alias("_i")).select("symbol", "date", "close", *carry, "_i.*")
+        # one narrow plan per lookback; all of them read the same shuffle of the bars
+        d = indicators(bars, n, families)
+        pairs = [F.struct(F.lit(f).alias("family"), F.lit(n).alias("lookback"), F.col(f"{f}_{n}.a").alias("a"), F.col(f"{f}_{n}.b").alias("b")) for f in families]
+        parts.append(d.select("symbol", "date", "close", *carry, F.explode(F.array(*pairs)).alias("_i")).select("symbol", "date", "close", *carry, "_i.*"))
+    d = parts[0]
+    for p in parts[1:]:
+        d = d.unionByName(p)
     d = d.repartition("symbol", "family", "lookback").withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
     return d.withColumn("signal", rule(F.col("family"), F.col("a"), F.col("b"), F.col("close"), F.col("threshold"))).drop("a", "b")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import div
+from quantloom.operators.blocks import blocked
 
 # Token patterns, chunk sizes and ranking constants.
 WORD = r"[a-z]+(?:['-][a-z]+)*"
@@ -79,13 +80,16 @@ def tone(docs: DataFrame, lexicon: DataFrame, categories: Sequence[str], key: st
     return d.withColumns({"net_tone": (pos - neg) / F.col("_n"), "polarity": F.coalesce(div(pos - neg, pos + neg), F.lit(0.0))}).drop("_n")
 
 
-def previous_of(docs: DataFrame, entity: str, order: Sequence[str], key: str) -> DataFrame:
-    """(key, previous key) per entity, strictly earlier in ``order``.
+def previous_of(docs: DataFrame, entity: str, order: str, key: str, bucket: int = 1 << 16) -> DataFrame:
+    """(key, previous key) per entity, the one before in ``order`` (an integer or a date column).
 
-    Only keys and order columns are shuffled, never the texts.
+    Only keys and the order column are shuffled, never the texts, and an entity with very many documents
+    is numbered bucket by bucket and met block by block.
     """
-    w = W.partitionBy(entity).orderBy(*order)
-    return docs.select(key, entity, *order).withColumn("prev_key", F.lag(key).over(w)).filter("prev_key IS NOT NULL").select(key, "prev_key")
+    at = F.datediff(F.col(order), F.lit("1970-01-01")) if dict(docs.dtypes)[order] == "date" else F.col(order)
+    d = docs.select(key, entity, F.timestamp_seconds(at.cast("long")).alias("_at"))
+    d = blocked(d, lambda x, over: x.withColumn("prev_key", F.lag(key).over(over())), back=1, time="_at", ties=(key,), key=entity, bucket_seconds=bucket)
+    return d.filter("prev_key IS NOT NULL").select(key, "prev_key")
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = WORD) -> DataFrame:

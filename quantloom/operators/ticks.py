@@ -99,7 +99,8 @@ def depth_features(books: DataFrame, horizons: Sequence[int] = (1, 5, 15, 60), d
 
 def minute_bars(ticks: DataFrame, width: str = "1 minute") -> DataFrame:
     """Bars from ticks by event-time window (combinable aggregates; works on batch and stream)."""
-    order = F.struct("event_time", "trade_id")
+    # (time, id) as one fixed-width number: the aggregation stays hash-based
+    order = (F.unix_micros("event_time").cast("decimal(18,0)") * F.lit(str(10 ** 19)).cast("decimal(20,0)") + F.col("trade_id").cast("decimal(19,0)")).cast("decimal(38,0)")
     return (ticks.groupBy("symbol", F.window("event_time", width).alias("w"))
             .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
                  F.sum("size").alias("volume"), F.count(F.lit(1)).alias("n_trades"))

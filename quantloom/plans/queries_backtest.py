@@ -302,4 +302,4 @@ def class_metrics(spark, sf):
 SELECT avg(CASE WHEN (price - op) * CASE WHEN ob THEN 1 ELSE -1 END > 0 THEN 1.0 ELSE 0 END) AS hit_rate, count(*) AS n_round_trips FROM f WHERE rn % 2 = 0""", "hit_rate")
 def round_trip_hits(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("symbol"), "ts", "event_id", F.col("value").alias("price"), F.when(F.col("event_type").isin("view", "click"), "buy").otherwise("sell").alias("side"))
-    return mt.round_trip_hits(e, order=("ts", "event_id"))
+    return mt.round_trip_hits(e, ties=("event_id",))

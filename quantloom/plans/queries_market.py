@@ -411,10 +411,10 @@ def sharpe_histogram(spark, sf):
     return ag.histogram(m, "sharpe").crossJoin(ag.percentile_summary(m, "sharpe").select("p5", "p50", "p99", "mean"))  # one-row side
 
 
-@query("AG7", f"""WITH @bars, {RET}, t AS (SELECT CASE WHEN volume < 20 THEN 'thin' WHEN volume < 40 THEN 'normal' ELSE 'deep' END AS bucket, ret AS gross, 0.0002 AS cost, ret - 0.0002 AS net FROM ret)
+@query("AG7", f"""WITH @bars, {RET}, t AS (SELECT CASE WHEN volume < 20 THEN 'thin' WHEN volume < 40 THEN 'normal' ELSE 'deep' END AS bucket, ret * 0.01 AS gross, 0.0002 AS cost, ret * 0.01 - 0.0002 AS net FROM ret)
 SELECT bucket, count(*) AS n_trades, avg(gross) AS mean_gross, avg(net) AS mean_net, avg(cost) AS mean_cost, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END) AS hit_rate, sum(ln(1 + net)) AS log_compounded FROM t GROUP BY bucket""", "mean_gross mean_net mean_cost hit_rate log_compounded", digits=5)
 def trade_buckets(spark, sf):
-    t = small_returns(spark, sf).withColumns({"bucket": F.when(F.col("volume") < 20, "thin").when(F.col("volume") < 40, "normal").otherwise("deep"), "gross": F.col("ret"), "cost": F.lit(0.0002), "net": F.col("ret") - 0.0002})
+    t = small_returns(spark, sf).withColumns({"bucket": F.when(F.col("volume") < 20, "thin").when(F.col("volume") < 40, "normal").otherwise("deep"), "gross": F.col("ret") * 0.01, "cost": F.lit(0.0002), "net": F.col("ret") * 0.01 - 0.0002})
     # the compounded product over all trades is huge here, so its logarithm is compared
     return ag.trade_buckets(t, "bucket").withColumn("log_compounded", F.log1p("compounded")).drop("compounded")
 

@@ -66,9 +66,9 @@ def stacked_models(spark, sf):
 r AS (SELECT feature, h, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS r FROM u), s AS (SELECT feature, (sum(CASE WHEN h = 1 THEN r ELSE 0 END) - sum(h) * (sum(h) + 1) / 2.0) / (CAST(sum(h) AS DOUBLE) * (count(*) - sum(h))) AS auc FROM r GROUP BY feature)
 SELECT feature, greatest(auc, 1 - auc) AS auc, greatest(auc, 1 - auc) >= 0.6 AS "drop" FROM s""", "auc")
 def adversarial_auc(spark, sf):
-    d = table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), "l_orderkey", "l_linenumber", "l_partkey",
+    d = table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"),
                                             (F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz")).cast("int").alias("holdout"))
-    return ml.univariate_auc(d, ["price", "quantity", "discount"], "holdout", ["l_orderkey", "l_linenumber", "l_partkey"])
+    return ml.univariate_auc(d, ["price", "quantity", "discount"], "holdout")
 
 
 def learner_rows(spark, sf):

@@ -55,7 +55,7 @@ s AS (SELECT doc_id, sum(a * b) AS ab, sum(a * a) AS aa, sum(b * b) AS bb, count
 SELECT p.doc_id, p.prev_key, coalesce(least(ab / nullif(sqrt(CAST(aa AS DOUBLE) * bb), 0), 1), 0) AS cosine, coalesce(n / u, 0) AS new_word_frac, coalesce(g / u, 0) AS deleted_word_frac FROM p LEFT JOIN s ON p.doc_id = s.doc_id WHERE prev_key IS NOT NULL""", "cosine new_word_frac deleted_word_frac")
 def document_changes(spark, sf):
     d = table(spark, sf, "documents")
-    return tx.document_changes(d, tx.previous_of(d, "source", ["doc_id"], "doc_id"))
+    return tx.document_changes(d, tx.previous_of(d, "source", "doc_id", "doc_id"))
 
 
 BM = """tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents), tf AS (SELECT doc_id, word, count(*) AS tf FROM tk GROUP BY 1, 2), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1), nd AS (SELECT count(*) AS n, (SELECT sum(dl) FROM dl) / count(*) AS avgdl FROM documents),

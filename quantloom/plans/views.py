@@ -20,7 +20,13 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily OHLCV panel; every aggregate combines on the map side, so a hot symbol is no hot task."""
     li = table(spark, sf_dir, "lineitem").filter("l_quantity > 0 AND l_extendedprice > 0")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    order = F.lit(0).cast("decimal(38,0)")
+    # one fixed-width number instead of a struct keeps the aggregation hash-based (no sort of the raw rows)
+    for c, digits in (("l_orderkey", 12), ("l_linenumber", 1), ("l_partkey", 11)):
+        order = (order * F.lit(10 ** digits).cast(f"decimal({digits + 1},0)") + F.col(c).cast("decimal(20,0)")).cast("decimal(38,0)")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("decimal(20,0)")
+    order = (order * F.lit(10 ** 9).cast("decimal(10,0)") + cents).cast("decimal(38,0)")
+    order = (order * F.lit(100).cast("decimal(3,0)") + F.col("l_quantity").cast("decimal(20,0)")).cast("decimal(38,0)")
     return (li.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date"))
             .agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
                  F.max_by(price, order).alias("close"), F.sum("l_quantity").alias("volume")))

@@ -24,6 +24,15 @@ def local_session(cores: int | str = "*", name: str = "quantloom") -> SparkSessi
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by ``keys`` over all cores.
+
+    For stages that compute much on few bytes: adaptive execution sizes partitions by bytes and would
+    merge them into one task.
+    """
+    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the reliable checkpoint folder of the cluster.
 
