@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,9 @@ def file_stream(spark, tmp_path, name, batches, schema):
     folder = tmp_path / name
     folder.mkdir()
     for i, rows in enumerate(batches):
-        (folder / f"{i:03d}.json").write_text("\n".join(json.dumps(r, default=lambda v: v.isoformat(sep=" ")) for r in rows))
+        f = folder / f"{i:03d}.json"
+        f.write_text("\n".join(json.dumps(r, default=lambda v: v.isoformat(sep=" ")) for r in rows))
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))  # the source reads by modification time
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
 
 
@@ -46,7 +49,7 @@ def test_pairing_with_timeouts_and_duplicates(spark, tmp_path):
 
 def test_late_ticks_do_not_reopen_a_bar(spark, tmp_path):
     row = lambda i, s, p: {"symbol": 1, "event_time": at(s), "trade_id": i, "price": p, "size": 1.0}
-    ticks = [[row(1, 0, 10.0), row(2, 30, 11.0)], [row(3, 3600, 12.0)], [row(4, 10, 99.0), row(5, 7200, 13.0)], [row(6, 9000, 14.0)]]
+    ticks = [[row(1, 0, 10.0), row(2, 30, 11.0)], [row(3, 3600, 12.0)], [row(7, 3700, 12.0)], [row(4, 10, 99.0), row(5, 7200, 13.0)], [row(6, 9000, 14.0)]]
     s = file_stream(spark, tmp_path, "t", ticks, "symbol long, event_time timestamp, trade_id long, price double, size double")
     bars = rc.run_available(rc.stream_bars(s), "bars").orderBy("ts").collect()
     assert [(b.open, b.close, b.high, b.n_trades) for b in bars][0] == (10.0, 11.0, 11.0, 2)
