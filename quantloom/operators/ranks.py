@@ -18,31 +18,48 @@ from quantloom.functions.columns import col, div
 
 _UNIT, _BINS_PER_E = 1e6, 32.0
 _NULL_BIN = 1 << 40
+_INTEGERS = 16.0
+
+
+def _raw_bin(v: Column) -> Column:
+    return F.floor(F.signum(v) * F.log1p(F.abs(v) * _UNIT) * _BINS_PER_E)
 
 
 def value_bin(value: str | Column) -> Column:
-    """Monotone integer bin, fine near zero and about 3% wide elsewhere; nulls come last."""
+    """Monotone integer bin, fine near zero and about 3% wide elsewhere; nulls come last.
+
+    Integers up to 16 (zero signals, codes, small counts) have a bin of their own: the third of
+    ``3 * bin + side`` says below, at or above the only integer the bin can hold.
+    """
     v = col(value).cast("double")
-    return F.when(v.isNull(), F.lit(_NULL_BIN)).otherwise(
-        F.floor(F.signum(v) * F.log1p(F.abs(v) * _UNIT) * _BINS_PER_E))
+    i, b = F.round(v), _raw_bin(v)
+    side = F.when(F.abs(v) > _INTEGERS, 0).when(v == i, 1).when(_raw_bin(i) == b, F.when(v < i, 0).otherwise(2)).otherwise(0)
+    return F.when(v.isNull(), F.lit(_NULL_BIN)).otherwise(b * 3 + side)
 
 
 def ordinal(df: DataFrame, value: str | Column, name: str, part: Sequence[str] = ("date",),
             ties: Sequence[str] = ("symbol",), descending: bool = False, size: str | None = None) -> DataFrame:
-    """Add 1-based ordinal rank ``name`` within ``part`` (ties by ``ties``), and the group size."""
+    """Add 1-based ordinal rank ``name`` within ``part`` (ties by ``ties``), and the group size.
+
+    Rows that share one small integer value or are null are ordered by the tie key alone, so their bin
+    is split further by it.
+    """
     v = -col(value).cast("double") if descending else col(value).cast("double")
-    keys = [*part, "_bin"]
+    keys = [*part, "_bin", "_sub"]
     numbered = df.withColumn("_v", v).withColumn("_bin", value_bin(F.col("_v")))
+    numeric = bool(ties) and dict(df.dtypes)[ties[0]] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    alone = F.col("_v").isNull() | ((F.abs("_v") <= _INTEGERS) & (F.col("_v") == F.round("_v")))
+    numbered = numbered.withColumn("_sub", F.when(alone, F.coalesce(_raw_bin(F.col(ties[0]).cast("double")), F.lit(_NULL_BIN))).otherwise(F.lit(0)) if numeric else F.lit(0))
     numbered = numbered.withColumn("_rn", F.row_number().over(
-        W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_last(), *ties)))
+        W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_last(), *[F.col(t).asc_nulls_last() if numeric and t == ties[0] else F.col(t) for t in ties])))
     sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    below = W.partitionBy(*part).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    below = W.partitionBy(*part).orderBy("_bin", "_sub").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"),
                            F.sum("_n").over(W.partitionBy(*part)).alias("_grp"))
     out = numbered.join(offsets, keys).withColumn(name, F.col("_rn") + F.col("_off"))
     if size:
         out = out.withColumn(size, F.col("_grp"))
-    return out.drop("_v", "_bin", "_rn", "_off", "_grp")
+    return out.drop("_v", "_bin", "_sub", "_rn", "_off", "_grp")
 
 
 def with_group_stats(df: DataFrame, part: Sequence[str], calendar_sized: bool = False, **aggs: Column) -> DataFrame:
