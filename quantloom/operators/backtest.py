@@ -339,9 +339,6 @@ def stress(df: DataFrame, signal: str = "signal", ret: str = "ret", bps: float =
     return out.drop("_v", *[f"_{a}{d}" for a in "pt" for d in delays])
 
 
-SENSITIVITY_FIELDS = "borrow_multiplier DOUBLE, fill_model STRING, q_quantile DOUBLE, target_gross DOUBLE, adv_participation_pct DOUBLE"
-
-
 def sensitivity_cases(audit: bool = False) -> list[tuple[float, str, float, float, float]]:
     """(borrow, fill, q, gross, ADV share) cases: the 8 standard ones or the 108 of the audit."""
     borrow, fills = ((1.0, 2.0, 3.0), ("open", "hlc3", "close")) if audit else ((1.0, 3.0), ("open", "hlc3"))
@@ -349,6 +346,45 @@ def sensitivity_cases(audit: bool = False) -> list[tuple[float, str, float, floa
     return list(itertools.product(borrow, fills, (0.05, 0.10), gross, adv))
 
 
+def book_sensitivity(panel: DataFrame, cases: Sequence[tuple[float, str, float, float, float]], equity: float = 1e6, min_names: int = 5, name_cap: float = 0.05,
+                     financing_rate: float = 0.05, commission_bps: float = 0.5) -> DataFrame:
+    """Mean daily P&L of every (borrow, fill, q, gross, ADV share) case in one plan.
+
+    The cross-section is ranked once; only the distinct (q, gross, ADV) books are built, side by side as
+    rows, and fill models and borrow multiples re-price the same trades as columns.
+    """
+    books = sorted({c[2:] for c in cases})
+    key = ["q_quantile", "target_gross", "adv_participation_pct"]
+    r = ordinal(panel.filter(F.col("tradable") & F.col("in_pit_universe")), "y_xs_pred", "_r", ("execution_date",), ("symbol",), size="_n")
+    r = r.withColumn("_c", F.explode(F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip(key, b)]) for b in books]))).select("*", "_c.*").drop("_c")
+    r = r.withColumn("_k", F.greatest(F.bround(F.col("_n") * F.col("q_quantile")), F.lit(1), F.lit(min_names)).cast("long")).filter(2 * F.col("_k") <= F.col("_n"))
+    gross = F.col("target_gross") * equity
+    side = F.when(F.col("_r") > F.col("_n") - F.col("_k"), 1.0).when(F.col("_r") <= F.col("_k"), -1.0)
+    size = F.least(gross / 2.0 / F.col("_k"), F.col("adv_20d_dollar_lag1") * F.col("adv_participation_pct"), gross * name_cap)
+    fills = ("open", "hlc3", "close")
+    book = r.filter(side.isNotNull()).select(*key, "execution_date", "symbol", (side * size).alias("signed"), F.col("borrow_tier").alias("tier"), "roll_spread_bps", F.col("close").alias("_close"), *[fill_price(f).alias(f"fill_{f}") for f in fills])
+    days = book.select(*key, "execution_date").distinct().withColumn("book_no", F.row_number().over(W.partitionBy(*key).orderBy("execution_date")))  # books × dates
+    book = book.join(F.broadcast(days), [*key, "execution_date"])
+    new = book.select(*key, "book_no", "symbol", F.col("signed").alias("signed_new"), "tier", "roll_spread_bps", *[f"fill_{f}" for f in fills], F.lit(True).alias("_new"))
+    prev = book.select(*key, (F.col("book_no") + 1).alias("book_no"), "symbol", F.col("signed").alias("signed_prev"), F.col("_close").alias("close_prev"))
+    closes = panel.select("execution_date", "symbol", F.col("close").alias("close_today"))
+    m = new.join(prev, [*key, "book_no", "symbol"], "full").join(F.broadcast(days), [*key, "book_no"]).join(closes, ["execution_date", "symbol"], "left")
+    m = m.withColumns({"signed_new": F.coalesce("signed_new", F.lit(0.0)), "signed_prev": F.coalesce("signed_prev", F.lit(0.0))})
+    change = F.col("signed_new") - F.col("signed_prev")
+    lot = lambda f: F.coalesce(F.sum(F.when(change != 0, change / F.col(f"fill_{f}") * (F.col("close_today") - F.col(f"fill_{f}")))), F.lit(0.0))
+    d = m.groupBy(*key, "execution_date").agg(
+        F.coalesce(F.sum(F.when(F.col("signed_prev") != 0, F.col("signed_prev") * (F.col("close_today") / F.col("close_prev") - 1.0))), F.lit(0.0)).alias("held"), *[lot(f).alias(f"lot_{f}") for f in fills],
+        F.sum(commission(F.abs(change), commission_bps)).alias("comm"), F.sum(half_spread_cost(F.abs(change), F.col("roll_spread_bps"), F.coalesce("tier", F.lit("general")), F.when(F.col("_new"), F.col("execution_date")))).alias("spread"),
+        F.sum(borrow_cost(F.col("signed_new"), F.col("tier"))).alias("borrow"), F.sum(F.abs("signed_new")).alias("gross"))
+    fixed = F.col("held") - F.col("comm") - F.col("spread") - financing_cost(F.col("gross"), equity, financing_rate)
+    d = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n_days"), F.avg(fixed).alias("_fixed"), F.avg("borrow").alias("_borrow"), *[F.avg(f"lot_{f}").alias(f"_lot_{f}") for f in fills])
+    grid = F.array(*[F.struct(F.lit(b).alias("borrow_multiplier"), F.lit(f).alias("fill_model"), *[F.lit(float(v)).alias(f"_{k}") for k, v in zip(key, rest)]) for b, f, *rest in cases])
+    mine = F.filter(grid, lambda c: (c["_q_quantile"] == F.col("q_quantile")) & (c["_target_gross"] == F.col("target_gross")) & (c["_adv_participation_pct"] == F.col("adv_participation_pct")))
+    d = d.withColumn("_c", F.explode(mine)).withColumns({"borrow_multiplier": F.col("_c.borrow_multiplier"), "fill_model": F.col("_c.fill_model")})
+    lots = F.coalesce(*[F.when(F.col("fill_model") == f, F.col(f"_lot_{f}")) for f in fills])
+    return d.select("borrow_multiplier", "fill_model", *key, "n_days", (F.col("_fixed") + lots - F.col("borrow_multiplier") * F.col("_borrow")).alias("mean_daily_net"))
+
+
 def window_report(daily: DataFrame, windows: Sequence[tuple[str, str, str]], ret: str = "net_return", keys: Sequence[str] = ("strategy",)) -> DataFrame:
     """Return, Sharpe and drawdown inside named date windows (a short literal list exploded next to the rows)."""
     lit = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(a).cast("date").alias("lo"), F.lit(b).cast("date").alias("hi")) for n, a, b in windows])

@@ -214,14 +214,20 @@ def stress_scenarios(spark, sf):
     return bt.stress(d).groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.sum("net_return").alias("total"), mt.sharpe("net_return").alias("sharpe"))
 
 
-@query("BT20 BT10 BT11", f"""WITH @bars, {BOOK_SQL}, a AS (SELECT sum(CASE WHEN sn < 0 THEN -sn * 100 / 1e4 / 252 ELSE 0 END) AS borrow, count(DISTINCT date) AS n FROM m2)
-SELECT borrow_multiplier, fill_model, q_quantile, target_gross, adv_participation_pct, borrow * borrow_multiplier / n AS daily_borrow FROM a, (SELECT unnest([1.0, 2.0, 3.0]) AS borrow_multiplier), (SELECT unnest(['open', 'hlc3', 'close']) AS fill_model), (SELECT unnest([0.05, 0.1]) AS q_quantile), (SELECT unnest([0.5, 1.0, 2.0]) AS target_gross), (SELECT unnest([0.01, 0.03]) AS adv_participation_pct)""",
-       "borrow_multiplier q_quantile target_gross adv_participation_pct daily_borrow")
+SENS_SQL = BOOK_SQL.replace("k AS (SELECT *, greatest(CAST(round_even(n * 0.1, 0) AS BIGINT), 1, 2) AS kk FROM r)",
+                           "cb AS (SELECT q, gr, av FROM (SELECT unnest([0.05, 0.1]::DOUBLE[]) AS q), (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS gr), (SELECT unnest([0.01, 0.03]::DOUBLE[]) AS av)), k AS (SELECT *, greatest(CAST(round_even(n * q, 0) AS BIGINT), 1, 2) AS kk FROM r, cb)") \
+    .replace("SELECT execution_date, symbol, close, open AS fill,", "SELECT q, gr, av, execution_date, symbol, close, open AS f1, (high + low + close) / 3 AS f2, close AS f3,").replace("least(500000.0 / kk, adv * 0.01, 50000.0)", "least(gr * 500000.0 / kk, adv * av, gr * 50000.0)") \
+    .replace("SELECT execution_date, row_number() OVER (ORDER BY execution_date) AS no FROM (SELECT DISTINCT execution_date FROM bk)", "SELECT q, gr, av, execution_date, row_number() OVER (PARTITION BY q, gr, av ORDER BY execution_date) AS no FROM (SELECT DISTINCT q, gr, av, execution_date FROM bk)") \
+    .replace("JOIN dy USING (execution_date)", "JOIN dy USING (q, gr, av, execution_date)").replace("SELECT coalesce(a.no, b.no + 1) AS no,", "SELECT coalesce(a.q, b.q) AS q, coalesce(a.gr, b.gr) AS gr, coalesce(a.av, b.av) AS av, coalesce(a.no, b.no + 1) AS no,").replace("a.fill,", "a.f1, a.f2, a.f3,") \
+    .replace("ON a.no = b.no + 1 AND a.symbol = b.symbol", "ON a.q = b.q AND a.gr = b.gr AND a.av = b.av AND a.no = b.no + 1 AND a.symbol = b.symbol").replace("JOIN dy ON m.no = dy.no", "JOIN dy ON m.q = dy.q AND m.gr = dy.gr AND m.av = dy.av AND m.no = dy.no")
+
+
+@query("BT20 BT7 BT8 BT10 BT11", f"""WITH @bars, {SENS_SQL}, d AS (SELECT q, gr, av, date, sum(CASE WHEN sp <> 0 AND cp IS NOT NULL AND ct IS NOT NULL THEN sp * (ct / cp - 1) ELSE 0 END) - sum(abs(sn - sp)) * 0.5e-4 - sum(abs(sn - sp) * 15 * CASE WHEN isnew AND date < DATE '2001-04-09' THEN 2.5 ELSE 1 END / 2 / 1e4) - greatest(sum(abs(sn)) - 1e6, 0) * 0.05 / 252 AS fx,
+ coalesce(sum(CASE WHEN sn <> sp THEN (sn - sp) / f1 * (ct - f1) END), 0) AS l1, coalesce(sum(CASE WHEN sn <> sp THEN (sn - sp) / f2 * (ct - f2) END), 0) AS l2, coalesce(sum(CASE WHEN sn <> sp THEN (sn - sp) / f3 * (ct - f3) END), 0) AS l3, sum(CASE WHEN sn < 0 THEN -sn * 100 / 1e4 / 252 ELSE 0 END) AS bo FROM m2 GROUP BY 1, 2, 3, 4)
+SELECT b AS borrow_multiplier, f AS fill_model, q AS q_quantile, gr AS target_gross, av AS adv_participation_pct, count(*) AS n_days, avg(fx + CASE f WHEN 'open' THEN l1 WHEN 'hlc3' THEN l2 ELSE l3 END - b * bo) AS mean_daily_net
+FROM d, (SELECT unnest([1.0, 2.0, 3.0]::DOUBLE[]) AS b), (SELECT unnest(['open', 'hlc3', 'close']) AS f) GROUP BY 1, 2, 3, 4, 5""", "mean_daily_net", digits=4)
 def sensitivity_audit(spark, sf):
-    d = bt.book_backtest(book_panel(spark, sf), q=0.1, min_names=2)
-    base = d.agg((F.sum("borrow_drag") / F.count(F.lit(1))).alias("b"))
-    cases = spark.createDataFrame(bt.sensitivity_cases(audit=True), bt.SENSITIVITY_FIELDS)
-    return cases.crossJoin(F.broadcast(base)).select(*cases.columns, (F.col("b") * F.col("borrow_multiplier")).alias("daily_borrow"))  # 108 cases × one row
+    return bt.book_sensitivity(book_panel(spark, sf), bt.sensitivity_cases(audit=True), min_names=2)
 
 
 @query("BT21", f"""WITH @bars, {SMOOTH}, r AS (SELECT symbol, date, coalesce(close / lag(close) OVER k - 1, 0) AS ret, CASE WHEN signal > 0 THEN 1.0 ELSE 0.0 END AS pos FROM sm WINDOW k AS (PARTITION BY symbol ORDER BY date)), f AS (SELECT *, coalesce(lag(pos) OVER k, 0) AS pv, coalesce(product(1 + ret) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) - 1, 0) AS nx FROM r WINDOW k AS (PARTITION BY symbol ORDER BY date)),
