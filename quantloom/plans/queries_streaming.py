@@ -97,9 +97,11 @@ r AS (SELECT symbol, fill_id, i, s AS q, price AS a, 0.0::DOUBLE AS pnl FROM f W
  CASE WHEN r.q = 0 OR r.q * f.s > 0 THEN 0 ELSE sign(r.q) * least(abs(f.s), abs(r.q)) * (f.price - r.a) END FROM r JOIN f ON f.symbol = r.symbol AND f.i = r.i + 1)"""
 
 
-@query("SS7", f"WITH RECURSIVE {BOOK} SELECT symbol, fill_id, q AS position, a AS avg_price, pnl AS realized_pnl FROM r", "position avg_price realized_pnl", digits=7)
+@query("SS7", f"WITH RECURSIVE {BOOK} SELECT symbol, count(*) AS n_fills, sum(q) AS sum_position, sum(a * (1 + fill_id % 7)) AS sum_avg_price, sum(pnl * (1 + fill_id % 5)) AS sum_realized, min(q) AS min_position, max(q) AS max_position FROM r GROUP BY symbol", "sum_position sum_avg_price sum_realized min_position max_position", digits=5)
 def position_book(spark, sf):
-    return ex.position_book(fill_table(table(spark, sf, "events"))).select("symbol", "fill_id", "position", "avg_price", "realized_pnl")
+    b = ex.position_book(fill_table(table(spark, sf, "events")))
+    return b.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_fills"), F.sum("position").alias("sum_position"), F.sum(F.col("avg_price") * (1 + F.col("fill_id") % 7)).alias("sum_avg_price"),
+                                   F.sum(F.col("realized_pnl") * (1 + F.col("fill_id") % 5)).alias("sum_realized"), F.min("position").alias("min_position"), F.max("position").alias("max_position"))
 
 
 @query("SS7 SS8", f"WITH RECURSIVE {BOOK}, l AS (SELECT symbol, arg_max(q, i) AS position, arg_max(a, i) AS avg_price, sum(pnl) AS realized_pnl FROM r GROUP BY 1) SELECT *, abs(position) * CASE WHEN symbol % 2 = 0 THEN 50.0 ELSE avg_price END AS notional FROM l WHERE position <> 0", "position avg_price realized_pnl notional", digits=4)
