@@ -51,7 +51,9 @@ def bar_backtest(spark, sf):
     return d.select("symbol", "date", "position", "turnover", "gross_return", "net_return", "realized_mid_return", "is_trade")
 
 
-@query("PT4")
+@query("PT4", f"""WITH RECURSIVE @bars, {SMOOTH}, p AS (SELECT symbol, signal AS p, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM sm),
+r AS (SELECT symbol, i, p, p AS cur, CASE WHEN p <> 0 THEN 1 ELSE -4 END::BIGINT AS ent FROM p WHERE i = 1 UNION ALL SELECT p.symbol, p.i, p.p, CASE WHEN p.p = 0 THEN 0 WHEN p.p <> cur AND p.i - ent >= 5 THEN p.p ELSE cur END, CASE WHEN p.p <> 0 AND p.p <> cur AND p.i - ent >= 5 THEN p.i ELSE ent END FROM r JOIN p ON p.symbol = r.symbol AND p.i = r.i + 1)
+SELECT symbol, count(*) AS n, CAST(sum(abs(cur)) AS DOUBLE) AS active, count_if(cur <> p) AS changed FROM r GROUP BY symbol""", "active")
 def cooldown_positions(spark, sf):
     d = ps.cooldown(smooth(spark, sf).withColumn("p", F.when(F.abs("signal") > 0, F.col("signal")).otherwise(0.0)), "p", 5)
     return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("cooled")).alias("active"), F.count_if(F.col("cooled") != F.col("p")).alias("changed"))

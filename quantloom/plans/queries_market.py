@@ -88,7 +88,7 @@ def normalised_trades(spark, sf):
 
 
 @query("SRC11 JN6", """WITH f AS (SELECT user_id AS symbol, epoch_ms(ts) // 28800000 * 28800000 AS ms, max(value) AS r FROM events GROUP BY 1, 2)
-SELECT symbol, count(*) AS n_rows, avg(r * 1e-5) * 3 * 365 AS annualized_funding FROM f GROUP BY symbol""", "annualized_funding", digits=9)
+SELECT symbol, count(*) AS n_rows, avg(r * 1e-5) * 3 * 365 AS annualized_funding FROM f GROUP BY symbol""", "annualized_funding", digits=5)
 def funding_coverage(spark, sf):
     e = table(spark, sf, "events")
     raw = e.select("user_id", (F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 28800000) * 28800000).alias("calc_time"), F.lit(8).alias("funding_interval_hours"), (F.col("value") * 1e-5).alias("last_funding_rate"))

@@ -151,7 +151,11 @@ def placebo_events(spark, sf):
     return sg.placebo_events(b, ev, (5, -3))
 
 
-@query("SG25")
+@query("SG25", f"""WITH RECURSIVE @bars, a AS (SELECT symbol, date, ln(close) - ln(open) AS r FROM bars), b AS (SELECT symbol, row_number() OVER wk AS i, (r - ({g('avg', 'r', 20)})) / nullif({g('stddev_samp', 'r', 20)}, 0) AS z FROM a {windows(20)}),
+s AS (SELECT symbol, i, CASE WHEN abs(z) >= 1.5 THEN -sign(z) ELSE 0 END AS pos, 0 AS held FROM b WHERE i = 1 UNION ALL
+ SELECT symbol, i, CASE WHEN p1 = 0 AND abs(z) >= 1.5 THEN -sign(z) ELSE p1 END, CASE WHEN p1 = 0 THEN 0 ELSE h END FROM (SELECT b.symbol, b.i, b.z, CASE WHEN pos <> 0 THEN held + 1 ELSE 0 END AS h,
+  CASE WHEN pos <> 0 AND (coalesce(abs(b.z) <= 0.5, false) OR held + 1 >= 20) THEN 0 ELSE pos END AS p1 FROM s JOIN b ON b.symbol = s.symbol AND b.i = s.i + 1))
+SELECT symbol, count_if(pos > 0) AS n_long, count_if(pos < 0) AS n_short, count(*) AS n FROM s GROUP BY symbol""")
 def residual_state(spark, sf):
     d = bars(spark, sf).withColumn("_r", F.log("close") - F.log("open"))
     from quantloom.functions.rolling import rolling
