@@ -42,7 +42,7 @@ def zoo_grid(universes: DataFrame, cap: int | None = None, seed: int = 42, axes:
     return d if cap is None else d.orderBy(uniform("strategy_id", seed=seed), "strategy_id").limit(cap)
 
 
-# Execution profiles (name, min score, min edge multiple, side, holding, cooldown, delay).
+# Defaults of this package, not checked against published settings: execution profiles (name, min score, min edge multiple, side, holding, cooldown, delay).
 PROFILES = (("base", 0.0, 0.0, "both", 1, 0, 0), ("edge_1x", 0.0, 1.0, "both", 1, 0, 0), ("edge_2x", 0.0, 2.0, "both", 1, 0, 0), ("long_only", 0.0, 0.0, "long_only", 1, 0, 0),
             ("short_only", 0.0, 0.0, "short_only", 1, 0, 0), ("hold_5", 0.0, 0.0, "both", 5, 0, 0), ("hold_15", 0.0, 0.0, "both", 15, 0, 0), ("cooldown_5", 0.0, 0.0, "both", 1, 5, 0),
             ("cooldown_15", 0.0, 0.0, "both", 1, 15, 0), ("delay_1", 0.0, 0.0, "both", 1, 0, 1), ("strict", 0.5, 2.0, "both", 5, 5, 0), ("strict_delay", 0.5, 2.0, "both", 5, 5, 1))

@@ -39,7 +39,7 @@ def last_dates(df: DataFrame, n: int, date: str = "date") -> DataFrame:
     return df.join(F.broadcast(keep), date, "left_semi")
 
 
-# Column aliases accepted for each canonical field, best first.
+# Defaults of this package: column aliases accepted for each canonical field, best first.
 FIELD_ALIASES = {
     "timestamp": ("timestamp", "open_time", "datetime", "date", "time", "event_time", "ts"),
     "open": ("open", "open_price"), "high": ("high", "high_price"), "low": ("low", "low_price"),
