@@ -108,16 +108,36 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        p = np.full(max(n, 2 * len(_powers), 64), BASE, np.uint64)
-        p[0] = 1
-        _powers = np.cumprod(p)
-    return _powers
+LOW_BITS = 16
+LOW_POWERS = np.cumprod(np.append(np.ones(1, np.uint64), np.full((1 << LOW_BITS) - 1, BASE, np.uint64)))
+
+
+def powers(at: np.ndarray) -> np.ndarray:
+    """BASE to the given exponents, modulo 2^64, from two short tables."""
+    out = LOW_POWERS[at & ((1 << LOW_BITS) - 1)]
+    most = int(at.max(initial=0)) >> LOW_BITS
+    if most:
+        high = np.cumprod(np.append(np.ones(1, np.uint64), np.full(most, LOW_POWERS[-1] * BASE, np.uint64)))
+        out = out * high[at >> LOW_BITS]
+    return out
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """64-bit hashes of rising, disjoint, non-empty byte spans, a bounded number of bytes at a time."""
+    out = np.zeros(len(start), np.uint64)
+    for lo in range(int(start[0]) if len(start) else 0, int(end[-1]) if len(end) else 0, SLICE_BYTES):
+        hi = lo + SLICE_BYTES
+        a, b = np.searchsorted(end, lo, side="right"), np.searchsorted(start, hi)
+        if a >= b:
+            continue
+        s, e = np.maximum(start[a:b], lo), np.minimum(end[a:b], hi)
+        size = e - s
+        first = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(first, size)
+        code = BYTE_CODE[fold[buf[step + np.repeat(s, size)]]]
+        code *= powers(step + np.repeat(s - start[a:b], size))
+        out[a:b] += np.add.reduceat(code, first)
+    return mix(out + (end - start).astype(np.uint64) * STEP)
 
 
 class Words:
@@ -136,20 +156,7 @@ class Words:
         stop = inside & (after | first[1:n + 1])
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         self.offsets = np.searchsorted(self.start, offsets)
-        self.hash = np.zeros(len(self.start), np.uint64)
-        lo = 0
-        while lo < len(self.start):  # a long text in pieces that end between words
-            hi = max(lo + 1, int(np.searchsorted(self.start, self.start[lo] + SLICE_BYTES)))
-            self.hash[lo:hi] = self._hashes(buf, inside, lo, hi, fold)
-            lo = hi
-
-    def _hashes(self, buf, inside, lo, hi, fold):
-        a, b = self.start[lo], self.end[hi - 1]
-        size = self.end[lo:hi] - self.start[lo:hi]
-        at = np.cumsum(size) - size
-        code = BYTE_CODE[fold[buf[a:b][inside[a:b]]]]
-        code *= powers(int(size.max()))[np.arange(len(code)) - np.repeat(at, size)]
-        return mix(np.add.reduceat(code, at) + size.astype(np.uint64) * STEP)
+        self.hash = span_hashes(buf, self.start, self.end, fold)
 
     def doc(self) -> np.ndarray:
         """Row number of each word's text."""

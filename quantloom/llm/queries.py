@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from quantloom.llm.op1_tokens import op1_token_counts
+from quantloom.llm.op2_language import op2_language_id
+from quantloom.llm.op5_quality import op5_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_token_counts,)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op5_quality_rules)}
 SQL: dict[str, str] = {}
