@@ -111,13 +111,15 @@ BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
 LOW_BITS = 16
 LOW_POWERS = np.cumprod(np.append(np.ones(1, np.uint64), np.full((1 << LOW_BITS) - 1, BASE, np.uint64)))
 
+HIGH_STEP = np.uint64(pow(int(BASE), 1 << LOW_BITS, 1 << 64))
+
 
 def powers(at: np.ndarray) -> np.ndarray:
     """BASE to the given exponents, modulo 2^64, from two short tables."""
     out = LOW_POWERS[at & ((1 << LOW_BITS) - 1)]
     most = int(at.max(initial=0)) >> LOW_BITS
     if most:
-        high = np.cumprod(np.append(np.ones(1, np.uint64), np.full(most, LOW_POWERS[-1] * BASE, np.uint64)))
+        high = np.cumprod(np.append(np.ones(1, np.uint64), np.full(most, HIGH_STEP, np.uint64)))
         out = out * high[at >> LOW_BITS]
     return out
 
