@@ -7,6 +7,7 @@ from quantloom.llm.op10_jaccard import op10_ngram_jaccard
 from quantloom.llm.op2_language import op2_language_id
 from quantloom.llm.op5_quality import op5_quality_rules
 from quantloom.llm.op7_suffix import op7_suffix_dedup
+from quantloom.llm.op9_pii import op9_pii
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op5_quality_rules, op7_suffix_dedup, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op5_quality_rules, op7_suffix_dedup, op9_pii, op10_ngram_jaccard)}
 SQL: dict[str, str] = {}
