@@ -5,9 +5,19 @@ from __future__ import annotations
 from quantloom.llm.op1_tokens import op1_token_counts
 from quantloom.llm.op10_jaccard import op10_ngram_jaccard
 from quantloom.llm.op2_language import op2_language_id
+from quantloom.llm.op3_decontamination import op3_benchmark_decontamination
 from quantloom.llm.op5_quality import op5_quality_rules
 from quantloom.llm.op7_suffix import op7_suffix_dedup
+from quantloom.llm.op8_mixing import op8_source_mixing
 from quantloom.llm.op9_pii import op9_pii
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op5_quality_rules, op7_suffix_dedup, op9_pii, op10_ngram_jaccard)}
+
+def pipeline(spark, sf_dir: str):
+    """All stages of the corpus pipeline at the repository top."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_benchmark_decontamination, op5_quality_rules, op7_suffix_dedup, op8_source_mixing, op9_pii, op10_ngram_jaccard, pipeline)}
 SQL: dict[str, str] = {}
