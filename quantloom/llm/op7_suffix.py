@@ -6,8 +6,10 @@ window as its digit.  Read here are, in this order:
 
 1. the window's *anchor*, its 32-byte gram with the smallest hash (leftmost on ties).  Equal windows have the same anchor at the same
    place.  Neighbouring windows share anchors, so one row stands for about 35 suffixes.
-2. the whole stretch of the windows that share one anchor: two equal stretches settle all their windows at once.
-3. the full window, for the first members of anchors with several different stretches.
+2. the whole stretch of the windows that share one anchor: two equal stretches settle all their windows at once.  Left are the first
+   members of anchors with several different stretches.
+3. the anchor with the 34 bytes before it, or for windows that do not reach so far back, with the 34 bytes behind it.
+4. the full window.
 
 The first member of a group by (doc_id, start) stays; the bytes of the others are removed.  Digits are 64-bit hashes.  Passes are joins and
 aggregations by digit, so that adaptive execution can split a digit that many documents hold.
@@ -77,9 +79,10 @@ def pieces(offsets: np.ndarray, length: int):
 
 
 def stretches(buf: np.ndarray, bounds: np.ndarray, length: int):
-    """Of the windows inside texts (``bounds``: where texts begin and end): anchor, hash, first window and number of windows of each stretch."""
+    """Of the windows inside texts (``bounds``: where texts begin and end), for each stretch: anchor, hash, the hashes of the anchor with
+    what stands before and behind, first window, number of windows, and how many of them reach far back."""
     n = len(buf) - length + 1
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none = *(np.zeros(0, np.uint64) for _ in range(3)), *(np.zeros(0, np.int64) for _ in range(3))
     if n <= 0:
         return none
     grams = mix(rolled(BYTE_CODE[buf], GRAM))
@@ -111,9 +114,16 @@ def stretches(buf: np.ndarray, bounds: np.ndarray, length: int):
         start, owner = every[first], own[first]
         stop = end[np.append(np.flatnonzero(first)[1:] - 1, len(end) - 1)]
     sums = np.append(np.zeros(1, np.uint64), np.cumsum(BYTE_CODE[buf] * powers(np.arange(len(buf))), dtype=np.uint64))
-    whole = (sums[stop + length] - sums[start]) * powers(2 * PIECE - start)
+
+    def span_hash(a, b):
+        return mix((sums[b] - sums[a]) * powers(2 * PIECE - a))
+
     place = (owner - start).astype(np.uint64) * STEP + (stop - start).astype(np.uint64)
-    return grams[owner], mix(mix(whole) + place), start, stop - start + 1
+    half = (length - GRAM) // 2
+    before = np.clip(np.minimum(stop, owner - half) - start + 1, 0, None)
+    left = span_hash(np.maximum(owner - half, 0), owner + GRAM) >> np.uint64(32)
+    right = span_hash(owner, np.minimum(owner + GRAM + half, len(buf))) >> np.uint64(32)
+    return grams[owner], mix(span_hash(start, stop + length) + place), (left << np.uint64(32)) | right, start, stop - start + 1, before
 
 
 def owners(p: np.ndarray, least: np.ndarray, grams: np.ndarray, anchors: np.ndarray) -> np.ndarray:
@@ -133,13 +143,14 @@ def digits(length: int):
             ids = batch.column(0).to_numpy()
             for lo, hi in pieces(offsets, length):
                 bounds = offsets[np.searchsorted(offsets, lo):np.searchsorted(offsets, hi, side="right")] - lo
-                gram, whole, start, n = stretches(buf[lo:hi], bounds, length)
+                gram, whole, sides, start, n, before = stretches(buf[lo:hi], bounds, length)
                 row = np.searchsorted(offsets, start + lo, side="right") - 1
-                yield pa.RecordBatch.from_arrays([signed(gram), signed(whole), pa.array(ids[row]), pa.array(start + lo - offsets[row]), pa.array(n)], ["gram", "whole", "doc", "at", "n"])
+                where = pa.array(start + lo - offsets[row])
+                yield pa.RecordBatch.from_arrays([signed(gram), signed(whole), signed(sides), pa.array(ids[row]), where, pa.array((n << 8) | before)], ["gram", "whole", "sides", "doc", "at", "many"])
     return run
 
 
-DIGITS = "gram long, whole long, doc long, at long, n long"
+DIGITS = "gram long, whole long, sides long, doc long, at long, many long"
 
 
 def single_windows(length: int):
@@ -148,6 +159,7 @@ def single_windows(length: int):
         for batch in batches:
             buf, offsets = raw(column(batch, "text"))
             ids, lists = batch.column(0), batch.column(2)
+            waiting: list = []
             for row in range(batch.num_rows):
                 spans = lists[row].values.flatten()
                 start, n = (x.to_numpy() for x in spans)
@@ -161,10 +173,20 @@ def single_windows(length: int):
                         continue
                     p = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
                     hashes = mix(rolled(BYTE_CODE[text[lo:lo + PIECE + length - 1]], length))
-                    yield pa.RecordBatch.from_arrays([signed(hashes[p - lo]), pa.array(np.full(len(p), ids[row].as_py()), pa.int64()), pa.array(p)], ["window", "doc", "at"])
+                    waiting.append((hashes[p - lo], np.full(len(p), ids[row].as_py()), p))
+                    if sum(len(x[2]) for x in waiting) > PIECE // 8:
+                        yield flushed(waiting)
+            if waiting:
+                yield flushed(waiting)
     return run
 
 
+def flushed(waiting: list) -> pa.RecordBatch:
+    window, doc, at = (np.concatenate(x) for x in zip(*waiting))
+    waiting.clear()
+    return pa.RecordBatch.from_arrays([signed(window), pa.array(doc, pa.int64()), pa.array(at)], ["window", "doc", "at"])
+
+
 def cut(batches):
     """What is left of each text without the given byte ranges."""
     for batch in batches:
@@ -207,11 +229,18 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     anchors = saved(every.groupBy("gram").count().where("count > 1").select("gram"))
     rows = saved(every.join(anchors, "gram"))
     place = F.struct("doc", "at")
-    groups = saved(rows.groupBy("gram", "whole").agg(F.min(F.struct("doc", "at", "n")).alias("first")))
-    later = rows.join(groups, ["gram", "whole"]).where(place > F.struct("first.doc", "first.at")).select("doc", "at", (F.col("at") + F.col("n") - 1 + length).alias("end"))
+    groups = saved(rows.groupBy("gram", "whole").agg(F.min(F.struct("doc", "at", "many", "sides")).alias("first")))
+    later = rows.join(groups, ["gram", "whole"]).where(place > F.struct("first.doc", "first.at")).select("doc", "at", (F.col("at") + F.shiftright("many", 8) - 1 + length).alias("end"))
     later = saved(later)
-    several = saved(groups.groupBy("gram").count().where("count > 1").select("gram"))
-    spans = groups.join(several, "gram").select("first.doc", "first.at", "first.n").distinct().groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    several = groups.groupBy("gram").count().where("count > 1").select("gram")
+    n, before = F.shiftright("many", 8), F.col("many").bitwiseAND(255)
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.shiftright("sides", 32).alias("digit"), F.col("at"), before.alias("n")),
+        F.struct(F.lit(1).alias("side"), F.col("sides").bitwiseAND(0xFFFFFFFF).alias("digit"), (F.col("at") + before).alias("at"), (n - before).alias("n")))
+    halves = groups.join(saved(several), "gram").select("gram", "first.*").select("gram", "doc", F.explode(sides).alias("s")).select("gram", "doc", "s.*").where("n > 0")
+    halves = saved(halves)
+    shared = saved(halves.groupBy("gram", "side", "digit").count().where("count > 1").drop("count"))
+    spans = halves.join(shared, ["gram", "side", "digit"]).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     windows = saved(texts.join(spans, "doc").select("doc", "text", "spans").mapInArrow(single_windows(length), "window long, doc long, at long"))
     firsts = saved(windows.groupBy("window").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("window", "first"))
     single = windows.join(firsts, "window").where(place > F.col("first")).select("doc", "at", (F.col("at") + length).alias("end"))
