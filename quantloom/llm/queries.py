@@ -6,6 +6,7 @@ from quantloom.llm.op1_tokens import op1_token_counts
 from quantloom.llm.op10_jaccard import op10_ngram_jaccard
 from quantloom.llm.op2_language import op2_language_id
 from quantloom.llm.op3_decontamination import op3_benchmark_decontamination
+from quantloom.llm.op4_license import op4_license_scan
 from quantloom.llm.op5_quality import op5_quality_rules
 from quantloom.llm.op6_maxent import op6_maxent_lm
 from quantloom.llm.op7_suffix import op7_suffix_dedup
@@ -20,5 +21,5 @@ def pipeline(spark, sf_dir: str):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_benchmark_decontamination, op5_quality_rules, op6_maxent_lm, op7_suffix_dedup, op8_source_mixing, op9_pii, op10_ngram_jaccard, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_benchmark_decontamination, op4_license_scan, op5_quality_rules, op6_maxent_lm, op7_suffix_dedup, op8_source_mixing, op9_pii, op10_ngram_jaccard, pipeline)}
 SQL: dict[str, str] = {}
