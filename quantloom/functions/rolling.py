@@ -1,80 +1,105 @@
 """Rolling moments in linear time.
 
-A sliding row frame is evaluated from scratch for every row, so a 252-row standard deviation costs
-252 updates per row.  Sums over a frame are differences of running sums, which Spark computes
-incrementally, so long windows become two window passes whatever their length.  Values are centred on
-the first value of the series to keep the digits of second moments; NaN counts as missing.
+A sliding row frame is evaluated from scratch for every row, so a 252-row standard deviation costs 252 updates per row.  Here a
+series is cut into blocks of n rows: the last n rows are the end of one block and the start of the next.  Moments from the start of a
+block on, and back from its end, run along with the rows, and the two states (count, mean, centred sums) merge exactly.  A value
+leaves the result with its row, however large it was.
+
+Nulls are skipped.  NaN and infinity behave as in a plain frame at every length: windows that hold them show them, later windows do not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from quantloom.functions.columns import by, col, div, full, last_rows, so_far
+from quantloom.functions.columns import by, col, div, full, last_rows
 
-DIRECT_ROWS = 20
+SHORT_FRAME = 32  # up to here a plain frame is as fast; results are the same
 _DIRECT = {"sum": F.sum, "avg": F.avg, "std": F.stddev_samp, "var": F.var_samp, "max": F.max, "min": F.min}
 Spec = tuple[str, str, int]
 
 
+def _state(x: Column, y: Column | None, frame: WindowSpec) -> Column:
+    """Count, sum, means and centred sums of one column, or of the rows where both of two are set."""
+    n = F.count(x).over(frame)
+    parts = {"n": n, "sum": F.sum(x).over(frame), "mx": F.avg(x).over(frame), "xx": F.var_pop(x).over(frame) * n}
+    if y is not None:
+        parts |= {"my": F.avg(y).over(frame), "yy": F.var_pop(y).over(frame) * n, "xy": F.covar_pop(x, y).over(frame) * n}
+    return F.struct(*[e.alias(k) for k, e in parts.items()])
+
+
+def _merged(a: Column, b: Column, pair: bool) -> dict[str, Column]:
+    """The state of two adjacent stretches; either may be empty."""
+    na, nb = (F.coalesce(s["n"], F.lit(0)).cast("double") for s in (a, b))
+    n = na + nb
+    only = F.when(na == 0, b).when(nb == 0, a)
+
+    def mean(m: str) -> Column:
+        return F.when(a[m] == b[m], a[m]).otherwise((na * a[m] + nb * b[m]) / n)
+
+    def centred(s: str, u: str, v: str) -> Column:
+        return F.coalesce(only[s], a[s] + b[s] + (b[u] - a[u]) * (b[v] - a[v]) * (na * nb / n))
+
+    out = {"n": n, "sum": F.coalesce(only["sum"], a["sum"] + b["sum"]), "mx": F.coalesce(only["mx"], mean("mx")), "xx": centred("xx", "mx", "mx")}
+    return out | ({"yy": centred("yy", "my", "my"), "xy": centred("xy", "mx", "my")} if pair else {})
+
+
+def _blocked(df: DataFrame, columns: dict[str, tuple[Column, Column | None]], sizes: Sequence[int], key: Sequence[str], time: Sequence[str]) -> tuple[DataFrame, dict]:
+    """``df`` with helper columns, and for each (name, size) the state of the last ``size`` rows."""
+    d = df.withColumn("_row", F.row_number().over(by(key, time)) - 1)
+    order = Window.partitionBy(*key).orderBy("_row")
+    for n in sizes:
+        d = d.withColumn(f"_block_{n}", F.floor(F.col("_row") / n))
+        block = Window.partitionBy(*key, f"_block_{n}")
+        for side, w in (("a", block.orderBy("_row")), ("b", block.orderBy(F.desc("_row")))):
+            frame = w.rowsBetween(Window.unboundedPreceding, 0)
+            d = d.withColumns({f"_{side}_{c}_{n}": _state(x, y, frame) for c, (x, y) in columns.items()})
+    d = d.withColumns({f"_b_{c}_{n}": F.when((F.col("_row") + 1) % n != 0, F.lag(f"_b_{c}_{n}", n - 1).over(order)) for c in columns for n in sizes})
+    return d, {(c, n): _merged(F.col(f"_b_{c}_{n}"), F.col(f"_a_{c}_{n}"), y is not None) for c, (_, y) in columns.items() for n in sizes}
+
+
+def _clean(d: DataFrame, df: DataFrame, added: Sequence[str]) -> DataFrame:
+    return d.select(*[F.col(f"`{c}`") for c in df.columns if c not in added], *added)
+
+
 def rolling(df: DataFrame, specs: dict[str, Spec], key: Sequence[str] = ("symbol",), time: Sequence[str] = ("date",),
             least: int | None = None) -> DataFrame:
     """Add ``name: (sum|avg|std|var|max|min, column, rows)``; null until ``least`` (default rows) non-null values."""
-    w, f = by(key, time), so_far(key, time)
-    long = {k: s for k, s in specs.items() if s[2] > DIRECT_ROWS and s[0] not in ("max", "min")}
-    xs = sorted({s[1] for s in long.values()})
-    valid = {x: F.when(~F.isnan(col(x).cast("double")), col(x).cast("double")) for x in xs}
-    d = df.withColumns({f"_c_{x}": F.first(valid[x], ignorenulls=True).over(f) for x in xs}) if xs else df
-    sums: dict[str, Column] = {}
-    for x in xs:
-        v = F.coalesce(valid[x] - F.col(f"_c_{x}"), F.lit(0.0))
-        sums |= {f"_n_{x}": F.count(valid[x]).over(f), f"_s_{x}": F.sum(v).over(f)}
-        if any(s[0] in ("std", "var") for s in long.values() if s[1] == x):
-            sums[f"_q_{x}"] = F.sum(v * v).over(f)
-    d = d.withColumns(sums) if sums else d
-
-    def part(name: str, n: int) -> Column:
-        return F.col(name) - F.lag(name, n, 0).over(w)
-
+    long = {k: s for k, s in specs.items() if s[2] > SHORT_FRAME and s[0] not in ("max", "min")}
+    columns = {f"c{i}": x for i, x in enumerate(sorted({s[1] for s in long.values()}))}
+    place = {x: c for c, x in columns.items()}
+    d, states = df, {}
+    if long:
+        d, states = _blocked(df, {c: (col(x).cast("double"), None) for c, x in columns.items()}, sorted({s[2] for s in long.values()}), key, time)
     out: dict[str, Column] = {}
     for name, (fn, x, n) in specs.items():
-        need = n if least is None else least
         if name not in long:
             out[name] = full(n, _DIRECT[fn](col(x)), x, last_rows(n, key, time), least)
             continue
-        count, total = part(f"_n_{x}", n), part(f"_s_{x}", n)
-        if fn == "sum":
-            value = total + F.col(f"_c_{x}") * count
-        elif fn == "avg":
-            value = div(total, count) + F.col(f"_c_{x}")
-        else:
-            ss = part(f"_q_{x}", n) - div(total * total, count)
-            ss = F.when(ss > F.col(f"_q_{x}") * 1e-14, ss).otherwise(F.lit(0.0))
-            value = div(ss, count - 1)
-            value = F.sqrt(value) if fn == "std" else value
-        out[name] = F.when(count >= need, value)
-    return d.withColumns(out).drop(*[f"_{k}_{x}" for k in "cnsq" for x in xs])
+        s = states[place[x], n]
+        var = div(s["xx"], s["n"] - 1)
+        value = {"sum": s["sum"], "avg": s["mx"], "var": var, "std": F.sqrt(var)}[fn]
+        out[name] = F.when(s["n"] >= (n if least is None else least), value)
+    return _clean(d.withColumns(out), df, list(out)) if long else d.withColumns(out)
 
 
 def rolling_pairs(df: DataFrame, x: str, y: str, sizes: Sequence[int], key: Sequence[str] = ("symbol",), time: Sequence[str] = ("date",),
                   shift: int = 0, prefix: str = "_pair") -> DataFrame:
-    """Joint rolling moments over rows t-n-shift+1 … t-shift: ``<prefix>_{n|cov|vx|vy}_<rows>`` (pairwise non-null)."""
-    w, f = by(key, time), so_far(key, time)
+    """Joint rolling moments over rows t-n-shift+1 … t-shift: ``<prefix>_{n|cov|vx|vy}_<rows>`` (rows where both are set)."""
     both = col(x).isNotNull() & col(y).isNotNull()
-    d = df.withColumns({"_cx": F.first(F.when(both, col(x)), ignorenulls=True).over(f), "_cy": F.first(F.when(both, col(y)), ignorenulls=True).over(f)})
-    u, v = (F.coalesce(F.when(both, col(c) - F.col(k)), F.lit(0.0)) for c, k in ((x, "_cx"), (y, "_cy")))
-    names = {"_pn": both.cast("double"), "_px": u, "_py": v, "_pxy": u * v, "_pxx": u * u, "_pyy": v * v}
-    d = d.withColumns({k: F.sum(e).over(f) for k, e in names.items()})
+    u, v = (F.when(both, col(c).cast("double")) for c in (x, y))
+    d, states = _blocked(df, {"p": (u, v)}, sorted(set(sizes)), key, time)
     out = {}
     for n in sizes:
-        s = {k: F.lag(k, shift, 0).over(w) - F.lag(k, n + shift, 0).over(w) if shift else F.col(k) - F.lag(k, n, 0).over(w) for k in names}
-
-        def ss(ab: str, a: str, b: str, s=s) -> Column:
-            return div(s[ab] - div(s[a] * s[b], s["_pn"]), s["_pn"] - 1)
-
-        out |= {f"{prefix}_n_{n}": s["_pn"], f"{prefix}_cov_{n}": ss("_pxy", "_px", "_py"),
-                f"{prefix}_vx_{n}": ss("_pxx", "_px", "_px"), f"{prefix}_vy_{n}": ss("_pyy", "_py", "_py")}
-    return d.withColumns(out).drop("_cx", "_cy", *names)
+        s = states["p", n]
+        out |= {f"{prefix}_n_{n}": s["n"], **{f"{prefix}_{k}_{n}": div(s[m], s["n"] - 1) for k, m in (("cov", "xy"), ("vx", "xx"), ("vy", "yy"))}}
+    d = d.withColumns(out)
+    if shift:
+        order = Window.partitionBy(*key).orderBy("_row")
+        d = d.withColumns({c: F.lag(c, shift).over(order) for c in out})
+        d = d.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in out if c.startswith(f"{prefix}_n_")})
+    return _clean(d, df, list(out))

@@ -218,9 +218,9 @@ def market_beta(panel: DataFrame, spec: Sequence[tuple[int, int]] = ((60, 30), (
 
 def rolling_index_beta(df: DataFrame, y: str, x: str, window: int, key: Sequence[str] = ("symbol",), time: Sequence[str] = ("date",)) -> DataFrame:
     """Population covariance over sample variance, both on full windows."""
-    d = rolling(df.withColumn("_xy", F.col(x) * F.col(y)), {"_a": ("avg", "_xy", window), "_ax": ("avg", x, window), "_ay": ("avg", y, window),
-                                                          "_vx": ("var", x, window)}, key, time)
-    return d.withColumn("beta", div(F.col("_a") - F.col("_ax") * F.col("_ay"), "_vx")).drop("_xy", "_a", "_ax", "_ay", "_vx")
+    d = rolling_pairs(df, y, x, [window], key, time, prefix="_index")
+    beta = div(F.col(f"_index_cov_{window}") * ((window - 1) / window), f"_index_vy_{window}")
+    return d.withColumn("beta", F.when(F.col(f"_index_n_{window}") >= window, beta)).drop(*[f"_index_{k}_{window}" for k in ("n", "cov", "vx", "vy")])
 
 
 def trend_fingerprint(panel: DataFrame, windows: Sequence[int] = (20, 60, 120, 252)) -> DataFrame:
