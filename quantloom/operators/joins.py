@@ -211,10 +211,3 @@ def adverse_basis(panel: DataFrame) -> DataFrame:
     d = panel.withColumns({"spot_ret": F.coalesce(div("spot", F.lag("spot").over(w)) - 1.0, F.lit(0.0)), "perp_ret": F.coalesce(div("perp", F.lag("perp").over(w)) - 1.0, F.lit(0.0))})
     return d.withColumns({"price_pnl": F.col("spot_ret") - F.col("perp_ret"),
                           "adverse_dbasis": div("perp_high", "spot_low") - 1.0 - F.coalesce(F.lag("basis").over(w), F.col("basis"))})
-
-
-def orders_in_window(orders: DataFrame, book: str = "book", seconds: int = 60) -> DataFrame:
-    """Orders of the book in the preceding window (an upper bound for the placed-order limit)."""
-    w = W.partitionBy(book, F.floor(F.unix_seconds("ts") / 3600)).orderBy(F.unix_seconds("ts")).rangeBetween(-seconds, 0)
-    return orders.withColumn("recent", F.count(F.lit(1)).over(w) - 1)
-

@@ -357,11 +357,11 @@ def permutation_p_value(best: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- correlation clusters
 
 def correlation_edges(returns: DataFrame, threshold: float = 0.9, tile: int = 256) -> DataFrame:
-    """Edges that span the |correlation| ≥ threshold graph: each row's smallest partner per tile pair.
+    """Edges that span the |correlation| ≥ threshold graph: a spanning forest per tile pair, at most its rows less one.
 
     Standardised return arrays are cut into tiles of a fixed number of strategies; a pair of tiles is one
     task of one matrix product, and only spanning edges leave it (never all pairs), so a large cluster
-    of near-copies costs one edge per row and tile pair.
+    of near-copies costs at most one edge per row and tile pair.
     """
     dates = returns.select("date").distinct().withColumn("_i", F.row_number().over(W.orderBy("date")) - 1)  # calendar-sized
     total = dates.agg(F.count(F.lit(1)).alias("_n"))
@@ -384,28 +384,40 @@ def correlation_edges(returns: DataFrame, threshold: float = 0.9, tile: int = 25
         ids, t = pdf["strategy_id"].to_numpy(dtype=object), pdf["_t"].to_numpy()
         left, right = np.where(t == p)[0], np.where(t == q)[0]
         hit = np.abs(z[left] @ z[right].T) >= threshold - 1e-12
+        # a spanning forest of the tile pair's hits: a row is linked to the first of its group, so groups joined by one row stay together
+        parent = np.arange(len(ids))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
         src, dst = [], []
         for i, row in zip(left, hit):
-            partners = right[row]
-            if len(partners):
-                low = min(ids[partners])
-                src.append(ids[i]); dst.append(low)
-        for j, column in zip(right, hit.T):
-            partners = left[column]
-            if len(partners):
-                src.append(ids[j]); dst.append(min(ids[partners]))
+            for j in right[row]:
+                x, y = root(i), root(j)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    src.append(ids[i])
+                    dst.append(ids[j])
         return pd.DataFrame({"src": src, "dst": dst}, dtype=object)
 
     e = spread(a, "_p", "_q").groupBy("_p", "_q").applyInPandas(product, "src string, dst string")
     return e.filter("src <> dst").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Connected components by minimum labels with pointer jumping; every round is checkpointed reliably."""
+def components(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """Connected components by minimum labels with pointer jumping; every round is checkpointed reliably.
+
+    Runs until labels rest; a given ``max_rounds`` that is too small raises.
+    """
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = durable(both)
     labels = durable(nodes.select(F.col("strategy_id").alias("id"), F.col("strategy_id").alias("label")))
-    for _ in range(max_rounds):
+    for k in itertools.count():
+        if k == max_rounds:
+            raise RuntimeError(f"components still change after {max_rounds} rounds")
         near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("root"))

@@ -36,11 +36,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the reliable checkpoint folder of the cluster.
 
-    The folder is read from ``spark.checkpoint.dir``; only when a session has none (tests on one
-    machine) a temporary one is set.  Survives the loss of executors, unlike a local checkpoint.
+    The folder is read from ``spark.checkpoint.dir``; only a session on one machine (tests) may lack the setting and
+    gets a temporary one.  Survives the loss of executors, unlike a local checkpoint.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not is_local(df.sparkSession):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.sparkContext.master.split("[")[0] == "local"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,13 +69,17 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 
 def verified_read(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Read a parquet artifact only if the hash of every file is in the manifest (columns path, sha256)."""
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    """Read a parquet artifact only if its files are exactly those of the manifest (columns path, sha256), with the same hashes.
+
+    Files are named by their path below the artifact's folder, so equal names in different partitions stay apart.
+    """
+    root = path.rstrip("/").split("/")[-1]
+    name = lambda c: F.regexp_replace(F.concat(F.lit("/"), c), "^.*/" + re.escape(root) + "/", "")
     have = file_hashes(spark, path).filter(F.col("path").endswith(".parquet")).select(name(F.col("path")).alias("file"), "sha256")
-    want = manifest.select(name(F.col("path")).alias("file"), F.col("sha256").alias("expected"))
-    bad = have.join(want, "file", "left").filter(F.col("expected").isNull() | (F.col("expected") != F.col("sha256")))
-    if bad.limit(1).count():
-        raise ContractError(f"artifact hash differs from its manifest: {path}")
+    want = manifest.filter(F.col("path").endswith(".parquet")).select(name(F.col("path")).alias("file"), F.col("sha256").alias("expected"))
+    bad = have.join(want, "file", "full").filter(~F.col("expected").eqNullSafe(F.col("sha256")))
+    if not bad.isEmpty():
+        raise ContractError(f"artifact differs from its manifest: {path}")
     return spark.read.parquet(path)
 
 

@@ -86,11 +86,12 @@ def recent_orders(orders: DataFrame, seconds: int = 60, book: str = "book", buck
 # ---------------------------------------------------------------- position book
 
 def position_book(fills: DataFrame, ties: Sequence[str] = ("fill_id",), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Quantity, average price and realised P&L after every fill, as windows.
+    """Quantity, average price and realised P&L after every fill.
 
-    The quantity is a running sum.  Between two flat points or flips the cost basis follows
-    c_t = a_t c_{t-1} + b_t with known a and b (an increase adds its cost, a reduction scales by q_t / q_{t-1}),
-    so it is a running sum scaled by a running product.  Running sums go block by block.
+    The quantity is a running sum.  The cost basis follows c_t = a_t c_{t-1} + b_t with known a and b: an opening or flipping fill sets it,
+    an increase adds its cost, a reduction scales by q_t / q_{t-1}.  Such maps compose, so each block of rows is folded to one
+    map, the maps of a symbol's blocks give each block's first basis, and the blocks are folded again from there.  A book that never goes flat
+    is cut like any other.
     """
     s = F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
     d = numbered(fills.withColumn("_s", s), "ts", ties).withColumn("_blk", F.floor(F.col("_idx") / block_rows))
@@ -103,24 +104,42 @@ def position_book(fills: DataFrame, ties: Sequence[str] = ("fill_id",), block_ro
 
     d = running(d, "_s", "position").withColumn("_p", F.round(F.col("position") - F.col("_s"), 9)).withColumn("position", F.round("position", 9))
     flip = F.col("position") * F.col("_p") < 0
-    d = d.withColumn("_start", ((F.col("_p") == 0) | flip).cast("int"))
-    d = running(d, "_start", "_seg")
+    start = (F.col("_p") == 0) | flip
     grow = F.signum("_p") == F.signum("_s")
-    d = d.withColumns({"_a": F.when(F.col("_start") == 1, 1.0).when(grow, 1.0).when(F.col("position") == 0, 1.0).otherwise(F.col("position") / F.col("_p")),
-                       "_b": F.when(F.col("_start") == 1, F.col("position") * F.col("price")).when(grow, F.col("_s") * F.col("price")).otherwise(0.0)})
-    w = W.partitionBy("symbol", "_seg").orderBy("_idx")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("_A", F.product("_a").over(upto))
-    d = d.withColumn("_c", F.col("_A") * F.sum(F.col("_b") / F.col("_A")).over(upto))
+    d = d.withColumns({"_a": F.when(start | (F.col("position") == 0), 0.0).when(grow, 1.0).otherwise(F.col("position") / F.col("_p")),
+                       "_b": F.when(start, F.col("position") * F.col("price")).when(grow, F.col("_s") * F.col("price")).otherwise(0.0).cast("double")})
+
+    def folded(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_idx")
+        scale, shift = 1.0, 0.0
+        for a, b in zip(pdf["_a"].tolist(), pdf["_b"].tolist()):
+            scale, shift = a * scale, a * shift + b
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[:1], "_blk": pdf["_blk"].iloc[:1], "_scale": [scale], "_shift": [shift]})
+
+    kind = d.schema["symbol"].dataType.simpleString()
+    maps = d.select("symbol", "_blk", "_idx", "_a", "_b").groupBy("symbol", "_blk").applyInPandas(folded, f"symbol {kind}, _blk long, _scale double, _shift double")
+    begin = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<struct<_blk:bigint,c:double>>").alias("out"))
+    carried = F.aggregate(F.sort_array(F.collect_list(F.struct("_blk", "_scale", "_shift"))), begin, lambda st, m: F.struct(
+        (m["_scale"] * st["c"] + m["_shift"]).alias("c"), F.concat(st["out"], F.array(F.struct(m["_blk"].alias("_blk"), st["c"].alias("c")))).alias("out")))
+    firsts = maps.groupBy("symbol").agg(carried["out"].alias("_o")).select("symbol", F.explode("_o").alias("_o")).select("symbol", "_o._blk", F.col("_o.c").alias("_first"))
+
+    def refolded(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_idx")
+        c, before, after = float(pdf["_first"].iloc[0]), [], []
+        for a, b in zip(pdf["_a"].tolist(), pdf["_b"].tolist()):
+            before.append(c)
+            c = a * c + b
+            after.append(c)
+        return pdf.assign(_before=before, _c=after)
+
+    d = d.join(firsts, ["symbol", "_blk"])
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
+    d = d.groupBy("symbol", "_blk").applyInPandas(refolded, f"{names}, _before double, _c double")
     d = d.withColumn("avg_price", F.when(F.col("position") == 0, 0.0).otherwise(F.col("_c") / F.col("position")))
-    # the price basis a closing fill meets: that of the previous row, in this segment or, for a flip, in the one before
-    prev = F.lag("avg_price").over(w)
-    last = d.groupBy("symbol", (F.col("_seg") + 1).alias("_seg")).agg(F.max_by("avg_price", "_idx").alias("_prev_avg"))
-    d = d.join(last, ["symbol", "_seg"], "left").withColumn("_basis", F.when(F.col("_start") == 1, F.col("_prev_avg")).otherwise(prev))
     closing = F.least(F.abs("_s"), F.abs("_p"))
     opens = (F.col("_p") == 0) | grow
-    return d.withColumn("realized_pnl", F.when(opens, 0.0).otherwise(F.signum("_p") * closing * (F.col("price") - F.col("_basis")))).drop(
-        "_s", "_idx", "_blk", "_p", "_start", "_seg", "_a", "_b", "_A", "_c", "_prev_avg", "_basis")
+    gain = F.signum("_p") * closing * (F.col("price") - F.try_divide("_before", "_p"))
+    return d.withColumn("realized_pnl", F.when(opens, 0.0).otherwise(gain)).drop("_s", "_idx", "_blk", "_p", "_a", "_b", "_first", "_before", "_c")
 
 
 BOOK_SCHEMA = "symbol long, ts timestamp, fill_id long, position double, avg_price double, realized_pnl double"

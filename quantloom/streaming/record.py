@@ -9,13 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.operators.ticks import minute_bars
+from quantloom.session import is_local
 
 TICK_LATENESS = "10 minutes"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-stream-")
+    """A fresh folder under the cluster's shared checkpoint folder; a temporary one only on one machine (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-stream-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

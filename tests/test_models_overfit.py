@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import models as ml
@@ -64,6 +65,25 @@ def test_components_and_edges(spark):
     assert c == {"s0": "s0", "s3": "s0", "s1": "s1", "s5": "s1", "s2": "s2", "s4": "s4"}
 
 
+@pytest.mark.parametrize("tile", [2, 256])
+def test_chain_of_correlated_strategies_is_one_cluster(spark, tile):
+    rng, n = np.random.default_rng(4), 4000
+    walk = rng.normal(size=(n, 4))
+    angle = np.arccos(0.94)
+    unit = np.linalg.qr(walk)[0]
+    chain = {2: 0, 5: 1, 6: 2, 1: 3}  # neighbours 0.94, all others below 0.9
+    m = {k: np.cos(i * angle) * unit[:, 0] + np.sin(i * angle) * unit[:, 1] for k, i in chain.items()}
+    r = spark.createDataFrame(pd.DataFrame([(i, f"s{k}", float(v[i])) for k, v in m.items() for i in range(n)], columns=["date", "strategy_id", "ret"]))
+    c = of.components(r.select("strategy_id").distinct(), of.correlation_edges(r, 0.9, tile=tile))
+    assert c.select("cluster").distinct().count() == 1
+
+
+def test_components_that_do_not_rest_raise(spark):
+    e = spark.createDataFrame([(f"n{i + 1:03d}", f"n{i:03d}") for i in range(40)], "src string, dst string")
+    with pytest.raises(RuntimeError):
+        of.components(spark.createDataFrame([(f"n{i:03d}",) for i in range(41)], "strategy_id string"), e, max_rounds=1)
+
+
 def test_chain_of_copies_is_one_component(spark):
     e = spark.createDataFrame([(f"n{i + 1:03d}", f"n{i:03d}") for i in range(40)], "src string, dst string")
     nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(41)], "strategy_id string")

@@ -55,6 +55,22 @@ def test_late_ticks_do_not_reopen_a_bar(spark, tmp_path):
     assert [(b.open, b.close, b.high, b.n_trades) for b in bars][0] == (10.0, 11.0, 11.0, 2)
 
 
+def test_book_that_never_goes_flat(spark):
+    n = 3000
+    pdf = pd.DataFrame({"symbol": 1, "ts": [at(i) for i in range(n + 1)], "fill_id": np.arange(n + 1), "side": ["buy"] + ["sell", "buy"] * (n // 2), "qty": [2.0] + [1.0] * n, "price": 100 + np.arange(n + 1) % 7 * 1.5})
+    book = ex.position_book(spark.createDataFrame(pdf), block_rows=64).toPandas().sort_values("fill_id")
+    q, a, want = 0.0, 0.0, []
+    for r in pdf.itertuples():
+        s, pnl = (r.qty if r.side == "buy" else -r.qty), 0.0
+        if q == 0 or q * s > 0:
+            a = (q * a + s * r.price) / (q + s)
+        else:
+            pnl = min(abs(s), abs(q)) * (r.price - a)
+        q += s
+        want.append((q, a, pnl))
+    np.testing.assert_allclose(book[["position", "avg_price", "realized_pnl"]].to_numpy(), np.array(want), atol=1e-7)
+
+
 def test_position_book_batch_stream_and_loop(spark, tmp_path):
     n = 300
     pdf = pd.DataFrame({"symbol": np.where(RNG.random(n) < 0.8, 1, 2), "ts": [at(int(x)) for x in np.sort(RNG.integers(0, 9000, n))], "fill_id": np.arange(n), "side": RNG.choice(["buy", "sell"], n),
@@ -119,6 +135,18 @@ def test_artifact_must_match_its_manifest(spark, tmp_path):
         tb.verified_read(spark, path, good.withColumn("sha256", F.lit("0")))
 
 
+def test_artifact_with_a_lost_shard_is_refused(spark, tmp_path):
+    path = str(tmp_path / "a")
+    spark.range(100).repartition(5).write.parquet(path)
+    good = tb.file_hashes(spark, path).select("path", "sha256").collect()
+    manifest = spark.createDataFrame(good, "path string, sha256 string")
+    assert tb.verified_read(spark, path, manifest).count() == 100
+    lost = next(f for f in (tmp_path / "a").iterdir() if f.name.endswith(".parquet"))
+    lost.rename(tmp_path / "kept-elsewhere")
+    with pytest.raises(ContractError):
+        tb.verified_read(spark, path, manifest)
+
+
 def test_fingerprint_ignores_order(spark):
     d = spark.range(100).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
     a, b = (tb.corpus_fingerprint(x, "k", "h", 16).first().sha256 for x in (d, d.orderBy(F.col("k").desc()).repartition(7)))
