@@ -1,7 +1,7 @@
 """Overfitting and inference statistics over long return tables (date, strategy_id, ret).
 
 Nothing is ever held as a dates × strategies matrix.  Strategies are rows; of the combinatorial
-splits only their fixed, bounded list (at most ``MAX_SPLITS``) travels to the tasks.
+splits only their list travels to the tasks.
 """
 
 from __future__ import annotations
@@ -21,20 +21,22 @@ from quantloom.functions.noise import uniform
 from quantloom.functions.normal import norm_cdf, norm_ppf
 from quantloom.session import durable, spread
 
-MAX_SPLITS = 20_000
+MIN_BLOCK_ROWS = 5
 EULER = 0.5772156649015329
 YEAR = math.sqrt(252.0)
 
 
-def split_masks(blocks: int, seed: int = 42) -> np.ndarray:
-    """In-sample masks of all half-size block combinations, a fixed sample of them beyond ``MAX_SPLITS``."""
+def split_masks(blocks: int, max_splits: int | None = None, seed: int = 42) -> np.ndarray:
+    """In-sample masks of all half-size block combinations; the caller may ask for a fixed sample of ``max_splits`` of them."""
+    if blocks % 2:
+        raise ValueError(f"the number of blocks must be even, not {blocks}")
     total = math.comb(blocks, blocks // 2)
-    if total <= MAX_SPLITS:
+    if max_splits is None or total <= max_splits:
         combos = list(itertools.combinations(range(blocks), blocks // 2))
     else:
         rng = np.random.default_rng(seed)
         seen: set[tuple[int, ...]] = set()
-        while len(seen) < MAX_SPLITS:
+        while len(seen) < max_splits:
             seen.add(tuple(sorted(rng.choice(blocks, size=blocks // 2, replace=False).tolist())))
         combos = sorted(seen)
     mask = np.zeros((len(combos), blocks), dtype=bool)
@@ -98,7 +100,7 @@ def _scores(rows: pd.DataFrame, masks: np.ndarray, mode: str, sides: tuple[bool,
         yield part, out
 
 
-def split_ranks(moments: DataFrame, blocks: int, mode: str = "sharpe", keys: Sequence[str] = ()) -> DataFrame:
+def split_ranks(moments: DataFrame, blocks: int, mode: str = "sharpe", keys: Sequence[str] = (), max_splits: int | None = None) -> DataFrame:
     """Per split: the in-sample winner, its out-of-sample score and how many strategies score below, above and equal.
 
     Two passes over the strategy rows.  Each task folds its rows into one row per (group, split); the
@@ -110,7 +112,7 @@ def split_ranks(moments: DataFrame, blocks: int, mode: str = "sharpe", keys: Seq
     m = spread(m, "_g", "strategy_id")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        masks = split_masks(blocks)
+        masks = split_masks(blocks, max_splits)
         found: dict[str, list[np.ndarray]] = {}
         for rows in batches:
             for g, grp in rows.groupby("_g", sort=False):
@@ -137,7 +139,7 @@ def split_ranks(moments: DataFrame, blocks: int, mode: str = "sharpe", keys: Seq
         names = ["_g", "split", "less", "more", "equal_before", "n"]
         if rows.empty or win.empty:
             return pd.DataFrame(columns=names)
-        masks, stars = split_masks(blocks), win["stars"].iloc[0]
+        masks, stars = split_masks(blocks, max_splits), win["stars"].iloc[0]
         star_id, star_oos = np.array([s["star"] for s in stars], dtype=object), np.array([s["oos"] for s in stars], dtype=float)
         acc: list[np.ndarray] | None = None
         for part, (oos,) in _scores(rows, masks, mode, (False,)):
@@ -160,13 +162,17 @@ def split_ranks(moments: DataFrame, blocks: int, mode: str = "sharpe", keys: Seq
     return counted.join(star, ["_g", "split"]).withColumnRenamed("_g", "grp")
 
 
-def pbo(returns: DataFrame, blocks: int = 16, keys: Sequence[str] = ()) -> DataFrame:
+def pbo(returns: DataFrame, blocks: int = 16, keys: Sequence[str] = (), max_splits: int | None = None) -> DataFrame:
     """Probability of back-test overfitting by combinatorially symmetric cross-validation, per group.
 
     ω = r / (S+1) with r = 1 + strategies below the winner; PBO is the share of splits with logit ≤ 0,
-    the failure rate the share where the winner's out-of-sample Sharpe is negative.
+    the failure rate the share where the winner's out-of-sample Sharpe is negative.  All splits count unless ``max_splits`` asks for a
+    sample; the output has their number.  Blocks must be even in number and hold at least ``MIN_BLOCK_ROWS`` dates.
     """
-    r = split_ranks(block_moments(returns, blocks, keys), blocks, "sharpe", keys)
+    dates = returns.select("date").distinct().count()
+    if dates // blocks < MIN_BLOCK_ROWS:
+        raise ValueError(f"{dates} dates give blocks of {dates // blocks}; at least {MIN_BLOCK_ROWS} are needed")
+    r = split_ranks(block_moments(returns, blocks, keys), blocks, "sharpe", keys, max_splits)
     omega = (F.col("less") + 1.0) / (F.col("n") + 1.0)
     r = r.withColumn("logit", F.log(omega / (1.0 - omega)))
     return r.groupBy("grp").agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.percentile("logit", F.lit(0.5)).alias("median_logit"),

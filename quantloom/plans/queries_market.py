@@ -222,10 +222,10 @@ def asof_rates(spark, sf):
     return d.select("date", (F.col("tbill") * 1e4).alias("tbill"), (F.col("cash_yield") * 1e4).alias("tbill_less"), "fit_id", "fit_id_strict")
 
 
-@query("JN5 JN4", """WITH @bars, s AS (SELECT date, 's' || symbol AS series, close FROM bars WHERE symbol < 4)
-SELECT date, max(CASE WHEN series = 's0' THEN close END) AS s0, max(CASE WHEN series = 's1' THEN close END) AS s1, max(CASE WHEN series = 's2' THEN close END) AS s2, max(CASE WHEN series = 's3' THEN close END) AS s3 FROM s GROUP BY date""", "s0 s1 s2 s3")
+@query("JN5 JN4", """WITH @bars SELECT date, max(CASE WHEN symbol = 0 THEN close END) AS s0, max(CASE WHEN symbol = 1 THEN close END) AS s1, max(CASE WHEN symbol = 2 THEN close END) AS s2,
+ max(CASE WHEN symbol = 3 THEN close END) AS s3 FROM bars GROUP BY date""", "s0 s1 s2 s3")
 def date_panel(spark, sf):
-    d = bars(spark, sf).filter("symbol < 4").select("date", F.concat(F.lit("s"), F.col("symbol")).alias("series"), "close")
+    d = bars(spark, sf).select("date", F.concat(F.lit("s"), F.col("symbol")).alias("series"), "close")
     return jn.date_panel(d, "series", "close", ["s0", "s1", "s2", "s3"])
 
 
