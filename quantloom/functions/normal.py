@@ -38,6 +38,7 @@ def norm_cdf(z: Column | str) -> Column:
     for k in (4, 3, 2, 1):
         tail = x + F.lit(float(k)) / tail
     upper = F.when(x < 7.07106781186547, density * _polynomial(CDF_TOP, x) / _polynomial(CDF_BOTTOM, x)).otherwise(density / tail / 2.506628274631)
+    upper = F.when(F.abs(z) > 38, 0.0).otherwise(upper)
     return F.when(z > 0, 1 - upper).otherwise(upper)
 
 
