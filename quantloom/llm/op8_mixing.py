@@ -146,7 +146,8 @@ def solve(table: DataFrame, domains: list[str], targets: dict[str, float], pull:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(domains))), pa.array(out)], ["d", "sum"])
         return run
 
-    small = table.select("n_tokens", "p")
+    # as many tasks as cores: the steps are many and each does little on a row
+    small = table.select("n_tokens", "p").coalesce(max(1, table.sparkSession.sparkContext.defaultParallelism))
     for _ in range(steps):
         found = {r["d"]: r["sum"] for r in small.mapInArrow(summed(list(history)), "d long, sum double").groupBy("d").agg(F.sum("sum").alias("sum")).collect()}
         e = np.array([found[d] for d in range(len(domains))]) / total - goal
