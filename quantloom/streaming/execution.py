@@ -85,6 +85,9 @@ def recent_orders(orders: DataFrame, seconds: int = 60, book: str = "book", buck
 
 # ---------------------------------------------------------------- position book
 
+FOLD_ROWS = 1024  # rows folded in one array; blocks of a symbol are folded again
+
+
 def position_book(fills: DataFrame, ties: Sequence[str] = ("fill_id",), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Quantity, average price and realised P&L after every fill.
 
@@ -109,37 +112,28 @@ def position_book(fills: DataFrame, ties: Sequence[str] = ("fill_id",), block_ro
     d = d.withColumns({"_a": F.when(start | (F.col("position") == 0), 0.0).when(grow, 1.0).otherwise(F.col("position") / F.col("_p")),
                        "_b": F.when(start, F.col("position") * F.col("price")).when(grow, F.col("_s") * F.col("price")).otherwise(0.0).cast("double")})
 
-    def folded(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_idx")
-        scale, shift = 1.0, 0.0
-        for a, b in zip(pdf["_a"].tolist(), pdf["_b"].tolist()):
-            scale, shift = a * scale, a * shift + b
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[:1], "_blk": pdf["_blk"].iloc[:1], "_scale": [scale], "_shift": [shift]})
-
-    kind = d.schema["symbol"].dataType.simpleString()
-    maps = d.select("symbol", "_blk", "_idx", "_a", "_b").groupBy("symbol", "_blk").applyInPandas(folded, f"symbol {kind}, _blk long, _scale double, _shift double")
-    begin = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<struct<_blk:bigint,c:double>>").alias("out"))
-    carried = F.aggregate(F.sort_array(F.collect_list(F.struct("_blk", "_scale", "_shift"))), begin, lambda st, m: F.struct(
-        (m["_scale"] * st["c"] + m["_shift"]).alias("c"), F.concat(st["out"], F.array(F.struct(m["_blk"].alias("_blk"), st["c"].alias("c")))).alias("out")))
-    firsts = maps.groupBy("symbol").agg(carried["out"].alias("_o")).select("symbol", F.explode("_o").alias("_o")).select("symbol", "_o._blk", F.col("_o.c").alias("_first"))
-
-    def refolded(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_idx")
-        c, before, after = float(pdf["_first"].iloc[0]), [], []
-        for a, b in zip(pdf["_a"].tolist(), pdf["_b"].tolist()):
-            before.append(c)
-            c = a * c + b
-            after.append(c)
-        return pdf.assign(_before=before, _c=after)
-
-    d = d.join(firsts, ["symbol", "_blk"])
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
-    d = d.groupBy("symbol", "_blk").applyInPandas(refolded, f"{names}, _before double, _c double")
+    rest = [c for c in d.columns if c not in ("symbol", "_idx")]
+    d = d.withColumn("_f", F.floor(F.col("_idx") / FOLD_ROWS)).groupBy("symbol", "_f").agg(F.sort_array(F.collect_list(F.struct("_idx", *rest))).alias("_rows"))
+    one = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"))
+    folded = F.aggregate("_rows", one, lambda st, x: F.struct((x["_a"] * st["scale"]).alias("scale"), (x["_a"] * st["shift"] + x["_b"]).alias("shift")))
+    maps = d.withColumn("_m", folded).select("symbol", "_f", "_m.scale", "_m.shift")
+    begin = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<struct<_f:bigint,_first:double>>").alias("out"))
+    carried = F.aggregate(F.sort_array(F.collect_list(F.struct("_f", "scale", "shift"))), begin, lambda st, m: F.struct(
+        (m["scale"] * st["c"] + m["shift"]).alias("c"), F.concat(st["out"], F.array(F.struct(m["_f"].alias("_f"), st["c"].alias("_first")))).alias("out")))
+    firsts = maps.groupBy("symbol").agg(carried["out"].alias("_o")).select("symbol", F.explode("_o").alias("_o")).select("symbol", "_o._f", "_o._first")
+    state = F.struct(F.col("_first").alias("c"), F.array().cast("array<struct<_before:double,_c:double>>").alias("out"))
+
+    def step(st: Column, x: Column) -> Column:
+        c = x["_a"] * st["c"] + x["_b"]
+        return F.struct(c.alias("c"), F.concat(st["out"], F.array(F.struct(st["c"].alias("_before"), c.alias("_c")))).alias("out"))
+
+    d = d.join(firsts, ["symbol", "_f"]).withColumn("_bases", F.aggregate("_rows", state, step)["out"])
+    d = d.select("symbol", F.explode(F.arrays_zip("_rows", "_bases")).alias("_z")).select("symbol", "_z._rows.*", "_z._bases.*")
     d = d.withColumn("avg_price", F.when(F.col("position") == 0, 0.0).otherwise(F.col("_c") / F.col("position")))
     closing = F.least(F.abs("_s"), F.abs("_p"))
     opens = (F.col("_p") == 0) | grow
     gain = F.signum("_p") * closing * (F.col("price") - F.try_divide("_before", "_p"))
-    return d.withColumn("realized_pnl", F.when(opens, 0.0).otherwise(gain)).drop("_s", "_idx", "_blk", "_p", "_a", "_b", "_first", "_before", "_c")
+    return d.withColumn("realized_pnl", F.when(opens, 0.0).otherwise(gain)).drop("_s", "_idx", "_blk", "_p", "_a", "_b", "_before", "_c")
 
 
 BOOK_SCHEMA = "symbol long, ts timestamp, fill_id long, position double, avg_price double, realized_pnl double"
