@@ -227,6 +227,34 @@ def test_personal_data(spark, sf, rows):
         assert [got[d].n_email, got[d].n_ip, got[d].n_card, got[d].n_phone] == counts and set(filter(None, spans.split(","))) <= set(got[d].spans.split(","))
 
 
+def test_personal_data_inside_failing_matches(spark):
+    """Over-long matches of the larger table hold valid numbers; the trees add them."""
+    wanted = {46: ["7536784127813050", "4845168114407329"], 1262: ["4550997810720808"], 1377: ["+1 (826) 555-4081", "190.137.223.204"], 7052: ["+1 (843) 555-7672", "170.106.47.218"]}
+    docs = documents(spark, "/root/testdata/sf0.1").where("doc_id < 2000 OR doc_id = 7052").select("doc_id", "text")
+    got = {r.doc_id: r for r in op9_pii.detect(docs).where(F.col("doc_id").isin(list(wanted))).collect()}
+    for d, values in wanted.items():
+        assert set(values) <= {got[d].text[s["at"]:s["end"]] for s in got[d].spans}
+        assert all(a["end"] <= b["at"] for a, b in zip(got[d].spans, got[d].spans[1:]))
+
+
+def test_personal_data_trees_add_spans(spark):
+    draw = random.Random(5)
+    shapes = [lambda i: plain_card(draw, i % 2), lambda i: f"+{draw.randrange(1, 99)} ({draw.randrange(100, 999)}) " + " ".join(str(draw.randrange(100, 9999)) for _ in range(2 if i % 3 else 7)),
+              lambda i: f"{draw.randrange(256)}.{draw.randrange(256)}.2.{draw.randrange(256) + 300 * (i % 2)}"]
+    texts = [f"some words that stand before {shapes[i % 3](i // 3)} and some that stand after it" for i in range(900)]
+    hidden = [("a 4111 1111 1111 1111 5500000000000004 b", ["4111 1111 1111 1111", "5500000000000004"]), ("a 2024.10.1.2.3 b", ["10.1.2.3"]), ("call 826-555-4081 now", ["826-555-4081"]),
+              ("a +1 (826) 555-4081 12345678 b", ["+1 (826) 555-4081"]), ("pay 4111 / 1111 / 1111 / 1111 b", ["4111 / 1111 / 1111 / 1111"]), ("pay 3782_822463_10005 b", ["3782_822463_10005"]), ("a 1234567890123456 b", [])]
+    docs = spark.createDataFrame([*enumerate(texts, 100), *enumerate(t for t, _ in hidden)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op9_pii.detect(docs).where("doc_id < 100").collect()}
+    assert [[got[i].text[s["at"]:s["end"]] for s in got[i].spans] for i in range(len(hidden))] == [v for _, v in hidden]
+
+
+def plain_card(draw, valid):
+    head = "4" + "".join(draw.choices("0123456789", k=14))
+    total = sum(int(c) if k % 2 else (int(c) * 2 - 9 * (int(c) > 4)) for k, c in enumerate(head))
+    return head + str((-total + (not valid)) % 10)
+
+
 def test_personal_data_plan_is_native(spark, sf):
     plan = op9_pii.op9_pii(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
