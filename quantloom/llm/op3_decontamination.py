@@ -5,8 +5,9 @@ frequencies are those of the benchmark.  Every text is cut into passages of ``PA
 query (its distinct words) that retrieves *all* items with a score of at least ``SCORE`` of the item's own score against itself (less for items longer than a passage).
 Block-max WAND evaluates an item only where the block maxima of the words present can reach the lowest threshold.  Before it, passages that can
 reach no item's threshold are set aside by whole arrays: per item the most frequent words, up to ``FREE`` of its threshold, are taken as
-present, and the passage must hold enough of the others.  What is retrieved is verified against the text around: of the question (all but the last ``ANSWER`` words) at least ``QUESTION_SHARE`` of the 5-word
-shingles must be in the text, and the answer (the last words) in sequence within the reach of the passage.
+present, and the passage must hold enough of the others.  What is retrieved is verified against the text around, so that edited and clipped copies count too.  Items have no marked answer, so an item is held
+where ``ALIGNED`` of its words stand in the text in order, or ``ALIGNED`` of the 5-word shingles of the item or of its question (all but the last
+``ANSWER`` words); or, with less of the question (``QUESTION_SHARE``), where ``ANSWER_SHARE`` of the last words stand in order, with gaps, in twice their length.
 
 An item without words is never found; equal items are both reported.  A text without words, or null, is clean.  Rows are
 independent, so repeated rows get equal results; an empty table or benchmark gives no hits; other columns are ignored.
@@ -28,6 +29,7 @@ SCORE = 0.5
 QUESTION_SHARE = 0.6
 ANSWER = 8
 ANSWER_SHARE = 0.6
+ALIGNED = 0.8
 BLOCK = 16
 FREE = 0.6
 K1, B = 1.2, 0.75
@@ -156,12 +158,18 @@ class Index:
             c[0] += 1
 
     def verified(self, item: int, text: np.ndarray, lo: int, hi: int) -> bool:
-        """Question shingles and answer words of ``item`` in words lo to hi of the text."""
+        """Shingles and words in order of ``item`` in words lo to hi of the text and around."""
         own = self.texts[item]
         near = text[max(0, lo - len(own)):hi + len(own)]
         answer = min(ANSWER, len(own) // 3)
         question, answer = own[:len(own) - answer], own[len(own) - answer:]
-        return share(question, near) >= QUESTION_SHARE and longest(answer, near) >= ANSWER_SHARE * len(answer)
+        held = share(question, near)
+        if max(held, share(own, near)) >= ALIGNED or aligned(own, near) >= ALIGNED * len(own):
+            return True
+        if held < QUESTION_SHARE:
+            return False
+        at = np.flatnonzero(np.isin(near, answer))
+        return any(aligned(answer, near[k:k + 2 * len(answer)]) >= ANSWER_SHARE * len(answer) for k in at)
 
 
 def share(part: np.ndarray, text: np.ndarray, k: int = 5) -> float:
@@ -174,14 +182,17 @@ def share(part: np.ndarray, text: np.ndarray, k: int = 5) -> float:
     return (len(a) + len(b) - len(both)) / len(a)
 
 
-def longest(part: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest run of ``part`` that is in ``text``."""
-    best = 0
-    run = np.zeros(len(text) + 1, np.int64)
-    for w in part:
-        run[1:] = np.where(text == w, run[:-1] + 1, 0)
-        best = max(best, int(run.max(initial=0)))
-    return best
+def aligned(part: np.ndarray, text: np.ndarray) -> int:
+    """Words of ``part`` that stand in ``text`` in order, with gaps (longest common subsequence, one bit per word of ``part``)."""
+    masks: dict[int, int] = {}
+    for k, w in enumerate(part.tolist()):
+        masks[w] = masks.get(w, 0) | 1 << k
+    full = (1 << len(part)) - 1
+    row = full
+    for w in text[np.isin(text, part)].tolist():
+        both = row & masks[w]
+        row = ((row + both) | (row - both)) & full
+    return len(part) - row.bit_count()
 
 
 def hopeful(ix: Index, quick: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
