@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from quantloom.llm.op1_tokens import op1_token_counts
 from quantloom.llm.op10_jaccard import op10_ngram_jaccard
+from quantloom.llm import op12_conversation
+from quantloom.llm.op12_conversation import op12_conversation_repair
 from quantloom.llm.op2_language import op2_language_id
 from quantloom.llm.op3_decontamination import op3_benchmark_decontamination
 from quantloom.llm.op4_license import op4_license_scan
@@ -21,5 +23,5 @@ def pipeline(spark, sf_dir: str):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_benchmark_decontamination, op4_license_scan, op5_quality_rules, op6_maxent_lm, op7_suffix_dedup, op8_source_mixing, op9_pii, op10_ngram_jaccard, pipeline)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_benchmark_decontamination, op4_license_scan, op5_quality_rules, op6_maxent_lm, op7_suffix_dedup, op8_source_mixing, op9_pii, op10_ngram_jaccard, op12_conversation_repair, pipeline)}
+SQL: dict[str, str] = {"op12_conversation_repair": op12_conversation.sql()}
