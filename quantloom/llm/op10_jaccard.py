@@ -242,7 +242,9 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     heat = docs.sparkSession.sparkContext.broadcast(hotness(sketch(table.where("part IS NOT NULL").select("part", "task", "counts"))))
     every = docs.mapInArrow(regions(heat, percent, seed), "pivot long, h long, at long")
     several = saved(every.groupBy("pivot").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("pivot"))
-    members = sized(saved(every.join(several, "pivot").dropDuplicates(["pivot", "h"])), sizes, percent)
+    inside = saved(every.join(several, "pivot").dropDuplicates(["pivot", "h"]))
+    heat.destroy()
+    members = sized(inside, sizes, percent)
     points = sizes.join(members.select("h").distinct(), "h", "left_semi")
     sets = saved(docs.join(points.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(full_sets(seed), "h long, items array<long>"))
     roots = linked(members, sets, sizes, percent)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import mix, saved
-from quantloom.llm.graph import components
+from quantloom.llm.graph import components, lowest
 
 THRESHOLD = 0.93
 MISS = 0.004
@@ -114,20 +114,6 @@ def close_pairs(x: np.ndarray, same: np.ndarray, threshold: float) -> tuple[np.n
     return i[keep], j[keep]
 
 
-def lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index each of ``n`` nodes is connected with over the links (i, j)."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], least)
-        np.minimum.at(new, root[j], least)
-        new = np.minimum(new, new[new])
-        if (new == root).all():
-            return root
-        root = new
-
-
 def linked(bits: int, tables: int, threshold: float, dtype):
     """(id, links, root) of the points of each unit (home, low, high), from rows sorted by unit."""
     def unit(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
