@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import by, div
-from quantloom.functions.noise import uniform
+from quantloom.functions.noise import counter_uniform, key32, uniform
 from quantloom.functions.normal import norm_cdf, norm_ppf
 from quantloom.session import durable, spread
 
@@ -276,60 +276,87 @@ def return_arrays(returns: DataFrame, keys: Sequence[str] = ("strategy_id",)) ->
     return returns.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "ret"))), lambda s: s["ret"]).alias("rets"))
 
 
-def stationary_bootstrap(returns: DataFrame, resamples: int = 10_000, block: int | None = None, seed: int = 42, per_task: int = 250) -> DataFrame:
-    """Sharpe interval by geometric blocks; the resamples of a strategy are spread over many tasks.
+Blocks = Callable[[int, int, int, int, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-    The draw of a chunk depends only on (seed, strategy, chunk), so a repeated task gives the same numbers.
+
+def circular_blocks(key: int, t: int, length: int, chunk: int, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of fixed circular blocks, one row per resample; the last block is cut."""
+    blocks = -(-t // length)
+    b = np.arange(blocks)
+    start = np.floor(counter_uniform(key, draws[:, None] * blocks + b[None, :]) * t).astype(np.int64)
+    return start, np.broadcast_to(np.minimum(length, t - b * length), start.shape)
+
+
+def geometric_blocks(key: int, t: int, length: int, chunk: int, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of blocks of geometric length, one row per resample, until ``t`` rows are filled."""
+    rng = np.random.default_rng([key, chunk])
+    size = rng.geometric(1.0 / length, (len(draws), t // length + 1))
+    while size.sum(axis=1).min() < t:
+        size = np.concatenate([size, rng.geometric(1.0 / length, size.shape)], axis=1)
+    filled = np.minimum(np.cumsum(size, axis=1), t)
+    return rng.integers(0, t, size.shape), np.diff(filled, axis=1, prepend=0)
+
+
+def resampled_sharpes(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Annual Sharpe of each resample from running sums: a block costs two look-ups however long it is."""
+    t, center = len(x), x.mean()
+    y = np.concatenate([x, x]) - center  # a block wraps at most once
+    s1, s2 = (np.append(0.0, np.cumsum(v)) for v in (y, y * y))
+    end = start + size
+    a, b = ((s[end] - s[start]).sum(axis=1) for s in (s1, s2))
+    var = np.maximum(b - a * a / t, 0.0) / max(1, t - 1)
+    flat = var <= 1e-12 * max(s2[t] / t, np.finfo(float).tiny)  # only rounding is left
+    return np.where(flat, 0.0, (a / t + center) / np.sqrt(np.where(flat, 1.0, var)) * YEAR)
+
+
+def bootstrap(returns: DataFrame, blocks: Blocks, resamples: int, block: int | None, seed: int, least: int, per_task: int = 250) -> DataFrame:
+    """Sharpe interval per strategy by resampled blocks of its returns; non-finite returns go.
+
+    A strategy is one array; its resamples are drawn in chunks over many tasks and leave them as one number each.
+    A draw depends only on (seed, strategy, resample or chunk), so a repeated task gives the same numbers.  Strategies with fewer than ``least`` returns
+    have the status ``not_enough_observations``, zero bounds and no resamples.
     """
-    chunks = math.ceil(resamples / per_task)
-    d = return_arrays(returns).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    d = spread(d.withColumn("key", F.xxhash64("strategy_id", "chunk", F.lit(seed))), "strategy_id", "chunk")
+    if resamples <= 0:
+        raise ValueError("resamples must be positive")
+    finite = returns.filter(F.col("ret").isNotNull() & ~F.isnan("ret") & (F.abs("ret") < float("inf")))
+    arrays = returns.select("strategy_id").distinct().join(return_arrays(finite), "strategy_id", "left").withColumn("rets", F.coalesce("rets", F.array().cast("array<double>")))
+    chunks = -(-resamples // per_task)
+    d = arrays.withColumn("key", key32("strategy_id", seed=seed)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples(index=False):
                 x = np.asarray(r.rets, dtype=float)
-                t, n = len(x), min(per_task, resamples - r.chunk * per_task)
+                t = len(x)
                 length = block or max(1, round(t ** (1 / 3)))
-                rng = np.random.default_rng(abs(int(r.key)))
-                fresh = rng.random((n, t)) < 1.0 / length
-                fresh[:, 0] = True
-                start = np.where(fresh, rng.integers(0, t, (n, t)), 0)
-                step = np.arange(t)[None, :]
-                last = np.maximum.accumulate(np.where(fresh, step, 0), axis=1)
-                sample = x[(np.take_along_axis(start, last, axis=1) + step - last) % t]
-                sd = sample.std(axis=1, ddof=1)
-                sharpe = np.where(sd > 0, sample.mean(axis=1) / np.where(sd > 0, sd, 1.0) * YEAR, 0.0)
-                yield pd.DataFrame({"strategy_id": r.strategy_id, "sharpe": sharpe})
+                point = 0.0 if t < 2 or (x == x[0]).all() else x.mean() / x.std(ddof=1) * YEAR
+                first = r.chunk * per_task
+                sharpes = np.zeros(0) if t < least else resampled_sharpes(x, *blocks(int(r.key), t, length, int(r.chunk), np.arange(first, min(resamples, first + per_task))))
+                yield pd.DataFrame({"strategy_id": [r.strategy_id], "point_sharpe": [point], "observations": [t], "block_length": [length], "sharpes": [sharpes]})
 
-    s = d.mapInPandas(draw, "strategy_id string, sharpe double").groupBy("strategy_id").agg(F.percentile("sharpe", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("resamples"))
-    return s.join(return_moments(returns).select("strategy_id", "sharpe"), "strategy_id").select("strategy_id", F.col("sharpe").alias("point_sharpe"), F.col("q")[0].alias("ci_lower_95"), F.col("q")[1].alias("ci_upper_95"), "resamples")
+    s = spread(d, "strategy_id", "chunk").mapInPandas(draw, "strategy_id string, point_sharpe double, observations long, block_length long, sharpes array<double>")
+    s = s.groupBy("strategy_id").agg(*[F.any_value(c).alias(c) for c in ("point_sharpe", "observations", "block_length")], F.array_sort(F.flatten(F.collect_list("sharpes"))).alias("all"))  # one double per resample
+    enough = F.size("all") > 0
+    bound = lambda p: F.when(enough, array_quantile(F.col("all"), p)).otherwise(0.0)
+    return s.select("strategy_id", F.when(enough, "computed").otherwise("not_enough_observations").alias("status"), "point_sharpe", bound(0.025).alias("ci_lower_95"), bound(0.975).alias("ci_upper_95"),
+                    F.size("all").cast("long").alias("resamples"), "observations", "block_length")
 
 
-def circular_bootstrap(returns: DataFrame, resamples: int = 1000, block: int | None = None, seed: int = 17) -> DataFrame:
-    """Sharpe interval by fixed circular blocks, in columns only.
+def array_quantile(ordered: Column, p: float) -> Column:
+    """Linear quantile of an ascending array."""
+    at = F.lit(p) * (F.size(ordered) - 1)
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
 
-    The mean and deviation of a resample need only the sums of its blocks; a block's sums are differences
-    of running sums (wrapping once), so each drawn block is one equi join on its two ends.
-    """
-    w = W.partitionBy("strategy_id").orderBy("date")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    center = returns.groupBy("strategy_id").agg(F.avg("ret").alias("_c"), F.count(F.lit(1)).alias("t"))
-    x = returns.join(center, "strategy_id").withColumn("_x", F.col("ret") - F.col("_c"))
-    cum = x.select("strategy_id", (F.row_number().over(w)).alias("i"), F.sum("_x").over(upto).alias("s1"), F.sum(F.col("_x") * F.col("_x")).over(upto).alias("s2"))
-    length = F.lit(block) if block else F.greatest(F.lit(1), F.bround(F.pow(F.col("t"), 1.0 / 3.0)).cast("int"))
-    d = center.withColumn("len", length).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("b", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("t") / F.col("len")) - 1).cast("int"))))
-    d = d.withColumn("start", F.floor(uniform("strategy_id", "k", "b", seed=seed) * F.col("t"))).withColumn("take", F.least(F.col("len").cast("long"), F.col("t") - F.col("b") * F.col("len")))
-    d = d.withColumn("end", F.col("start") + F.col("take"))
-    lo, hi = (cum.select("strategy_id", F.col("i").alias(n), F.col("s1").alias(f"{n}1"), F.col("s2").alias(f"{n}2")) for n in ("a", "z"))
-    whole = cum.groupBy("strategy_id").agg(F.max_by("s1", "i").alias("w1"), F.max_by("s2", "i").alias("w2"))
-    d = d.withColumn("a", F.col("start")).withColumn("z", F.when(F.col("end") > F.col("t"), F.col("end") - F.col("t")).otherwise(F.col("end"))).join(lo, ["strategy_id", "a"], "left").join(hi, ["strategy_id", "z"]).join(whole, "strategy_id")
-    wrap = (F.col("end") > F.col("t")).cast("double")
-    part = lambda j: F.col(f"z{j}") - F.coalesce(F.col(f"a{j}"), F.lit(0.0)) + wrap * F.col(f"w{j}")
-    s = d.groupBy("strategy_id", "k", "t", "_c").agg(F.sum(part(1)).alias("s1"), F.sum(part(2)).alias("s2"))
-    var = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("t")) / (F.col("t") - 1)
-    s = s.withColumn("sharpe", F.when(var > 0, (F.col("s1") / F.col("t") + F.col("_c")) / F.sqrt(var) * YEAR).otherwise(0.0))
-    return s.groupBy("strategy_id").agg(F.percentile("sharpe", F.lit(0.025)).alias("ci_lower_95"), F.percentile("sharpe", F.lit(0.975)).alias("ci_upper_95"), F.count(F.lit(1)).alias("resamples"))
+
+def stationary_bootstrap(returns: DataFrame, resamples: int = 10_000, block: int | None = None, seed: int = 42) -> DataFrame:
+    """Sharpe interval by blocks of geometric length (mean: cube root of the number of returns)."""
+    return bootstrap(returns, geometric_blocks, resamples, block, seed, least=2)
+
+
+def circular_bootstrap(returns: DataFrame, resamples: int = 1000, block: int | None = None, seed: int = 17) -> DataFrame:
+    """Sharpe interval by fixed circular blocks (cube root of the number of returns)."""
+    return bootstrap(returns, circular_blocks, resamples, block, seed, least=5)
 
 
 def permuted_bars(bars: DataFrame, permutations: int, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:

@@ -85,15 +85,29 @@ def expected_against_best(spark, sf):
 
 @query("OS10")
 def stationary_bootstrap(spark, sf):
-    return of.stationary_bootstrap(strategy_returns(spark, sf), resamples=500)
+    return of.stationary_bootstrap(strategy_returns(spark, sf))
 
 
-@query("OS11", f"""WITH @bars, {STRAT}, c AS (SELECT strategy_id, avg(ret) AS c, count(*) AS t, greatest(1, CAST(round_even(power(count(*), 1.0 / 3.0), 0) AS BIGINT)) AS len FROM st GROUP BY 1), x AS (SELECT st.strategy_id, row_number() OVER (PARTITION BY st.strategy_id ORDER BY date) - 1 AS i, ret FROM st),
- d AS (SELECT strategy_id, t, len, k, b, CAST(floor((CAST('0x' || substr(md5('17:0|' || strategy_id || '|' || k || '|' || b), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 * t) AS BIGINT) AS start, least(len, t - b * len) AS take FROM c, (SELECT unnest(range(0, 20)) AS k), (SELECT unnest(range(0, 1200)) AS b) WHERE b < ceil(t / len)),
- e AS (SELECT strategy_id, k, (start + unnest(range(0, take))) % t AS i FROM d), s AS (SELECT e.strategy_id, k, coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0) * sqrt(252) AS sharpe FROM e JOIN x ON e.strategy_id = x.strategy_id AND e.i = x.i GROUP BY 1, 2)
-SELECT strategy_id, quantile_cont(sharpe, 0.025) AS ci_lower_95, quantile_cont(sharpe, 0.975) AS ci_upper_95, count(*) AS resamples FROM s GROUP BY 1""", "ci_lower_95 ci_upper_95", digits=5)
+def finished(source: str, column: str) -> str:
+    """The 32-bit finaliser of the keyed draws over ``column``, a step per level so that no expression doubles."""
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        source = f"SELECT * REPLACE ((xor({column}, {column} >> {shift}) * {factor}::UBIGINT) & 4294967295::UBIGINT AS {column}) FROM ({source})"
+    return f"SELECT * REPLACE (xor({column}, {column} >> 16) AS {column}) FROM ({source})"
+
+
+DRAWS = "SELECT strategy_id, t, len, k, least(len, t - b * len) AS take, key, (k * nb + b)::UBIGINT AS h FROM c, (SELECT unnest(range(0, 1000)) AS k), (SELECT unnest(range(0, (SELECT max(nb) FROM c))) AS b) WHERE b < nb"
+DRAWS = finished(f"SELECT * REPLACE (xor(h, key) AS h) FROM ({finished(DRAWS, 'h')})", "h")
+
+
+@query("OS11", f"""WITH @bars, {STRAT}, c0 AS (SELECT strategy_id, avg(ret) AS c, count(*) AS t, coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0) * sqrt(252) AS ps, greatest(1, CAST(round_even(power(count(*), 1.0 / 3.0), 0) AS BIGINT)) AS len FROM st GROUP BY 1),
+ c AS (SELECT *, CAST(ceil(t / len) AS BIGINT) AS nb, ('0x' || substr(md5('17|' || strategy_id), 1, 8))::UBIGINT AS key FROM c0 WHERE t >= 5),
+ p AS (SELECT st.strategy_id, row_number() OVER w AS i, sum(ret - c) OVER w AS s1, sum((ret - c) * (ret - c)) OVER w AS s2 FROM st JOIN c ON st.strategy_id = c.strategy_id WINDOW w AS (PARTITION BY st.strategy_id ORDER BY date)), p0 AS (SELECT * FROM p UNION ALL SELECT strategy_id, 0, 0.0, 0.0 FROM c),
+ d AS (SELECT *, CAST(floor((h + 0.5) / 4294967296.0 * t) AS BIGINT) AS lo, CAST(floor((h + 0.5) / 4294967296.0 * t) AS BIGINT) + take AS hi FROM ({DRAWS})),
+ e AS (SELECT d.strategy_id, k, d.t, sum(z.s1 - a.s1 + CASE WHEN hi > d.t THEN w.s1 ELSE 0 END) AS s1, sum(z.s2 - a.s2 + CASE WHEN hi > d.t THEN w.s2 ELSE 0 END) AS s2 FROM d JOIN p0 a ON a.strategy_id = d.strategy_id AND a.i = lo JOIN p0 z ON z.strategy_id = d.strategy_id AND z.i = CASE WHEN hi > d.t THEN hi - d.t ELSE hi END JOIN p w ON w.strategy_id = d.strategy_id AND w.i = d.t GROUP BY ALL),
+ s AS (SELECT e.strategy_id, (s1 / e.t + c) / nullif(sqrt(greatest(s2 - s1 * s1 / e.t, 0) / (e.t - 1)), 0) * sqrt(252) AS sharpe FROM e JOIN c ON e.strategy_id = c.strategy_id), q AS (SELECT strategy_id, quantile_cont(coalesce(sharpe, 0), 0.025) AS l, quantile_cont(coalesce(sharpe, 0), 0.975) AS u, count(*) AS n FROM s GROUP BY 1)
+SELECT c0.strategy_id, CASE WHEN n IS NULL THEN 'not_enough_observations' ELSE 'computed' END AS status, ps AS point_sharpe, coalesce(l, 0) AS ci_lower_95, coalesce(u, 0) AS ci_upper_95, coalesce(n, 0) AS resamples, t AS observations, len AS block_length FROM c0 LEFT JOIN q ON c0.strategy_id = q.strategy_id""", "point_sharpe ci_lower_95 ci_upper_95", digits=5)
 def circular_bootstrap(spark, sf):
-    return of.circular_bootstrap(strategy_returns(spark, sf), resamples=20)
+    return of.circular_bootstrap(strategy_returns(spark, sf))
 
 
 @query("OS12", """WITH @bars, b AS (SELECT symbol, date, close, high / close AS h, row_number() OVER w AS i, ln(close) - ln(lag(close) OVER w) AS l FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)), p AS (SELECT *, row_number() OVER (PARTITION BY symbol, perm_id ORDER BY CASE WHEN i = 1 THEN '' ELSE substr(md5('42:0|' || symbol || '|' || date || '|' || perm_id), 1, 13) END, date) AS slot FROM b, (SELECT unnest(range(0, 2)) AS perm_id)),
