@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import div
 from quantloom.operators.blocks import blocked
+from quantloom.session import durable
 
 # Token patterns, chunk sizes and ranking constants.
 WORD = r"[a-z]+(?:['-][a-z]+)*"
@@ -114,65 +115,116 @@ def document_changes(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", tex
     return d.select(key, "prev_key", zero(F.least(div("ab", F.sqrt(F.col("aa") * F.col("bb"))), F.lit(1.0))).alias("cosine"), zero(div("new", "u")).alias("new_word_frac"), zero(div("gone", "u")).alias("deleted_word_frac"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text",
-         k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON, salts: int = 16) -> DataFrame:
-    """Okapi BM25 top-k documents per query; negative idf values are lifted to epsilon × the mean idf.
+def bm25_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Inverted index (key, word, tf, dl, n_docs, sum_dl), written once: the only pass that tokenises the documents.
 
-    Only words of the queries survive into the scoring join, which is salted: a word found in every
-    document is spread over ``salts`` tasks.  The row_number filter is pushed below the shuffle as a
-    partial top-k, so a query that matches all documents sends k rows per task.
+    ``n_docs`` counts empty documents too; they have no postings.
     """
-    tf = term_counts(docs, key, text, ALNUM)
-    dl = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
-    # an empty document counts in the corpus size and in the mean length
-    size = docs.agg(F.count(F.lit(1)).cast("double").alias("n_docs"))
-    avg = dl.agg(F.sum("dl").alias("_sum")).crossJoin(size).select((F.col("_sum") / F.col("n_docs")).alias("avgdl"), "n_docs")  # one-row tables
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size)).withColumn("raw_idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one-row side
+    tf = durable(term_counts(docs, key, text, ALNUM))
+    size = docs.agg(F.count(F.lit(1)).cast("double").alias("n_docs")).crossJoin(tf.agg(F.sum("tf").alias("sum_dl")))  # one-row tables
+    return tf.join(tf.groupBy(key).agg(F.sum("tf").alias("dl")), key).crossJoin(F.broadcast(size))  # one-row side
+
+
+def bm25_search(index: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "item_id", query_text: str = "text",
+                k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON, salts: int = 16, seeds: int = 4) -> DataFrame:
+    """Okapi BM25 top-k documents per query from :func:`bm25_index`; negative idf values are lifted to epsilon × the mean idf.
+
+    Every word has an upper bound of what it can add to a score.  The ``seeds`` words of a query with the largest bounds give its k-th
+    partial score, a floor of the final one.  Words whose bounds together stay below the floor are left out of the search for
+    candidates: the frequent ones, whose postings are the long ones.  Candidates that cannot reach the floor go, and only the survivors
+    meet the remaining words.  A word that many documents hold is spread over ``salts`` tasks; the row_number filters are pushed below
+    their shuffles, so a task sends k rows per query at most.
+    """
+    index = durable(index)
+    df = index.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.any_value("n_docs").alias("n_docs"), F.max(tf_part(k1, b)).alias("most"))
+    df = durable(df.withColumn("raw_idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
     mean_idf = df.agg(F.avg("raw_idf").alias("mean_idf"))
     q = queries.select(query_key, F.explode(tokens(query_text, ALNUM)).alias("word")).groupBy(query_key, "word").agg(F.count(F.lit(1)).alias("qtf"))
-    idf = df.join(q.select("word").distinct(), "word", "left_semi").crossJoin(F.broadcast(mean_idf)).select("word", F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))  # one-row side
-    qw = q.join(idf, "word").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hit = tf.join(dl, key).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    s = hit.join(qw, ["word", "_salt"]).crossJoin(F.broadcast(avg))  # one-row side
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = s.groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    qw = q.join(df, "word").crossJoin(F.broadcast(mean_idf))  # one-row side
+    weight = F.col("qtf") * F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf"))
+    qw = qw.withColumn("weight", weight).withColumns({"high": F.greatest(F.col("weight") * F.col("most"), F.lit(0.0)), "low": F.least(F.col("weight") * F.col("most"), F.lit(0.0))})
+    mine = W.partitionBy(query_key)
+    qw = durable(qw.select(query_key, "word", "weight", "high", "low", F.row_number().over(mine.orderBy(F.desc("high"), "word")).alias("place"),
+                           F.sum("high").over(mine.orderBy("high", F.desc("word")).rowsBetween(W.unboundedPreceding, 0)).alias("below")))
+
+    def partial(words: DataFrame) -> DataFrame:
+        """Sum over the given words of each query, for every document that holds one of them."""
+        w = words.select(query_key, "word", "weight", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        hit = index.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(w, ["word", "_salt"])
+        return hit.groupBy(query_key, key).agg(F.sum(F.col("weight") * tf_part(k1, b)).alias("partial"))
+
+    lost = qw.filter(F.col("place") > seeds).groupBy(query_key).agg(F.sum("low").alias("low"))  # what other words may take away
+    kth = top_k(partial(qw.filter(F.col("place") <= seeds)), query_key, [F.col("partial").desc(), F.col(key)], k).filter(F.col("rank") == k)
+    floor = kth.join(lost, query_key, "left").select(query_key, (F.col("partial") + F.coalesce("low", F.lit(0.0)) - 1e-8).alias("floor"))
+    words = durable(qw.join(floor, query_key, "left").withColumn("rest", F.coalesce(F.col("below") < F.col("floor"), F.lit(False))))
+    rest = words.filter("rest")
+    bound = rest.groupBy(query_key).agg(F.max("below").alias("more"))
+    able = F.col("floor").isNull() | (F.col("partial") + F.coalesce("more", F.lit(0.0)) >= F.col("floor"))
+    found = partial(words.filter("NOT rest")).join(floor, query_key, "left").join(bound, query_key, "left").filter(able)
+    found = durable(found.select(query_key, key, "partial"))
+    more = found.join(rest.select(query_key, "word", "weight"), query_key).join(index, [key, "word"]).groupBy(query_key, key).agg(F.sum(F.col("weight") * tf_part(k1, b)).alias("more"))
+    scored = found.join(more, [query_key, key], "left").select(query_key, key, (F.col("partial") + F.coalesce("more", F.lit(0.0))).alias("score"))
     return top_k(scored, query_key, [F.round("score", 9).desc(), F.col(key)], k)
 
 
+def tf_part(k1: float, b: float) -> Column:
+    """Saturated term frequency of a posting."""
+    return F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / (F.col("sum_dl") / F.col("n_docs"))))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text", **options: float) -> DataFrame:
+    """:func:`bm25_search` in an index of ``docs``."""
+    return bm25_search(bm25_index(docs, key, text), queries, k, key, query_key, query_text, **options)
+
+
 def top_k(scored: DataFrame, query_key: str, order: Sequence[Column], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(query_key).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", tile: int = 256) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", tile: int = 256, block: int = 4096) -> DataFrame:
     """Exact inner-product top-k with the query normalised.
 
-    Queries are packed into tiles of a fixed number of vectors; every tile is sent once to the
-    partitions of the vectors, scored there as one matrix product, and each task returns k rows per
-    query at most.
+    A score is at most the vector's norm.  Vectors are dealt into shells of similar norm and, by hash, into blocks of about ``block`` rows inside a shell; requests
+    into tiles of about ``tile`` rows.  The outermost shells with k vectors meet all tiles first and give every request a floor;
+    of the other shells only those whose norms reach the least floor of a tile are sent to it.  A block and a tile meet in one task
+    as a matrix product, which returns k rows per request at most.
     """
-    q = queries.select(query_key, F.col(vector).alias("qv")).withColumn("_t", F.floor((F.row_number().over(W.orderBy(query_key)) - 1) / tile).cast("int"))
-    tiles = q.groupBy("_t").agg(F.collect_list(F.struct(query_key, "qv")).alias("qs"))
-    d = vectors.select(key, F.col(vector).alias("vv")).crossJoin(F.broadcast(tiles.select("_t"))).join(F.broadcast(tiles), "_t")  # tiles: requests packed by 256
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[object, pd.DataFrame] = {}
-        for pdf in batches:
-            for t, g in pdf.groupby("_t", sort=False):
-                qs = g["qs"].iloc[0]
-                m = np.array([np.asarray(x["qv"], dtype=np.float64) for x in qs])
-                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-                s = np.vstack(g["vv"].to_numpy()).astype(np.float64) @ m.T
-                ids = g[key].to_numpy()
-                for j, x in enumerate(qs):
-                    f = pd.DataFrame({query_key: x[query_key], key: ids, "score": s[:, j]})
-                    prev = best.get(x[query_key])
-                    f = f if prev is None else pd.concat([prev, f])
-                    best[x[query_key]] = f.sort_values(["score", key], ascending=[False, True]).head(k)
-        yield from best.values()
-
+    n_tiles = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.lit(1)).alias("tiles")
+    asked = queries.select(query_key, F.col(vector).alias("qv"))
+    asked = durable(asked.crossJoin(F.broadcast(asked.agg(n_tiles))).withColumn("tile", F.pmod(F.xxhash64(query_key), F.col("tiles"))).drop("tiles"))  # one-row side
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    shelled = vectors.select(key, F.col(vector).alias("vv"), F.when(norm > 0, F.floor(4 * F.log2(norm))).otherwise(F.lit(-(1 << 20))).cast("int").alias("shell"))
+    shells = shelled.groupBy("shell").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
+    outside = F.sum("n").over(W.orderBy(F.desc("shell")).rowsBetween(W.unboundedPreceding, -1))  # one row per quarter power of two of the norms
+    shells = durable(shells.withColumn("first", F.coalesce(outside, F.lit(0)) < k))
+    placed = durable(shelled.join(F.broadcast(shells), "shell").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks"))).drop("n", "blocks"))
+    blocks = shells.select("shell", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    tiles = asked.select("tile").distinct()
     types = dict(vectors.dtypes)[key], dict(queries.dtypes)[query_key]
-    out = d.mapInPandas(score, f"{query_key} {types[1]}, {key} {types[0]}, score double")
-    return top_k(out, query_key, [F.round("score", 9).desc(), F.col(key)], k)
+    schema = f"{query_key} {types[1]}, {key} {types[0]}, score double"
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({query_key: [], key: [], "score": []}).astype({"score": float})
+        m = np.vstack(right["qv"].to_numpy()).astype(np.float64)
+        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        left = left.sort_values(key)
+        s = np.round(np.vstack(left["vv"].to_numpy()).astype(np.float64) @ m.T, 9)
+        order = np.argsort(-s, axis=0, kind="stable")[:k]
+        rows, ids = order.T.ravel(), left[key].to_numpy()
+        return pd.DataFrame({query_key: np.repeat(right[query_key].to_numpy(), len(order)), key: ids[rows], "score": np.take_along_axis(s, order, axis=0).T.ravel()})
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        """Best rows of every (shell, block, tile) of ``pairs``."""
+        v = placed.drop("first").join(pairs, ["shell", "block"])
+        r = asked.join(pairs, "tile").select(*[F.col(c).alias(f"_{c}") for c in ("shell", "block", "tile")], query_key, "qv")
+        return v.groupBy("shell", "block", "tile").cogroup(r.groupBy("_shell", "_block", "_tile")).applyInPandas(score, schema)
+
+    ahead = durable(meet(blocks.filter("first").drop("first").crossJoin(tiles)))  # block and tile numbers only
+    floor = top_k(ahead, query_key, [F.col("score").desc(), F.col(key)], k).groupBy(query_key).agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
+    floor = asked.join(floor, query_key, "left").groupBy("tile").agg(F.min(F.when(F.col("n") == k, F.col("floor")).otherwise(F.lit(float("-inf")))).alias("floor"))
+    near = blocks.filter("NOT first").crossJoin(floor).filter(F.pow(F.lit(2.0), (F.col("shell") + 1) / 4) * (1 + 1e-9) + 1e-8 >= F.col("floor"))  # block and tile numbers only
+    return top_k(ahead.unionByName(meet(near.select("shell", "block", "tile"))), query_key, [F.col("score").desc(), F.col(key)], k)
 
 
 def hybrid(first: DataFrame, second: DataFrame, docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "item_id", text: str = "text", query_text: str = "text") -> DataFrame:
