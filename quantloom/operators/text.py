@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import div
 from quantloom.operators.blocks import blocked
-from quantloom.session import durable
+from quantloom.session import stored
 
 # Token patterns, chunk sizes and ranking constants.
 WORD = r"[a-z]+(?:['-][a-z]+)*"
@@ -120,31 +120,32 @@ def bm25_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     ``n_docs`` counts empty documents too; they have no postings.
     """
-    tf = durable(term_counts(docs, key, text, ALNUM))
+    words = docs.select(key, F.explode(tokens(text, ALNUM)).alias("word")).repartition(key)  # one shuffle for counts and lengths
+    tf = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
+    tf = stored(tf.withColumn("dl", F.sum("tf").over(W.partitionBy(key))))
     size = docs.agg(F.count(F.lit(1)).cast("double").alias("n_docs")).crossJoin(tf.agg(F.sum("tf").alias("sum_dl")))  # one-row tables
-    return tf.join(tf.groupBy(key).agg(F.sum("tf").alias("dl")), key).crossJoin(F.broadcast(size))  # one-row side
+    return tf.crossJoin(F.broadcast(stored(size)))  # one-row side
 
 
 def bm25_search(index: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "item_id", query_text: str = "text",
-                k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON, salts: int = 16, seeds: int = 4) -> DataFrame:
+                k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON, salts: int = 16, seeds: int = 8) -> DataFrame:
     """Okapi BM25 top-k documents per query from :func:`bm25_index`; negative idf values are lifted to epsilon × the mean idf.
 
     Every word has an upper bound of what it can add to a score.  The ``seeds`` words of a query with the largest bounds give its k-th
     partial score, a floor of the final one.  Words whose bounds together stay below the floor are left out of the search for
-    candidates: the frequent ones, whose postings are the long ones.  Candidates that cannot reach the floor go, and only the survivors
-    meet the remaining words.  A word that many documents hold is spread over ``salts`` tasks; the row_number filters are pushed below
+    candidates: the frequent ones, whose postings are the long ones.  The candidates' own partial scores raise the floor; those that cannot reach
+    it go, and only the survivors meet the remaining words.  A word that many documents hold is spread over ``salts`` tasks; the row_number filters are pushed below
     their shuffles, so a task sends k rows per query at most.
     """
-    index = durable(index)
     df = index.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.any_value("n_docs").alias("n_docs"), F.max(tf_part(k1, b)).alias("most"))
-    df = durable(df.withColumn("raw_idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
+    df = stored(df.withColumn("raw_idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
     mean_idf = df.agg(F.avg("raw_idf").alias("mean_idf"))
     q = queries.select(query_key, F.explode(tokens(query_text, ALNUM)).alias("word")).groupBy(query_key, "word").agg(F.count(F.lit(1)).alias("qtf"))
     qw = q.join(df, "word").crossJoin(F.broadcast(mean_idf))  # one-row side
     weight = F.col("qtf") * F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf"))
     qw = qw.withColumn("weight", weight).withColumns({"high": F.greatest(F.col("weight") * F.col("most"), F.lit(0.0)), "low": F.least(F.col("weight") * F.col("most"), F.lit(0.0))})
     mine = W.partitionBy(query_key)
-    qw = durable(qw.select(query_key, "word", "weight", "high", "low", F.row_number().over(mine.orderBy(F.desc("high"), "word")).alias("place"),
+    qw = stored(qw.select(query_key, "word", "weight", "high", "low", F.row_number().over(mine.orderBy(F.desc("high"), "word")).alias("place"),
                            F.sum("high").over(mine.orderBy("high", F.desc("word")).rowsBetween(W.unboundedPreceding, 0)).alias("below")))
 
     def partial(words: DataFrame) -> DataFrame:
@@ -153,15 +154,20 @@ def bm25_search(index: DataFrame, queries: DataFrame, k: int, key: str = "doc_id
         hit = index.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(w, ["word", "_salt"])
         return hit.groupBy(query_key, key).agg(F.sum(F.col("weight") * tf_part(k1, b)).alias("partial"))
 
-    lost = qw.filter(F.col("place") > seeds).groupBy(query_key).agg(F.sum("low").alias("low"))  # what other words may take away
-    kth = top_k(partial(qw.filter(F.col("place") <= seeds)), query_key, [F.col("partial").desc(), F.col(key)], k).filter(F.col("rank") == k)
-    floor = kth.join(lost, query_key, "left").select(query_key, (F.col("partial") + F.coalesce("low", F.lit(0.0)) - 1e-8).alias("floor"))
-    words = durable(qw.join(floor, query_key, "left").withColumn("rest", F.coalesce(F.col("below") < F.col("floor"), F.lit(False))))
+    def floor_of(scores: DataFrame, unseen: DataFrame) -> DataFrame:
+        """A number that each of the k best scores of a query reaches: its k-th partial score less what unseen words may take away."""
+        kth = top_k(scores, query_key, [F.col("partial").desc(), F.col(key)], k).filter(F.col("rank") == k)
+        lost = unseen.groupBy(query_key).agg(F.sum("low").alias("low"))
+        return kth.join(lost, query_key, "left").select(query_key, (F.col("partial") + F.coalesce("low", F.lit(0.0)) - 1e-8).alias("floor"))
+
+    first = F.col("place") <= seeds
+    words = qw.join(floor_of(partial(qw.filter(first)), qw.filter(~first)), query_key, "left").withColumn("rest", F.coalesce(F.col("below") < F.col("floor"), F.lit(False)))
+    words = stored(words)
     rest = words.filter("rest")
+    found = stored(partial(words.filter("NOT rest")).select(query_key, key, "partial"))
     bound = rest.groupBy(query_key).agg(F.max("below").alias("more"))
     able = F.col("floor").isNull() | (F.col("partial") + F.coalesce("more", F.lit(0.0)) >= F.col("floor"))
-    found = partial(words.filter("NOT rest")).join(floor, query_key, "left").join(bound, query_key, "left").filter(able)
-    found = durable(found.select(query_key, key, "partial"))
+    found = stored(found.join(floor_of(found, rest), query_key, "left").join(bound, query_key, "left").filter(able).select(query_key, key, "partial"))
     more = found.join(rest.select(query_key, "word", "weight"), query_key).join(index, [key, "word"]).groupBy(query_key, key).agg(F.sum(F.col("weight") * tf_part(k1, b)).alias("more"))
     scored = found.join(more, [query_key, key], "left").select(query_key, key, (F.col("partial") + F.coalesce("more", F.lit(0.0))).alias("score"))
     return top_k(scored, query_key, [F.round("score", 9).desc(), F.col(key)], k)
@@ -191,13 +197,13 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     """
     n_tiles = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.lit(1)).alias("tiles")
     asked = queries.select(query_key, F.col(vector).alias("qv"))
-    asked = durable(asked.crossJoin(F.broadcast(asked.agg(n_tiles))).withColumn("tile", F.pmod(F.xxhash64(query_key), F.col("tiles"))).drop("tiles"))  # one-row side
+    asked = stored(asked.crossJoin(F.broadcast(asked.agg(n_tiles))).withColumn("tile", F.pmod(F.xxhash64(query_key), F.col("tiles"))).drop("tiles"))  # one-row side
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     shelled = vectors.select(key, F.col(vector).alias("vv"), F.when(norm > 0, F.floor(4 * F.log2(norm))).otherwise(F.lit(-(1 << 20))).cast("int").alias("shell"))
     shells = shelled.groupBy("shell").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
     outside = F.sum("n").over(W.orderBy(F.desc("shell")).rowsBetween(W.unboundedPreceding, -1))  # one row per quarter power of two of the norms
-    shells = durable(shells.withColumn("first", F.coalesce(outside, F.lit(0)) < k))
-    placed = durable(shelled.join(F.broadcast(shells), "shell").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks"))).drop("n", "blocks"))
+    shells = stored(shells.withColumn("first", F.coalesce(outside, F.lit(0)) < k))
+    placed = stored(shelled.join(F.broadcast(shells), "shell").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks"))).drop("n", "blocks"))
     blocks = shells.select("shell", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     tiles = asked.select("tile").distinct()
     types = dict(vectors.dtypes)[key], dict(queries.dtypes)[query_key]
@@ -220,7 +226,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
         r = asked.join(pairs, "tile").select(*[F.col(c).alias(f"_{c}") for c in ("shell", "block", "tile")], query_key, "qv")
         return v.groupBy("shell", "block", "tile").cogroup(r.groupBy("_shell", "_block", "_tile")).applyInPandas(score, schema)
 
-    ahead = durable(meet(blocks.filter("first").drop("first").crossJoin(tiles)))  # block and tile numbers only
+    ahead = stored(meet(blocks.filter("first").drop("first").crossJoin(tiles)))  # block and tile numbers only
     floor = top_k(ahead, query_key, [F.col("score").desc(), F.col(key)], k).groupBy(query_key).agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
     floor = asked.join(floor, query_key, "left").groupBy("tile").agg(F.min(F.when(F.col("n") == k, F.col("floor")).otherwise(F.lit(float("-inf")))).alias("floor"))
     near = blocks.filter("NOT first").crossJoin(floor).filter(F.pow(F.lit(2.0), (F.col("shell") + 1) / 4) * (1 + 1e-9) + 1e-8 >= F.col("floor"))  # block and tile numbers only
@@ -240,19 +246,38 @@ def hybrid(first: DataFrame, second: DataFrame, docs: DataFrame, queries: DataFr
     return top_k(c, query_key, [F.col("overlap").desc(), F.col("pos")], k).select(query_key, key, "overlap", "rank")
 
 
-def term_presence(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text") -> DataFrame:
+def grams_of(text: str, pattern_length: int = 3) -> Column:
+    """Distinct q-grams of a lower-cased text column, cut in one pass over its characters."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted({t[i:i + pattern_length] for i in range(len(t) - pattern_length + 1)}) if t else [])
+
+    return cut(F.lower(text))
+
+
+def term_presence(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text", salts: int = 16) -> DataFrame:
     """Score = number of query terms (longer than two characters) contained in the text; ties by shorter text, then id.
 
-    Substring search needs every (query, document) look; the requests travel as one packed row per tile
-    and every task returns only scores above zero, cut to k per query below the shuffle.
+    A document can only hold a term if it holds all its three-letter pieces.  The pieces of the documents that any term has are an index; every distinct
+    term, whichever requests share it, looks up its rarest piece there and is searched for in the documents of that piece only.
+    Requests then count the documents of their terms; a frequent piece or term is spread over ``salts`` tasks.
     """
-    terms = F.array_distinct(F.filter(extract(F.lower(query_text), "[A-Za-z0-9_]+"), lambda t: F.length(t) > 2))
-    q = queries.select(query_key, terms.alias("terms"))
-    packed = q.groupBy(F.pmod(F.xxhash64(query_key), F.lit(8)).alias("_t")).agg(F.collect_list(F.struct(query_key, "terms")).alias("qs"))
-    d = docs.select(key, F.lower(text).alias("_x"), F.length(text).alias("n_chars")).crossJoin(F.broadcast(packed))  # eight packed request rows
-    d = d.select(key, "n_chars", F.explode(F.transform("qs", lambda s: F.struct(s[query_key].alias(query_key), F.size(F.filter(s["terms"], lambda t: F.contains(F.col("_x"), t))).alias("score")))).alias("s"))
-    d = d.select(key, "n_chars", f"s.{query_key}", "s.score").filter("score > 0")
-    return top_k(d, query_key, [F.col("score").desc(), F.col("n_chars"), F.col(key)], k)
+    asked = queries.select(query_key, F.explode(F.array_distinct(F.filter(extract(F.lower(query_text), "[A-Za-z0-9_]+"), lambda t: F.length(t) > 2))).alias("term"))
+    asked = stored(asked)
+    pieces = asked.select("term").distinct().select("term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term") - 2), lambda i: F.substring("term", i, 3)))).alias("gram"))
+    index = docs.select(key, F.explode(grams_of(text)).alias("gram")).join(pieces.select("gram").distinct(), "gram", "left_semi").distinct()
+    index = stored(index)
+    found_in = pieces.join(index.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    probe = found_in.groupBy("term").agg(F.min(F.struct("df", "gram")).alias("p")).filter("p.df > 0").select("term", F.col("p.gram").alias("gram"))
+    probe = stored(probe).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = index.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    maybe = salted.join(probe, ["gram", "_salt"]).groupBy(key).agg(F.collect_set("term").alias("terms"))
+    d = docs.select(key, F.lower(text).alias("_x"), F.length(text).alias("n_chars")).join(maybe, key)
+    hits = d.select(key, "n_chars", F.explode(F.filter("terms", lambda t: F.contains(F.col("_x"), t))).alias("term")).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    wanted = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    scored = hits.join(wanted, ["term", "_salt"]).groupBy(query_key, key, "n_chars").agg(F.count(F.lit(1)).cast("int").alias("score"))
+    return top_k(scored, query_key, [F.col("score").desc(), F.col("n_chars"), F.col(key)], k).select(key, "n_chars", query_key, "score", "rank")
 
 
 # ---------------------------------------------------------------- verdict records
