@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import div, month_of
 from quantloom.functions.rolling import rolling
+from quantloom.operators.quantiles import exact_quantiles
 
 
 def compound(df: DataFrame, ret: str, group: Sequence[Column | str], name: str = "total_return") -> DataFrame:
@@ -50,7 +51,8 @@ def leaderboard(metrics: DataFrame, group: str) -> DataFrame:
 
 
 def percentile_summary(df: DataFrame, x: str, points: Sequence[int] = (1, 5, 25, 50, 75, 95, 99)) -> DataFrame:
-    return df.agg(F.percentile(x, F.array(*[F.lit(p / 100.0) for p in points])).alias("p"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).select(
+    q = exact_quantiles(df, x, [p / 100.0 for p in points], name="p")
+    return q.crossJoin(df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))).select(  # one-row tables
         *[F.get("p", i).alias(f"p{p}") for i, p in enumerate(points)], "mean", "std")
 
 

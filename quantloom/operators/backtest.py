@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import by, clip, code_map, div, so_far
 from quantloom.operators import metrics as mt
+from quantloom.operators.quantiles import exact_quantiles
 from quantloom.operators.ranks import ordinal
 
 
@@ -22,14 +23,15 @@ def execution_filters(df: DataFrame, min_abs_signal: float, max_relative_spread:
 
 def winsorise(df: DataFrame, columns: Sequence[str], low: float, high: float, min_rows: int = 10) -> DataFrame:
     """Clip columns at full-sample quantiles; a column with fewer than ``min_rows`` finite values stays."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_q_{c}") for c in columns], *[F.count(c).alias(f"_n_{c}") for c in columns])
-    d = df.crossJoin(F.broadcast(q))  # one-row side
+    d = df
+    for c in columns:
+        d = d.crossJoin(F.broadcast(exact_quantiles(df, c, [low, high], name=f"_q_{c}").withColumnRenamed("n", f"_n_{c}")))  # one-row side
     out = {c: F.when((F.col(f"_n_{c}") >= min_rows) & F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_q_{c}")[0]), F.col(f"_q_{c}")[1])).otherwise(F.col(c)) for c in columns}
-    return d.withColumns(out).drop(*q.columns)
+    return d.withColumns(out).drop(*[f"_{k}_{c}" for c in columns for k in "qn"])
 
 
 def tercile(df: DataFrame, x: str, name: str, labels: tuple[str, str, str]) -> DataFrame:
-    q = df.agg(F.percentile(x, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_t"))
+    q = exact_quantiles(df, x, [1 / 3, 2 / 3], name="_t").drop("n")
     d = df.crossJoin(F.broadcast(q))  # one-row side
     return d.withColumn(name, F.when(F.col(x) <= F.col("_t")[0], labels[0]).when(F.col(x) <= F.col("_t")[1], labels[1]).otherwise(labels[2])).drop("_t")
 
@@ -307,8 +309,9 @@ def liquidation_stress(marked: DataFrame, leverages: Sequence[float], spot_bps:
 
 def liquidation_tail(marked: DataFrame, leverages: Sequence[float]) -> DataFrame:
     x = F.col("adverse_dbasis")
-    return marked.agg((F.max(x) * 100).alias("max_pct"), (F.percentile(x, F.lit(0.999)) * 100).alias("p999_pct"), (F.percentile(x, F.lit(0.99)) * 100).alias("p99_pct"),
-                      *[F.count_if(x > 1.0 / v).alias(f"liq_{v:g}x") for v in leverages])
+    q = exact_quantiles(marked, x, [0.999, 0.99], name="_q").select((F.col("_q")[0] * 100).alias("p999_pct"), (F.col("_q")[1] * 100).alias("p99_pct"))
+    d = marked.agg((F.max(x) * 100).alias("max_pct"), *[F.count_if(x > 1.0 / v).alias(f"liq_{v:g}x") for v in leverages])
+    return d.crossJoin(q)  # one-row tables
 
 
 # ---------------------------------------------------------------- scenario tables

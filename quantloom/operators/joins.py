@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import align_to_bar, by, div, round_to_hour, so_far
+from quantloom.operators.quantiles import exact_quantiles
 from quantloom.sources.market import keep_last
 
 
@@ -183,7 +184,8 @@ def crosscheck_close(ticks: DataFrame, daily: DataFrame) -> DataFrame:
     """Last tick of the day against the daily close: mean, 99th percentile and maximum relative difference."""
     mine = ticks.groupBy("symbol", F.to_date("event_time").alias("date")).agg(F.max_by("price", F.struct("event_time", "trade_id")).alias("mine"))
     d = mine.join(daily.select("symbol", "date", F.col("close").alias("theirs")), ["symbol", "date"]).withColumn("rel", F.abs(div("mine", "theirs") - 1.0))
-    return d.agg(F.count(F.lit(1)).alias("n_days"), F.avg("rel").alias("mean_diff"), F.percentile("rel", F.lit(0.99)).alias("p99_diff"), F.max("rel").alias("max_diff"))
+    q = exact_quantiles(d, "rel", [0.99]).select(F.col("q")[0].alias("p99_diff"))
+    return d.agg(F.count(F.lit(1)).alias("n_days"), F.avg("rel").alias("mean_diff"), F.max("rel").alias("max_diff")).crossJoin(q)  # one-row tables
 
 
 def cash_yield(dates: DataFrame, rates: DataFrame, assumption: str) -> DataFrame:

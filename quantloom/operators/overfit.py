@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.columns import by, div
 from quantloom.functions.noise import counter_uniform, key32, uniform
 from quantloom.functions.normal import norm_cdf, norm_ppf
+from quantloom.operators.quantiles import exact_quantiles
 from quantloom.session import durable, spread
 
 MIN_BLOCK_ROWS = 5
@@ -526,7 +527,7 @@ def funnel(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
 
 def dev_threshold(df: DataFrame, prediction: str, dev: Column, quantile: float) -> DataFrame:
     """Threshold column from the development quantile of |prediction|."""
-    q = df.agg(F.percentile(F.when(dev, F.abs(prediction)), F.lit(quantile)).alias("threshold"))
+    q = exact_quantiles(df, F.when(dev, F.abs(prediction)), [quantile]).select(F.col("q")[0].alias("threshold"))
     return df.crossJoin(F.broadcast(q))  # one-row side
 
 

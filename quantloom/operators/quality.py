@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import div
 from quantloom.operators.blocks import BLOCK_ROWS, blocked
+from quantloom.operators.quantiles import exact_quantiles
 
 
 def timestamp_unit(df: DataFrame, raw: str) -> DataFrame:
@@ -64,9 +65,9 @@ def panel_audit(df: DataFrame, value: str, key: str = "symbol", date: str = "dat
     """One wide aggregate: rows, keys, nulls, non-positive, out-of-range, quantiles; duplicate keys by a combinable count."""
     v = F.col(value)
     wide = df.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_keys"), F.count_if(v.isNull()).alias("n_null"), F.count_if(v <= 0).alias("n_nonpositive"),
-                  F.count_if((v < lo) | (v > hi)).alias("n_out_of_range"), F.percentile(value, F.array(*[F.lit(q) for q in quantiles])).alias("_q"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+                  F.count_if((v < lo) | (v > hi)).alias("n_out_of_range"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
     dup = df.groupBy(key, date).agg(F.count(F.lit(1)).alias("_c")).agg(F.count_if(F.col("_c") > 1).alias("n_duplicate_keys"))
-    return wide.crossJoin(dup).select("*", *[F.col("_q")[i].alias(f"q{int(q * 100):02d}") for i, q in enumerate(quantiles)]).drop("_q")  # one-row tables
+    return wide.crossJoin(dup).crossJoin(exact_quantiles(df, value, quantiles, name="_q").drop("n")).select("*", *[F.col("_q")[i].alias(f"q{int(q * 100):02d}") for i, q in enumerate(quantiles)]).drop("_q")  # one-row tables
 
 
 def per_year_coverage(df: DataFrame, key: str = "symbol", date: str = "date") -> DataFrame:

@@ -41,12 +41,12 @@ def stream_bars(spark, sf):
 
 def prediction_tables(ev):
     t = F.col("ts").cast("timestamp")
-    p = ev.filter("event_id % 2 = 0").select(F.col("event_id").alias("signal_id"), t.alias("ts"), (F.col("value") / 100).alias("confidence"))
-    v = ev.filter("event_id % 2 = 0 AND event_id % 6 <> 0").select(F.col("event_id").alias("signal_id"), F.timestamp_micros(F.unix_micros(t) + (F.col("event_id") % 90) * 1_000_000).alias("ts"), F.when(F.col("event_id") % 4 == 0, "veto").otherwise("pass").alias("decision"))
+    p = ev.select(F.col("event_id").alias("signal_id"), t.alias("ts"), (F.col("value") / 100).alias("confidence"))
+    v = ev.filter("event_id % 6 <> 0").select(F.col("event_id").alias("signal_id"), F.timestamp_micros(F.unix_micros(t) + (F.col("event_id") % 90) * 1_000_000).alias("ts"), F.when(F.col("event_id") % 4 == 0, "veto").otherwise("pass").alias("decision"))
     return p, v
 
 
-PAIRS = """p AS (SELECT event_id AS signal_id, ts FROM events WHERE event_id % 2 = 0), q AS (SELECT signal_id, ts, signal_id % 6 <> 0 AND signal_id % 90 <= 60 AS paired FROM p)"""
+PAIRS = """p AS (SELECT event_id AS signal_id, ts FROM events), q AS (SELECT signal_id, ts, signal_id % 6 <> 0 AND signal_id % 90 <= 60 AS paired FROM p)"""
 
 
 @query("SS4", f"""WITH {PAIRS} SELECT signal_id, CASE WHEN paired THEN 'paired' ELSE 'timeout' END AS outcome, CASE WHEN paired THEN CASE WHEN signal_id % 4 = 0 THEN 'veto' ELSE 'pass' END END AS decision FROM q""")
