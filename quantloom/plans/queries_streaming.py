@@ -106,7 +106,7 @@ def position_book(spark, sf):
 
 @query("SS7 SS8", f"WITH RECURSIVE {BOOK}, l AS (SELECT symbol, arg_max(q, i) AS position, arg_max(a, i) AS avg_price, sum(pnl) AS realized_pnl FROM r GROUP BY 1) SELECT *, abs(position) * CASE WHEN symbol % 2 = 0 THEN 50.0 ELSE avg_price END AS notional FROM l WHERE position <> 0", "position avg_price realized_pnl notional", digits=4)
 def stream_position_book(spark, sf):
-    book = rc.run_available(ex.stream_position_book(fill_table(rc.source(spark, f"{sf}/events.parquet"))), "book")
+    book, _ = ex.stream_position_book(fill_table(rc.source(spark, f"{sf}/events.parquet")), rc.work_folder(spark, "book"))
     folder = rc.work_folder(spark, "snapshots")
     ex.write_snapshot(ex.latest_book(book), folder, "1")
     mid = table(spark, sf, "events").filter("user_id % 2 = 0").select(F.col("user_id").alias("symbol"), F.lit(50.0).alias("mid")).distinct()

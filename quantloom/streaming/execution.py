@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quantloom.functions.columns import div
 from quantloom.operators.blocks import BLOCK_ROWS, numbered
+from quantloom.session import stored
 
 PAIR_SECONDS = 60
 
@@ -88,13 +87,34 @@ def recent_orders(orders: DataFrame, seconds: int = 60, book: str = "book", buck
 FOLD_ROWS = 1024  # rows folded in one array; blocks of a symbol are folded again
 
 
-def position_book(fills: DataFrame, ties: Sequence[str] = ("fill_id",), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Quantity, average price and realised P&L after every fill.
+def composed(rows: str, scale: str, shift: str) -> Column:
+    """The maps c -> scale c + shift of an ordered array as one."""
+    one = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"))
+    return F.aggregate(rows, one, lambda st, x: F.struct((x[scale] * st["scale"]).alias("scale"), (x[scale] * st["shift"] + x[shift]).alias("shift")))
+
+
+def first_bases(maps: DataFrame, opening: DataFrame | None, fold_rows: int) -> DataFrame:
+    """(symbol, _f, _first): the cost basis before each block, from the blocks' maps (symbol, _f, scale, shift)."""
+    groups = maps.groupBy("symbol", F.floor(F.col("_f") / fold_rows).alias("_g")).agg(F.sort_array(F.collect_list(F.struct("_f", "scale", "shift"))).alias("_ms"))
+    if (maps.agg(F.max("_f")).first()[0] or 0) >= fold_rows:
+        up = stored(groups.select("symbol", F.col("_g").alias("_f"), composed("_ms", "scale", "shift").alias("_m")).select("symbol", "_f", "_m.scale", "_m.shift"))
+        groups = groups.join(first_bases(up, opening, fold_rows).select("symbol", F.col("_f").alias("_g"), F.col("_first").alias("_c")), ["symbol", "_g"])
+    elif opening is not None:
+        groups = groups.join(opening.select("symbol", F.col("_c0").alias("_c")), "symbol", "left")
+    else:
+        groups = groups.withColumn("_c", F.lit(0.0))
+    begin = F.struct(F.coalesce("_c", F.lit(0.0)).alias("c"), F.array().cast("array<struct<_f:bigint,_first:double>>").alias("out"))
+    carried = F.aggregate("_ms", begin, lambda st, m: F.struct((m["scale"] * st["c"] + m["shift"]).alias("c"), F.concat(st["out"], F.array(F.struct(m["_f"].alias("_f"), st["c"].alias("_first")))).alias("out")))
+    return stored(groups.select("symbol", F.explode(carried["out"]).alias("_o")).select("symbol", "_o._f", "_o._first"))
+
+
+def position_book(fills: DataFrame, ties: Sequence[str] = ("fill_id",), block_rows: int = BLOCK_ROWS, opening: DataFrame | None = None, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """Quantity, average price and realised P&L after every fill; ``opening`` (symbol, position, avg_price) is the book before the first one.
 
     The quantity is a running sum.  The cost basis follows c_t = a_t c_{t-1} + b_t with known a and b: an opening or flipping fill sets it,
     an increase adds its cost, a reduction scales by q_t / q_{t-1}.  Such maps compose, so each block of rows is folded to one
-    map, the maps of a symbol's blocks give each block's first basis, and the blocks are folded again from there.  A book that never goes flat
-    is cut like any other.
+    map, level by level until a symbol has one, the first basis of each block comes back down the levels, and the blocks are folded again from there.  A
+    book that never goes flat is cut like any other, and no task holds more than ``fold_rows`` rows or maps of a symbol at once.
     """
     s = F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
     d = numbered(fills.withColumn("_s", s), "ts", ties).withColumn("_blk", F.floor(F.col("_idx") / block_rows))
@@ -105,7 +125,11 @@ def position_book(fills: DataFrame, ties: Sequence[str] = ("fill_id",), block_ro
         tot = x.groupBy("symbol", "_blk").agg(F.sum(value).alias("_tot")).select("symbol", "_blk", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
         return x.join(tot, ["symbol", "_blk"]).withColumn(name, F.sum(value).over(inside) + F.col("_off")).drop("_off")
 
-    d = running(d, "_s", "position").withColumn("_p", F.round(F.col("position") - F.col("_s"), 9)).withColumn("position", F.round("position", 9))
+    d = running(d, "_s", "position")
+    if opening is not None:
+        opening = stored(opening.select("symbol", F.col("position").alias("_q0"), (F.col("position") * F.col("avg_price")).alias("_c0")))
+        d = d.join(opening.select("symbol", "_q0"), "symbol", "left").withColumn("position", F.col("position") + F.coalesce("_q0", F.lit(0.0))).drop("_q0")
+    d = d.withColumn("_p", F.round(F.col("position") - F.col("_s"), 9)).withColumn("position", F.round("position", 9))
     flip = F.col("position") * F.col("_p") < 0
     start = (F.col("_p") == 0) | flip
     grow = F.signum("_p") == F.signum("_s")
@@ -113,14 +137,9 @@ def position_book(fills: DataFrame, ties: Sequence[str] = ("fill_id",), block_ro
                        "_b": F.when(start, F.col("position") * F.col("price")).when(grow, F.col("_s") * F.col("price")).otherwise(0.0).cast("double")})
 
     rest = [c for c in d.columns if c not in ("symbol", "_idx")]
-    d = d.withColumn("_f", F.floor(F.col("_idx") / FOLD_ROWS)).groupBy("symbol", "_f").agg(F.sort_array(F.collect_list(F.struct("_idx", *rest))).alias("_rows"))
-    one = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"))
-    folded = F.aggregate("_rows", one, lambda st, x: F.struct((x["_a"] * st["scale"]).alias("scale"), (x["_a"] * st["shift"] + x["_b"]).alias("shift")))
-    maps = d.withColumn("_m", folded).select("symbol", "_f", "_m.scale", "_m.shift")
-    begin = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<struct<_f:bigint,_first:double>>").alias("out"))
-    carried = F.aggregate(F.sort_array(F.collect_list(F.struct("_f", "scale", "shift"))), begin, lambda st, m: F.struct(
-        (m["scale"] * st["c"] + m["shift"]).alias("c"), F.concat(st["out"], F.array(F.struct(m["_f"].alias("_f"), st["c"].alias("_first")))).alias("out")))
-    firsts = maps.groupBy("symbol").agg(carried["out"].alias("_o")).select("symbol", F.explode("_o").alias("_o")).select("symbol", "_o._f", "_o._first")
+    d = d.withColumn("_f", F.floor(F.col("_idx") / fold_rows)).groupBy("symbol", "_f").agg(F.sort_array(F.collect_list(F.struct("_idx", *rest))).alias("_rows"))
+    maps = stored(d.select("symbol", "_f", composed("_rows", "_a", "_b").alias("_m")).select("symbol", "_f", "_m.scale", "_m.shift"))
+    firsts = first_bases(maps, opening, fold_rows)
     state = F.struct(F.col("_first").alias("c"), F.array().cast("array<struct<_before:double,_c:double>>").alias("out"))
 
     def step(st: Column, x: Column) -> Column:
@@ -136,31 +155,26 @@ def position_book(fills: DataFrame, ties: Sequence[str] = ("fill_id",), block_ro
     return d.withColumn("realized_pnl", F.when(opens, 0.0).otherwise(gain)).drop("_s", "_idx", "_blk", "_p", "_a", "_b", "_before", "_c")
 
 
-BOOK_SCHEMA = "symbol long, ts timestamp, fill_id long, position double, avg_price double, realized_pnl double"
-BOOK_STATE = "position double, avg_price double"
-
-
-def stream_position_book(fills: DataFrame) -> DataFrame:
-    """The same book as keyed state over a stream of fills (time-ordered per symbol across batches)."""
+def stream_position_book(fills: DataFrame, folder: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Fold all available fills of a stream (time-ordered per symbol across batches) into a book under ``folder``: every fill with its book, and the newest book.
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        q, avg = state.get if state.exists else (0.0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "fill_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            s = r.qty if r.side == "buy" else -r.qty
-            new, pnl = round(q + s, 9), 0.0
-            if q == 0 or (q > 0) == (s > 0):
-                avg = (q * avg + s * r.price) / new
-            else:
-                pnl = (1.0 if q > 0 else -1.0) * min(abs(s), abs(q)) * (r.price - avg)
-                avg = 0.0 if new == 0 else (r.price if abs(s) > abs(q) else avg)
-            q = new
-            out.append((key[0], r.ts, r.fill_id, q, avg, pnl))
-        state.update((q, avg))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "fill_id", "position", "avg_price", "realized_pnl"])
-
-    return fills.groupBy("symbol").applyInPandasWithState(fold, BOOK_SCHEMA, BOOK_STATE, "append", GroupStateTimeout.NoTimeout)
+    Each micro-batch is a :func:`position_book` that opens with the book of the batch before, so a symbol that fills a batch is cut into blocks there as
+    well.  Both tables are written per batch number: a batch that runs again overwrites its own rows, and a restart goes on from the last one.
+    """
+    spark = fills.sparkSession
+
+    def fold(batch: DataFrame, epoch: int) -> None:
+        opening = spark.read.parquet(f"{folder}/book/batch={epoch - 1}") if epoch else None
+        book = stored(position_book(batch, block_rows=block_rows, opening=opening))
+        book.select("symbol", "ts", "fill_id", "position", "avg_price", "realized_pnl").write.mode("overwrite").parquet(f"{folder}/fills/batch={epoch}")
+        last = latest_book(book).select("symbol", "position", "avg_price")
+        whole = last if opening is None else last.unionByName(opening.join(last.select("symbol"), "symbol", "left_anti"))
+        whole.write.mode("overwrite").parquet(f"{folder}/book/batch={epoch}")
+
+    fills.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    batches = spark.read.parquet(f"{folder}/book")
+    newest = batches.join(F.broadcast(batches.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one-row side
+    return spark.read.parquet(f"{folder}/fills").drop("batch"), newest
 
 
 def book_exposure(latest: DataFrame, mid: DataFrame) -> DataFrame:

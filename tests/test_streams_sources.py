@@ -92,8 +92,24 @@ def test_position_book_batch_stream_and_loop(spark, tmp_path):
     np.testing.assert_allclose(batch[["position", "avg_price", "realized_pnl"]].to_numpy(), np.array(want), atol=1e-6)
     rows = pdf.to_dict("records")
     s = file_stream(spark, tmp_path, "f", [rows[:100], rows[100:200], rows[200:]], "symbol long, ts timestamp, fill_id long, side string, qty double, price double")
-    stream = rc.run_available(ex.stream_position_book(s), "book").toPandas().sort_values("fill_id").reset_index(drop=True)
+    folder = str(tmp_path / "book")
+    done, newest = ex.stream_position_book(s, folder, block_rows=16)
+    stream = done.toPandas().sort_values("fill_id").reset_index(drop=True)
     np.testing.assert_allclose(stream[["position", "avg_price", "realized_pnl"]].to_numpy(), np.array(want), atol=1e-6)
+    assert {r.symbol: (r.position, round(r.avg_price, 6)) for r in newest.collect()} == {k: (q, round(a, 6)) for k, (q, a) in book.items()}
+
+
+def test_fold_by_levels_and_opening_book(spark):
+    """Blocks of three rows or maps, so that one symbol needs five levels; a second part opens with the book of the first."""
+    n = 400
+    rows = [(1, at(i), i, "buy" if RNG.random() < 0.6 else "sell", float(RNG.integers(1, 5)), float(RNG.integers(90, 110))) for i in range(n)] + [(2, at(5), n, "sell", 3.0, 50.0)]
+    fills = spark.createDataFrame(rows, "symbol long, ts timestamp, fill_id long, side string, qty double, price double")
+    columns = ["fill_id", "position", "avg_price", "realized_pnl"]
+    whole = ex.position_book(fills).select(columns).orderBy("fill_id").toPandas().to_numpy()
+    np.testing.assert_allclose(ex.position_book(fills, block_rows=50, fold_rows=3).select(columns).orderBy("fill_id").toPandas().to_numpy(), whole, atol=1e-7)
+    first = ex.position_book(fills.filter("fill_id < 200"))
+    second = ex.position_book(fills.filter("fill_id >= 200"), opening=ex.latest_book(first), fold_rows=7)
+    np.testing.assert_allclose(first.unionByName(second).select(columns).orderBy("fill_id").toPandas().to_numpy(), whole, atol=1e-7)
 
 
 def test_trades_share_a_millisecond(spark):
