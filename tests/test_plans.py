@@ -5,7 +5,7 @@ import pytest
 from quantloom.plans.catalog import all_queries
 
 COLUMN_ONLY = ["flagship_rank_spread", "volatility_pack", "characteristics_pack", "trend_fingerprint", "book_backtest", "refreshed_long_short", "trade_flow_features", "quote_features", "depth_features",
-               "position_book", "signal_families", "grid_backtest", "circular_bootstrap", "bm25_top", "document_changes", "triple_barrier", "forward_returns", "carry_liquidation", "stress_scenarios", "permuted_paths"]
+               "position_book", "signal_families", "grid_backtest", "bm25_top", "document_changes", "triple_barrier", "forward_returns", "carry_liquidation", "stress_scenarios", "permuted_paths"]
 
 
 def plan(spark, sf, name):
@@ -34,3 +34,11 @@ def test_symbol_windows_share_one_shuffle(spark, sf):
 
 def test_top_k_is_cut_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in plan(spark, sf, "bm25_top")
+
+
+@pytest.mark.parametrize("name", ["circular_bootstrap", "stationary_bootstrap"])
+def test_bootstrap_draws_never_leave_their_task(spark, sf, name):
+    """Resamples are drawn and summed inside one stage: one join of arrays by strategy before it, none after, and no exploded draws."""
+    p = plan(spark, sf, name)
+    before = p.index("MapInPandas")
+    assert p[before:].count("Join") == 1 and p[:before].count("Join") == 0 and p[:before].count("Exchange") <= 1 and p.count("Generate") == 1 and "CartesianProduct" not in p
