@@ -138,7 +138,8 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.nd
         step = np.arange(int(size.sum())) - np.repeat(first, size)
         code = BYTE_CODE[fold[buf[step + np.repeat(s, size)]]]
         code *= powers(step + np.repeat(s - start[a:b], size))
-        out[a:b] += np.add.reduceat(code, first)
+        # each place is mixed before the sum: a plain polynomial modulo 2^64 gives a Thue-Morse word and its complement one value
+        out[a:b] += np.add.reduceat(mix(code), first)
     return mix(out + (end - start).astype(np.uint64) * STEP)
 
 

@@ -152,7 +152,8 @@ def count_tokens(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, overla
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk
     short = rows.where(~long).select("doc_id", "text").mapInArrow(whole_counts(model), "doc_id long, n_bytes long, n_tokens long").withColumn("n_chunks", F.lit(1).cast("long"))
-    result, todo = short, rows.where(long)
+    # written once: row numbers of a second scan may differ where the number of cores has changed
+    result, todo = short, saved(rows.where(long))
     width = docs.sparkSession.sparkContext.defaultParallelism
     while True:
         parts = todo.mapInArrow(cut(chunk, overlap), "row long, doc_id long, n_bytes long, part long, at long, border long, next_border long, text string").repartition(4 * width, "row", "part")

@@ -6,7 +6,8 @@ document rates r then minimise, with t the tokens of a text and T those of all t
     1/2 sum_d (sum_i r_i t_i p_id / T - weight_d)^2 + pull / 2 sum_i t_i / T (r_i - 1)^2
 
 by accelerated projected gradient.  In the metric t_i / T a step needs only the residual of each domain, so one pass over
-(tokens, posteriors) sums the domains, the driver keeps one short vector per step, and tasks derive the rates from these vectors.
+(tokens, posteriors) sums the domains, the driver keeps one short vector per step, and tasks derive the rates from these vectors.  A target of 0 is
+a constraint: texts whose posteriors of such domains reach ``BAN`` together have rate 0.  Rates that still move after ``steps`` steps raise a warning.
 
 ``SAMPLE`` bounds the expected number of labelled rows the classifier is fitted on; posteriors, sums and rates cover all rows.  Null texts count as empty: 0
 tokens, posteriors from the intercepts.  Labelled rows without a document or with a null domain teach nothing.  With fewer than two
@@ -15,6 +16,8 @@ labelled domains nothing can be told apart: posteriors are those of the one doma
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
@@ -29,6 +32,7 @@ SAMPLE = 20_000
 STEPS = 100
 TOLERANCE = 1e-6
 PULL = 1e-3
+BAN = 0.5
 TARGETS = {"clean": 0.97, "low": 0.03, "toxic": 0.0}
 
 LETTERS = np.arange(256, dtype=np.uint8)
@@ -112,12 +116,16 @@ def posteriors(docs: DataFrame, domains: list[str], weights: np.ndarray) -> Data
     return docs.select(*keys, "text").mapInArrow(run, f"{names}, n_tokens long, p array<double>")
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray], pull: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rates after the given residuals, and the point the next residual is taken at."""
-    r = y = np.ones(len(p))
+def rates(p: np.ndarray, steps: list[np.ndarray], pull: float, banned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rates after the given residuals, and the point the next residual is taken at.
+
+    Rows that most likely belong to the ``banned`` domains (those of target 0) are bound to rate 0, however few they are.
+    """
+    free = p[:, banned].sum(axis=1) < BAN
+    r = y = free.astype(float)
     t = 1.0
     for e in steps:
-        new = np.maximum(0.0, y - (p @ e + pull * (y - 1)) / (1 + pull))
+        new = np.where(free, np.maximum(0.0, y - (p @ e + pull * (y - 1)) / (1 + pull)), 0.0)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t2 * (new - r)
         r, t = new, t2
@@ -135,14 +143,14 @@ def solve(table: DataFrame, domains: list[str], targets: dict[str, float], pull:
     history: list[np.ndarray] = []
     if not total or not goal.sum():
         return history
-    goal = goal / goal.sum()
+    banned, goal = goal == 0, goal / goal.sum()
 
     def summed(past):
         def run(batches):
             out = np.zeros(len(domains))
             for batch in batches:
                 p = matrix(batch, len(domains))
-                out += (batch.column(0).to_numpy() * rates(p, past, pull)[1]) @ p
+                out += (batch.column(0).to_numpy() * rates(p, past, pull, banned)[1]) @ p
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(domains))), pa.array(out)], ["d", "sum"])
         return run
 
@@ -155,6 +163,8 @@ def solve(table: DataFrame, domains: list[str], targets: dict[str, float], pull:
         history.append(e)
         if done:
             break
+    else:
+        warnings.warn(f"mixing rates still moved after {steps} steps", stacklevel=2)
     return history
 
 
@@ -166,10 +176,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
         return saved(posteriors(keys, ["none"], np.zeros(((1 << BITS) + 1, 1)))).select("doc_id", "mark", "n_tokens", F.lit(1.0).alias("rate"))
     table = saved(posteriors(keys, domains, weights))
     history = solve(table, domains, targets, pull, steps) if len(domains) > 1 else []
+    banned = np.array([bool(history) and not targets.get(d, 0.0) for d in domains])
 
     def rated(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(matrix(batch, len(domains)), history, pull)[0])], [*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(matrix(batch, len(domains)), history, pull, banned)[0])], [*batch.schema.names, "rate"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
     out = table.mapInArrow(rated, f"{names}, rate double")
