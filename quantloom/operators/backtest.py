@@ -238,10 +238,10 @@ def cost_regimes(trades: DataFrame, regimes: dict[str, tuple[float, float]]) ->
 
 # ---------------------------------------------------------------- cross-sectional book
 
-def target_book(signals: DataFrame, q: float, target_gross: float, equity: float, min_names: int = 5, adv_pct: float = 0.01, name_cap: float = 0.05) -> DataFrame:
-    """Top and bottom names per execution date with capped equal sizes; a date that cannot fill both sides has no book."""
+def target_book(signals: DataFrame, q: float, target_gross: float, equity: float, min_names: int = 5, adv_pct: float = 0.01, name_cap: float = 0.05, keys: Sequence[str] = ()) -> DataFrame:
+    """Top and bottom names per execution date (and ``keys``) with capped equal sizes; a date that cannot fill both sides has no book."""
     ok = signals.filter(F.col("tradable") & F.col("in_pit_universe"))
-    r = ordinal(ok, "y_xs_pred", "_r", ("execution_date",), ("symbol",), size="_n")
+    r = ordinal(ok, "y_xs_pred", "_r", (*keys, "execution_date"), ("symbol",), size="_n")
     k = F.greatest(F.greatest(F.bround(F.col("_n") * q), F.lit(1)), F.lit(min_names)).cast("long")
     r = r.withColumn("_k", k).filter(2 * F.col("_k") <= F.col("_n"))
     gross = target_gross * equity
@@ -257,22 +257,23 @@ def book_backtest(panel: DataFrame, q: float = 0.1, target_gross: float = 1.0, e
     The previous book is the last non-empty one.  Equity is constant, so no day depends on the P&L of
     an earlier one: books are numbered, each is met with its successor by (symbol, number), and all
     days are computed at once.  A name that leaves has no tier, fill or date in the new book: it pays
-    the general spread without the pre-decimalisation factor and earns no new-lot P&L.
+    the general spread without the pre-decimalisation factor and earns no new-lot P&L.  ``keys`` (a sector, constant
+    per symbol) run one book each in the same plan.
     """
-    book = target_book(panel, q, target_gross, equity, min_names).select(
-        "execution_date", "symbol", F.col("signed_target_notional").alias("signed"), F.col("borrow_tier").alias("tier"), "roll_spread_bps", "close", fill_price(fill).alias("fill"))
-    days = book.select("execution_date").distinct().withColumn("book_no", F.row_number().over(W.orderBy("execution_date")))  # one row per date
-    book = book.join(F.broadcast(days), "execution_date")
+    book = target_book(panel, q, target_gross, equity, min_names, keys=keys).select(
+        *keys, "execution_date", "symbol", F.col("signed_target_notional").alias("signed"), F.col("borrow_tier").alias("tier"), "roll_spread_bps", "close", fill_price(fill).alias("fill"))
+    days = book.select(*keys, "execution_date").distinct().withColumn("book_no", F.row_number().over(W.partitionBy(*keys).orderBy("execution_date")))  # one row per date
+    book = book.join(F.broadcast(days), [*keys, "execution_date"])
     closes = panel.select("execution_date", "symbol", F.col("close").alias("close_today"))
-    new = book.select("book_no", "symbol", F.col("signed").alias("signed_new"), "tier", "roll_spread_bps", "fill", F.lit(True).alias("_new"))
-    prev = book.select((F.col("book_no") + 1).alias("book_no"), "symbol", F.col("signed").alias("signed_prev"), F.col("close").alias("close_prev"))
-    m = new.join(prev, ["book_no", "symbol"], "full").join(F.broadcast(days), "book_no").join(closes, ["execution_date", "symbol"], "left")
+    new = book.select(*keys, "book_no", "symbol", F.col("signed").alias("signed_new"), "tier", "roll_spread_bps", "fill", F.lit(True).alias("_new"))
+    prev = book.select(*keys, (F.col("book_no") + 1).alias("book_no"), "symbol", F.col("signed").alias("signed_prev"), F.col("close").alias("close_prev"))
+    m = new.join(prev, [*keys, "book_no", "symbol"], "full").join(F.broadcast(days), [*keys, "book_no"]).join(closes, ["execution_date", "symbol"], "left")
     m = m.withColumns({"signed_new": F.coalesce("signed_new", F.lit(0.0)), "signed_prev": F.coalesce("signed_prev", F.lit(0.0))})
     change = F.col("signed_new") - F.col("signed_prev")
     held_pnl = F.when(F.col("signed_prev") != 0, F.col("signed_prev") * (F.col("close_today") / F.col("close_prev") - 1.0))
     lot_pnl = F.when(change != 0, change / F.col("fill") * (F.col("close_today") - F.col("fill")))
     date = F.when(F.col("_new"), F.col("execution_date"))
-    d = m.groupBy("execution_date").agg(
+    d = m.groupBy(*keys, "execution_date").agg(
         (F.coalesce(F.sum(held_pnl), F.lit(0.0)) + F.coalesce(F.sum(lot_pnl), F.lit(0.0))).alias("price_pnl"), F.sum(commission(F.abs(change), commission_bps)).alias("commission_drag"),
         F.sum(half_spread_cost(F.abs(change), F.col("roll_spread_bps"), F.coalesce("tier", F.lit("general")), date)).alias("spread_drag"),
         F.sum(borrow_cost(F.col("signed_new"), F.col("tier"), borrow_multiplier)).alias("borrow_drag"), F.sum(F.abs("signed_new")).alias("gross_notional"),
