@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import by, div
 from quantloom.functions.rolling import rolling
 from quantloom.operators import features as ft
+from quantloom.operators import learners as ln
 from quantloom.operators import metrics as mt
 from quantloom.operators import models as ml
 from quantloom.operators import signals as sg
@@ -18,6 +20,7 @@ from quantloom.plans.registry import query
 from quantloom.plans.sqltext import lr, windows
 from quantloom.plans.views import bars, scored, sectors, table
 from quantloom.session import durable
+from quantloom.streaming.record import run_available, source, work_folder
 
 ROWS_SQL = f"""rw AS (SELECT symbol, date, close / open - 1 AS x1, volume / 25 AS x2, lead(close) OVER wk / close - 1 AS y FROM bars {windows()}), rr AS (SELECT * FROM rw WHERE y IS NOT NULL),
 dt AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM rr)), k AS (SELECT greatest(CAST(ceil((n - 500 - 250) / 250) AS BIGINT), 0) + 1 AS folds FROM dt LIMIT 1),
@@ -84,10 +87,11 @@ FEATS = ["log_return_1", "log_return_5", "log_return_20", "realized_vol_20"]
 @query("ML2")
 def linear_grid(spark, sf):
     rows = learner_rows(spark, sf)
-    folds = sp.walk_forward(rows, 1000, 500, 500, last_folds=1)
+    folds = sp.walk_forward(rows, 1000, 500, 500)
+    learners = {"elastic_net": ml.linear_model("elastic_net", "y"), "huber": ml.linear_model("huber", "y"), "sgd_huber": ln.HuberSGD("y")}
     out = None
-    for kind in ("elastic_net", "huber"):
-        p = ml.walk_forward_model(rows, folds, FEATS, ml.linear_model(kind, "y"))
+    for kind, learner in learners.items():
+        p = ml.walk_forward_model(rows, folds, FEATS, learner)
         m = p.groupBy("fold").agg(F.lit(kind).alias("model"), F.count(F.lit(1)).alias("rows"), mt.safe_corr("y", "prediction").alias("ic"))
         out = m if out is None else out.unionByName(m)
     return out
@@ -96,8 +100,8 @@ def linear_grid(spark, sf):
 @query("ML3")
 def boosted_trees(spark, sf):
     rows = learner_rows(spark, sf)
-    folds = sp.walk_forward(rows, 1000, 500, 500, last_folds=1)
-    p = ml.walk_forward_model(rows, folds, FEATS, ml.boosted_trees("y", trees=5))
+    folds = sp.walk_forward(rows, 1000, 500, 500)
+    p = ml.walk_forward_model(rows, folds, FEATS, ln.StoppedTrees("y", rounds=500))  # at most the published 500 rounds, the newest tenth of the train rows decides
     return p.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), mt.safe_corr("y", "prediction").alias("ic"))
 
 
@@ -106,23 +110,44 @@ def meta_labels(spark, sf):
     d = ft.meta_label_features(universe_bars(spark, sf))
     d = sg.triple_barrier(d).dropna(subset=["triple_barrier_label", "realized_vol_20", "volume_z_20", "log_return_lookback"])
     feats = ["log_return_1", "log_return_5", "log_return_lookback", "realized_vol_20", "volume_z_20"]
-    folds = sp.walk_forward(d, 1000, 500, 500, last_folds=1)
-    p = ml.walk_forward_model(d, folds, feats, ml.forest_classifier("triple_barrier_label", trees=10), probability=True)
+    folds = sp.walk_forward(d, 1000, 500, 500)
+    p = ml.walk_forward_model(d, folds, feats, ml.forest_classifier("triple_barrier_label", trees=200), probability=True)
     take = F.col("probability_1") >= 0.5
     return p.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.count_if(take).alias("taken"), F.avg("triple_barrier_label").alias("base_rate"), F.avg(F.when(take, F.col("triple_barrier_label"))).alias("taken_rate"))
 
 
-@query("ML8 ML10 ML11 MT10")
+@query("ML8 ML11 MT10")
 def surrogate_classifier(spark, sf):
     from quantloom.functions.noise import gaussian
     d = learner_rows(spark, sf).withColumn("noise", gaussian("date", "symbol", seed=5)).withColumn("label", F.when(F.col("y") < -0.02, 0).when(F.col("y") > 0.02, 2).otherwise(1))
     feats = [*FEATS, "noise"]
-    x = ml.assembler(feats).transform(durable(ml.clean(ml.class_weights(d, "label"), feats)))
+    x = ml.assembler(feats).transform(durable(ml.clean(d, feats)))
     cut = F.lit("2000-01-01").cast("date")
-    model = ml.forest_classifier("label", trees=10, weight="class_weight").fit(x.filter(F.col("date") < cut))
-    weak = ml.below_noise_floor(list(zip(feats, model.featureImportances.toArray().tolist())))
-    p = model.transform(x.filter(F.col("date") >= cut))
-    return mt.class_metrics(p, "label", "prediction", 3).withColumn("n_below_noise", F.lit(len(weak)))
+    model = ln.StoppedClasses("label", 3).fit(x.filter(F.col("date") < cut))
+    weak = ml.below_noise_floor(list(zip(feats, model.importances().tolist())))
+    return mt.class_metrics(model.transform(x.filter(F.col("date") >= cut)), "label", "prediction", 3).withColumn("n_below_noise", F.lit(len(weak)))
+
+
+@query("ML10 ML3")
+def stored_model(spark, sf):
+    """Final refits on all rows, stored, read back and applied to the table and to a stream of it; ``differing`` counts rows that do not equal the model in memory."""
+    rows = durable(learner_rows(spark, sf))
+    landed = work_folder(spark, "rows")
+    rows.write.parquet(landed)
+    stages = {"elastic_net": ml.linear_model("elastic_net", "y"), "boosted_trees": ln.StoppedTrees("y", rounds=500)}
+    out = None
+    for kind, learner in stages.items():
+        fitted = learner.fit(ml.assembler(FEATS).transform(ml.clean(rows, FEATS)))
+        model, path = PipelineModel([ml.assembler(FEATS), fitted]), work_folder(spark, "model")
+        ln.save_artifact(model, path, FEATS, "y", spark)
+        key = ["symbol", "date"]
+        want = ml.score_frame(ml.clean(rows, FEATS), model).select(*key, F.col("prediction").alias("memory"))
+        streamed = run_available(ln.score_stored(source(spark, f"{landed}/*.parquet"), path).select(*key, "prediction"), "scores")
+        got = ln.score_stored(rows, path).select(*key, "prediction", "signal_side").join(streamed.withColumnRenamed("prediction", "streamed"), key, "full").join(want, key, "full")
+        same = F.col("prediction").eqNullSafe(F.col("memory")) & F.col("streamed").eqNullSafe(F.col("memory"))
+        m = got.agg(F.lit(kind).alias("model"), F.count(F.lit(1)).alias("rows"), F.count_if(~same).alias("differing"), F.count_if(F.col("signal_side") > 0).alias("n_long"))
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 @query("ML9 WN29")

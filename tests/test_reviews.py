@@ -69,3 +69,64 @@ def test_random_placebo_is_keyed(spark):
     d = spark.createDataFrame(rows, "symbol int, date date, ret double, signal double")
     a, b = (sorted((r.symbol, round(r.sharpe_random, 9), round(r.dev_sharpe, 9), r.n_dev, r.n_holdout) for r in rv.validation_metrics(x, "2020-10-01").select("*", F.lit(1)).collect()) for x in (d, d.repartition(7)))
     assert a == b and all(r[3] == 274 and r[4] == 126 for r in a)
+
+
+def learning_rows(spark, n=3000):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, 3)) * [1.0, 5.0, 0.1]
+    y = 0.3 + x @ [0.5, -0.04, 2.0] + rng.normal(size=n) * 0.2 + (rng.random(n) < 0.05) * 8
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(i // 10), i, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y))]
+    return x, y, spark.createDataFrame(rows, "date date, symbol int, a double, b double, c double, y double")
+
+
+def test_stochastic_huber_meets_the_batch_fit(spark):
+    import numpy as np
+
+    from quantloom.operators import learners as ln
+    from quantloom.operators import models as ml
+    x, y, d = learning_rows(spark)
+    m, s = x.mean(0), x.std(0)
+    z, w = np.column_stack([np.ones(len(x)), (x - m) / s]), np.zeros(4)
+    for _ in range(4000):
+        w -= 0.3 * (z.T @ np.clip(z @ w - y, -0.1, 0.1) / len(z) + 1e-4 * np.append(0, w[1:]))
+    fit = ln.HuberSGD("y", tol=1e-5).fit(ml.assembler(["a", "b", "c"]).transform(d))
+    got = np.append(fit.intercept + fit.coefficients @ m, fit.coefficients * s)
+    assert np.abs(got - w).max() < 0.02
+    assert np.abs(fit.coefficients - [0.5, -0.04, 2.0]).max() < 0.1  # the outliers do not pull
+
+
+def test_tail_holds_whole_newest_dates(spark):
+    from quantloom.operators import learners as ln
+    d = spark.createDataFrame([(dt.date(2020, 1, k),) for k in range(1, 11) for _ in range(10 if k < 10 else 30)], "date date")
+    flags = {r.date.day: r.tail for r in ln.time_tail(d, 0.3).distinct().collect()}
+    assert [k for k in flags if flags[k]] == [10]
+    assert {r.date.day for r in ln.time_tail(d, 0.35).filter("tail").distinct().collect()} == {9, 10}
+
+
+def test_stopped_trees_and_the_stored_artifact(spark, tmp_path):
+    import pytest
+    from pyspark.ml import PipelineModel
+
+    from quantloom.operators import learners as ln
+    from quantloom.operators import models as ml
+    from quantloom.sources.tables import ContractError
+    feats = ["a", "b", "c"]
+    _, _, d = learning_rows(spark, 1200)
+    x = ml.assembler(feats).transform(d.withColumn("label", F.when(F.col("c") > 0.05, 2).when(F.col("c") < -0.05, 0).otherwise(1)))
+    classes = ln.StoppedClasses("label", 3, rounds=12, tol=0.05).fit(x)
+    assert all(1 <= n < 12 for n in classes.rounds().values())
+    assert classes.transform(x).filter("prediction = label").count() > 0.95 * x.count() and classes.importances().argmax() == 2
+    trees = ln.StoppedTrees("y", rounds=15, tol=0.05).fit(x)
+    assert trees.getNumTrees < 15
+    model, path = PipelineModel([ml.assembler(feats), trees]), str(tmp_path / "artifact")
+    ln.save_artifact(model, path, feats, "y", spark)
+    want = [r.prediction for r in ml.score_frame(d, model).orderBy("symbol").collect()]
+    got = ln.score_stored(d, path).orderBy("symbol").collect()
+    assert [r.prediction for r in got] == want and all(r.prediction_abs == abs(r.prediction) for r in got)
+    with pytest.raises(Exception, match="c"):
+        ln.score_stored(d.drop("c"), path)
+    extra = next((tmp_path / "artifact" / "model").rglob("*.parquet"))
+    (extra.parent / "part-added.parquet").write_bytes(extra.read_bytes())
+    with pytest.raises(ContractError):
+        ln.load_artifact(spark, path)
