@@ -39,11 +39,11 @@ class HuberSGD:
     """Linear regression with Huber loss and an L2 penalty by mini-batch gradients on standardised features.
 
     Rows fall into ``batches`` by hash; a step sums the gradient of one batch in column arithmetic, partial sums combine on the map side, and only
-    k + 1 numbers reach the driver.  A step is scaled by n / batches, so an uneven batch does not weigh more.  Step sizes fall as t^-1/2 and the
+    k + 1 numbers reach the driver.  A step is scaled by n / batches, so an uneven batch does not weigh more.  Step sizes fall as t^-1/4 and the
     coefficients are averaged over the second half of the epochs.  Fitting ends when an epoch's loss has not improved by ``tol`` ``patience`` times.
     """
 
-    def __init__(self, target: str, alpha: float = 1e-4, epsilon: float = 0.1, epochs: int = 1000, batches: int = 2, tol: float = 1e-4, patience: int = 3):
+    def __init__(self, target: str, alpha: float = 1e-4, epsilon: float = 0.1, epochs: int = 1000, batches: int = 2, tol: float = 1e-4, patience: int = 5):
         self.target, self.alpha, self.epsilon, self.epochs, self.batches, self.tol, self.patience = target, alpha, epsilon, epochs, batches, tol, patience
 
     def fit(self, rows: DataFrame) -> LinearFit:
@@ -67,7 +67,7 @@ class HuberSGD:
                 step += 1
                 grad = g / total
                 grad[1:] += self.alpha * w[1:]
-                w = w - grad / ((k + 1) * step ** 0.5) * 2.0
+                w = w - grad / ((k + 1) * step ** 0.25) * 2.0
             kept.append(w)
             loss = loss / s["n"] + 0.5 * self.alpha * float(w[1:] @ w[1:])
             stale = stale + 1 if loss > best - self.tol else 0

@@ -90,7 +90,7 @@ def test_stochastic_huber_meets_the_batch_fit(spark):
     z, w = np.column_stack([np.ones(len(x)), (x - m) / s]), np.zeros(4)
     for _ in range(4000):
         w -= 0.3 * (z.T @ np.clip(z @ w - y, -0.1, 0.1) / len(z) + 1e-4 * np.append(0, w[1:]))
-    fit = ln.HuberSGD("y", tol=1e-5).fit(ml.assembler(["a", "b", "c"]).transform(d))
+    fit = ln.HuberSGD("y", tol=1e-6).fit(ml.assembler(["a", "b", "c"]).transform(d))
     got = np.append(fit.intercept + fit.coefficients @ m, fit.coefficients * s)
     assert np.abs(got - w).max() < 0.02
     assert np.abs(fit.coefficients - [0.5, -0.04, 2.0]).max() < 0.1  # the outliers do not pull
