@@ -472,42 +472,74 @@ def representatives(clusters: DataFrame, metrics: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- selection and gates
 
-def pareto_front(metrics: DataFrame, maximise: str, minimise: Sequence[str], tile: int = 2048) -> DataFrame:
-    """Strategies no other one dominates.
+def pareto_front(metrics: DataFrame, maximise: str, minimise: Sequence[str], tile: int = 2048, guards: int = 16) -> DataFrame:
+    """Strategies no other one dominates.  Equal points do not dominate each other; a point with a NaN neither dominates nor is dominated.
 
-    A first pass keeps each task's local front, which cannot lose a global one; the remaining rows are
-    compared tile pair by tile pair, and the dominated ones are removed by an anti join.  Equal points do not dominate each other.
+    Rows are range partitioned from the best to the worst first axis, so a row is dominated only from its own range or a better one.
+    Every range keeps its local front; then the running skyline of the better ranges, made of the ``guards`` rows of each with the least
+    sum of ranks, takes out what it dominates.  If more than ``tile`` rows are left, they are cut into ranges of about that size again and
+    a range meets a better one only where the corners of the two allow a dominated row.
     """
     cols = [maximise, *minimise]
     sign_ = np.array([-1.0] + [1.0] * len(minimise))
+    best_first = [F.col(maximise).desc(), *[F.col(c).asc() for c in minimise], F.col("strategy_id").asc()]
+
+    def values(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf[cols].to_numpy(dtype=float) * sign_
+
+    def beaten(v: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return np.fromiter((((by <= x).all(1) & (by < x).any(1)).any() for x in v), bool, len(v))
 
     def front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
         for pdf in batches:
             cand = pdf if best is None else pd.concat([best, pdf])
-            v = cand[cols].to_numpy(dtype=float) * sign_
-            order = np.lexsort(v.T[::-1])
+            v = values(cand)
             keep: list[int] = []
-            for i in order:
+            for i in np.lexsort(v.T[::-1]):
                 if not keep or not ((v[keep] <= v[i]).all(1) & (v[keep] < v[i]).any(1)).any():
                     keep.append(i)
             best = cand.iloc[keep]
         if best is not None:
             yield best
 
-    local = metrics.mapInPandas(front, metrics.schema)
-    n = local.count()
-    tiles = max(1, math.ceil(n / tile))
-    t = local.withColumn("_t", F.pmod(F.xxhash64("strategy_id"), F.lit(tiles)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    t = t.withColumn("_p", F.least("_t", "_o")).withColumn("_q", F.greatest("_t", "_o"))
+    def ranged(d: DataFrame, parts: int | None) -> DataFrame:
+        d = d.repartitionByRange(parts, *best_first) if parts else d.repartitionByRange(*best_first)
+        return durable(d.mapInPandas(front, metrics.schema).withColumn("_b", F.spark_partition_id()))
 
-    def dominated(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf[cols].to_numpy(dtype=float) * sign_
-        bad = [i for i in range(len(v)) if ((v <= v[i]).all(1) & (v < v[i]).any(1)).any()]
-        return pdf[["strategy_id"]].iloc[bad]
+    local = ranged(metrics, None)
+    rank = sum((F.percent_rank().over(W.partitionBy("_b").orderBy(o)) for o in best_first[1:-1]), F.percent_rank().over(W.partitionBy("_b").orderBy(best_first[0])))
+    strong = local.withColumn("_r", rank).withColumn("_n", F.row_number().over(W.partitionBy("_b").orderBy("_r", "strategy_id"))).filter(F.col("_n") <= guards)
+    skyline = np.array([[float("nan") if x is None else x for x in r] for r in strong.select(*[F.col(c).cast("double") for c in cols]).collect()]).reshape(-1, len(cols)) * sign_  # guards rows a range
+    skyline = skyline[~beaten(skyline, skyline)]
 
-    lost = t.groupBy("_p", "_q").applyInPandas(dominated, "strategy_id string").distinct()
-    return local.join(lost, "strategy_id", "left_anti")
+    def guarded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[~beaten(values(pdf), skyline)]
+
+    left = durable(local.drop("_b").mapInPandas(guarded, metrics.schema))
+    n = left.count()
+    if n <= tile:
+        return left.repartition(1).mapInPandas(front, metrics.schema)
+    blocks = ranged(left, math.ceil(n / tile))
+    corner = blocks.groupBy("_b").agg(*[f(F.col(c) * s).alias(f"{p}{i}") for i, (c, s) in enumerate(zip(cols, sign_.tolist())) for p, f in (("lo", F.min), ("hi", F.max))])
+    better = corner.select(F.col("_b").alias("_p"), *[F.col(f"lo{i}").alias(f"low{i}") for i in range(len(cols))])
+    worse = corner.select(F.col("_b").alias("_q"), *[F.col(f"hi{i}") for i in range(len(cols))])
+    meets = F.col("_p") < F.col("_q")
+    for i in range(len(cols)):
+        meets &= F.col(f"low{i}") <= F.col(f"hi{i}")
+    pairs = durable(better.join(worse, meets).select("_p", "_q"))  # one row per range on either side
+
+    def dominated(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = pdf["_side"].to_numpy()
+        v = values(pdf)
+        low = pdf[["strategy_id"]][side == 1]
+        return low[beaten(v[side == 1], v[side == 0])]
+
+    both = blocks.join(pairs, blocks["_b"] == pairs["_p"]).withColumn("_side", F.lit(0)).unionByName(blocks.join(pairs, blocks["_b"] == pairs["_q"]).withColumn("_side", F.lit(1)))
+    id_type = metrics.schema["strategy_id"].dataType.simpleString()
+    lost = both.groupBy("_p", "_q").applyInPandas(dominated, f"strategy_id {id_type}").distinct()
+    return blocks.drop("_b").join(lost, "strategy_id", "left_anti")
 
 
 def gate_table(metrics: DataFrame, rules: Sequence[tuple[str, Column]], name: str = "blockers") -> DataFrame:

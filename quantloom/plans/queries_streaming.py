@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.plans.registry import query
-from quantloom.plans.views import table
+from quantloom.plans.views import table, ticks
 from quantloom.sources.market import keep_last
 from quantloom.streaming import execution as ex
 from quantloom.streaming import record as rc
@@ -39,6 +39,28 @@ def stream_bars(spark, sf):
     return d.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query("SS12", """WITH @ticks, lim AS (SELECT min(epoch_us(event_time)) AS lo, max(epoch_us(event_time)) AS hi, max(event_time) AS newest FROM ticks), a AS (SELECT t.*, newest, time_bucket(INTERVAL 1 HOUR, event_time) AS ts, ((epoch_us(event_time) - lo) * 4) // (hi - lo + 1) + CASE WHEN trade_id % 50 = 0 THEN 1 ELSE 0 END AS arrival FROM ticks t CROSS JOIN lim),
+m AS (SELECT arrival, max(max(event_time)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 MINUTE AS shut FROM a GROUP BY arrival), c AS (SELECT a.*, CASE WHEN ts + INTERVAL 1 HOUR <= shut THEN 'late' WHEN ts + INTERVAL 1 HOUR <= newest - INTERVAL 10 MINUTE THEN 'bar' ELSE 'open' END AS kind FROM a JOIN m ON a.arrival = m.arrival)
+SELECT kind, symbol, ts, arg_min(price, (event_time, trade_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (event_time, trade_id)) AS close, sum(size) AS volume, count(*) AS n_trades FROM c GROUP BY 1, 2, 3""", "open high low close volume")
+def stream_bars_with_late(spark, sf):
+    # five arrivals: four stretches of the time line, every fiftieth tick one arrival after its stretch; the stream starts anew for each
+    us = F.unix_micros("event_time")
+    t = ticks(spark, sf).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    lim = t.agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
+    t = t.crossJoin(F.broadcast(lim))  # one-row side
+    t = t.withColumn("arrival", F.expr("(unix_micros(event_time) - lo) * 4 div (hi - lo + 1)") + (F.col("trade_id") % 50 == 0).cast("long")).drop("lo", "hi")
+    log = rc.BarLog(spark, width="1 hour")
+    landed = f"{log.folder}/landed"
+    shape = t.drop("arrival").schema
+    for k in range(5):
+        t.filter(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(landed)
+        log.run(spark.readStream.schema(shape).parquet(landed))
+    late = rc.partial_bars(log.late(), "1 hour")
+    names = ["symbol", "ts", "open", "high", "low", "close", "volume", "n_trades"]
+    parts = [d.select(F.lit(kind).alias("kind"), *names) for kind, d in (("bar", log.bars()), ("open", log.open_bars()), ("late", late))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def prediction_tables(ev):
     t = F.col("ts").cast("timestamp")
     p = ev.select(F.col("event_id").alias("signal_id"), t.alias("ts"), (F.col("value") / 100).alias("confidence"))

@@ -80,6 +80,79 @@ def stream_bars(ticks: DataFrame, width: str = "1 minute", lateness: str = TICK_
     return minute_bars(ticks.withWatermark("event_time", lateness), width)
 
 
+ORDER = "decimal(38,0)"
+
+
+def partial_bars(ticks: DataFrame, width: str) -> DataFrame:
+    """Bars that can still be merged: first and last price carry their (time, id) number."""
+    order = (F.unix_micros("event_time").cast("decimal(18,0)") * F.lit(str(10 ** 19)).cast("decimal(20,0)") + F.col("trade_id").cast("decimal(19,0)")).cast(ORDER)
+    d = ticks.groupBy("symbol", F.window("event_time", width).alias("w")).agg(
+        F.min(order).alias("first_at"), F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max(order).alias("last_at"), F.max_by("price", order).alias("close"), F.sum("size").alias("volume"), F.count(F.lit(1)).alias("n_trades"))
+    return d.select("symbol", F.col("w.start").alias("ts"), F.col("w.end").alias("until"), *d.columns[2:])
+
+
+def merged_bars(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("symbol", "ts", "until").agg(
+        F.min("first_at").alias("first_at"), F.min_by("open", "first_at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max("last_at").alias("last_at"), F.max_by("close", "last_at").alias("close"), F.sum("volume").alias("volume"), F.sum("n_trades").alias("n_trades"))
+
+
+class BarLog:
+    """Bars of a tick stream with a side table of late ticks, so that every tick is in exactly one of ``bars``, ``open`` and ``late``.
+
+    The mark is the newest event time of all earlier micro-batches less ``lateness``.  A tick whose bar ends at or before the mark is late: it goes
+    to the side table unchanged, with the mark that shut it out, and no bar changes any more.  Other ticks are added to the open bars, which a micro-batch
+    takes over from the one before as merged aggregates; bars that end by the new mark are closed.  A micro-batch that runs again reads the
+    same opening tables and overwrites its own, so a restart from ``folder`` neither loses nor repeats a tick.  A null symbol is a symbol;
+    a tick without an event time belongs to no bar and is late with reason ``no_time``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, width: str = "1 minute", lateness: str = TICK_LATENESS) -> None:
+        self.spark, self.folder, self.width, self.lateness = spark, folder or work_folder(spark, "bar-log"), width, lateness
+
+    def _write(self, d: DataFrame, name: str, epoch: int) -> None:
+        d.write.mode("overwrite").parquet(f"{self.folder}/{name}/epoch={epoch}")
+
+    def _micro_batch(self, batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        try:
+            before = self.spark.read.parquet(f"{self.folder}/mark/epoch={epoch - 1}").first()["newest"] if epoch else None
+            newest = max((t for t in (before, batch.agg(F.max("event_time")).first()[0]) if t is not None), default=None)
+            shut, close = (F.lit(t).cast("timestamp") - F.expr(f"INTERVAL {self.lateness}") for t in (before, newest))
+            until = F.window("event_time", self.width)["end"]
+            no_time = F.col("event_time").isNull()
+            late = F.coalesce(no_time | (until <= shut), F.lit(False))
+            tagged = batch.withColumns({"late_reason": F.when(no_time, "no_time").otherwise("closed"), "mark": shut})
+            # the window expression leaves rows without a time out, so these are added by themselves
+            self._write(tagged.filter(~no_time).withColumn("_late", late).filter("_late").drop("_late").unionByName(tagged.filter(no_time)), "late", epoch)
+            parts = partial_bars(batch.filter(~no_time).withColumn("_late", late).filter("NOT _late").drop("_late"), self.width)
+            if epoch:
+                parts = parts.unionByName(self.spark.read.parquet(f"{self.folder}/merged/epoch={epoch - 1}").filter("NOT closed").drop("closed"))
+            self._write(merged_bars(parts).withColumn("closed", F.coalesce(F.col("until") <= close, F.lit(False))), "merged", epoch)
+            self._write(self.spark.range(1).select(F.lit(newest).cast("timestamp").alias("newest")), "mark", epoch)
+        finally:
+            batch.unpersist()
+
+    def run(self, ticks: DataFrame) -> None:
+        """Take in all that the stream has now; a later call goes on where this one ended."""
+        ticks.writeStream.foreachBatch(self._micro_batch).option("checkpointLocation", f"{self.folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}")
+
+    def bars(self) -> DataFrame:
+        return self._table("merged").filter("closed").drop("closed", "epoch", "until", "first_at", "last_at")
+
+    def open_bars(self) -> DataFrame:
+        """The bars that the newest micro-batch left open."""
+        last = self._table("mark").agg(F.max("epoch")).first()[0]
+        return self._table("merged").filter((F.col("epoch") == last) & ~F.col("closed")).drop("closed", "epoch", "until", "first_at", "last_at")
+
+    def late(self) -> DataFrame:
+        return self._table("late").drop("epoch")
+
+
 def heartbeat(ticks: DataFrame) -> DataFrame:
     """Newest event time per symbol."""
     return ticks.groupBy("symbol").agg(F.max("event_time").alias("last_tick"))

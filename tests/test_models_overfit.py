@@ -94,7 +94,14 @@ def test_pareto_front_equals_brute_force(spark):
     v = RNG.integers(0, 8, (200, 3)).astype(float)
     d = spark.createDataFrame(pd.DataFrame({"strategy_id": [f"s{i}" for i in range(200)], "a": v[:, 0], "b": v[:, 1], "c": v[:, 2]}))
     want = {f"s{i}" for i in range(200) if not any(v[j, 0] >= v[i, 0] and v[j, 1] <= v[i, 1] and v[j, 2] <= v[i, 2] and tuple(v[j]) != tuple(v[i]) for j in range(200))}
-    assert {r.strategy_id for r in of.pareto_front(d, "a", ["b", "c"], tile=20).collect()} == want
+    for tile, guards in ((2048, 16), (20, 16), (5, 0), (1, 1)):
+        assert {r.strategy_id for r in of.pareto_front(d, "a", ["b", "c"], tile=tile, guards=guards).collect()} == want
+    # on a sphere every point stays, so the front is cut into ranges that do meet
+    x = np.abs(RNG.normal(size=(300, 3)))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    d = spark.createDataFrame(pd.DataFrame({"strategy_id": [f"s{i}" for i in range(300)], "a": x[:, 0], "b": -x[:, 1], "c": -x[:, 2]}))
+    assert of.pareto_front(d, "a", ["b", "c"], tile=40).count() == 300
+    assert of.pareto_front(d.limit(0), "a", ["b", "c"]).count() == 0
 
 
 def test_bootstrap_intervals_hold_the_point(spark):

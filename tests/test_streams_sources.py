@@ -55,6 +55,27 @@ def test_late_ticks_do_not_reopen_a_bar(spark, tmp_path):
     assert [(b.open, b.close, b.high, b.n_trades) for b in bars][0] == (10.0, 11.0, 11.0, 2)
 
 
+def test_every_tick_is_in_a_bar_or_late(spark, tmp_path):
+    row = lambda i, s, p, sym=1: {"symbol": sym, "event_time": None if s is None else at(s), "trade_id": i, "price": p, "size": 1.0}
+    schema = "symbol long, event_time timestamp, trade_id long, price double, size double"
+    batches = [[row(1, 0, 10.0), row(2, 30, 11.0)], [row(3, 20, 12.0), row(4, 3600, 13.0), row(5, None, 1.0)], [row(6, 10, 99.0), row(7, 3605, 14.0), row(8, 3001, 15.0), row(9, 3601, 9.0, None)], [row(10, 9000, 16.0)]]
+    log = rc.BarLog(spark, f"{tmp_path}/log")
+    stream = file_stream(spark, tmp_path, "t", batches[:3], schema)
+    log.run(stream)
+    again = rc.BarLog(spark, log.folder)  # a fresh process goes on from the folder
+    f = tmp_path / "t" / "003.json"
+    f.write_text("\n".join(json.dumps(r, default=lambda v: v.isoformat(sep=" ")) for r in batches[3]))
+    again.run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/t"))
+    bars = {(r.symbol, r.ts): (r.open, r.high, r.low, r.close, r.n_trades) for r in log.bars().collect()}
+    # the tick of second 20 comes before any mark; that of second 3001 ends after 3600 - 600 seconds and is on time
+    assert bars == {(1, at(0)): (10.0, 12.0, 10.0, 11.0, 3), (1, at(3600)): (13.0, 14.0, 13.0, 14.0, 2), (1, at(3000)): (15.0, 15.0, 15.0, 15.0, 1), (None, at(3600)): (9.0, 9.0, 9.0, 9.0, 1)}
+    assert {(r.trade_id, r.late_reason) for r in log.late().collect()} == {(5, "no_time"), (6, "closed")}
+    assert [(r.ts, r.n_trades) for r in log.open_bars().collect()] == [(at(9000), 1)]
+    # a micro-batch that runs again writes the same tables
+    log._micro_batch(spark.createDataFrame([(10, at(9000), 10, 16.0, 1.0)], schema).withColumn("symbol", F.lit(1).cast("long")), 3)
+    assert log.bars().count() == 4 and log.late().count() == 2
+
+
 def test_book_that_never_goes_flat(spark):
     n = 3000
     pdf = pd.DataFrame({"symbol": 1, "ts": [at(i) for i in range(n + 1)], "fill_id": np.arange(n + 1), "side": ["buy"] + ["sell", "buy"] * (n // 2), "qty": [2.0] + [1.0] * n, "price": 100 + np.arange(n + 1) % 7 * 1.5})
