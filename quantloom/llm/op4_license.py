@@ -3,8 +3,9 @@
 Text and templates are folded to lower-case words of letters and digits.  A match is a stretch of words, from one bigram of a template to
 another, whose set of bigrams A and the template's set B have 2 |A and B| / (|A| + |B|) of at least ``threshold`` t.  From that follow bounds on size that
 prune: |A| lies between t / (2 - t) |B| and (2 - t) / t |B|, and a text with fewer than t / (2 - t) |B| distinct bigrams of the template cannot
-match it.  Per template the best stretch counts (earliest, then shortest on ties); of stretches that overlap the one with the higher
-coefficient, then more bigrams, then smaller name stays.
+match it.  All such stretches are listed and the best one is chosen: higher coefficient, then more bigrams in the template, smaller name, earlier start,
+shorter; then the best of those that share no word with it, until none is left.  A template may thus be found many times in a text.
+Longer templates, such as whole licence texts, come from a folder by ``read_templates``.
 
 Null texts, empty texts and texts without words match nothing.  Rows are independent: repeated rows get equal results, an empty table none; other columns
 are ignored.
@@ -12,7 +13,9 @@ are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -63,56 +66,106 @@ def prepared(templates: tuple[tuple[str, str], ...]):
     return every, quick, holds, np.array([len(s) for s in sets]), [n for n, _ in templates]
 
 
-def best_stretch(own: np.ndarray, at: np.ndarray, number: np.ndarray, size: int, t: float):
-    """(coefficient, first bigram, last bigram) of the best stretch between hits ``at``; ``own`` are all bigrams of the text."""
-    most = int((2 - t) / t * size + 1e-9)
-    least = t / (2 - t) * size - 1e-9
-    last = {}
-    before = np.full(len(at), -1)
-    for k, n in enumerate(number):
-        before[k] = last.get(n, -1)
-        last[n] = k
-    best = (0.0, 0, 0)
-    seen_at = np.full(len(own), -1)
+def stretches(own: np.ndarray, number: np.ndarray, holds: np.ndarray, sizes: np.ndarray, t: float) -> dict:
+    """All stretches with a coefficient of at least ``t``: for (template, first bigram) the (-coefficient, last bigram), best first.
+
+    ``own`` are the bigrams of a text, ``number`` their numbers among the bigrams of the templates (-1: in none).  A step to the left keeps
+    the places where the distinct bigrams from here on stand first; a stretch with at most ``most`` of them is read off that list, however often they
+    repeat, so the list needs no more than the longest bound and the work grows with the text.  Of stretches with equal sets the shortest counts.
+    """
+    most, least = np.floor((2 - t) / t * sizes + 1e-9).astype(np.int64), t / (2 - t) * sizes - 1e-9
+    longest = int(most.max())
     order = np.argsort(own, kind="stable")
     same = np.flatnonzero(own[order][1:] == own[order][:-1])
-    seen_at[order[same + 1]] = order[same]
-    for i in range(len(at)):
-        a = int(at[i])
-        # repeats make a stretch longer than its set, so its end is found on the set sizes
-        fresh = np.cumsum(seen_at[a:a + 4 * most] < a)
-        stop = a + int(np.searchsorted(fresh, most, side="right"))
-        j = int(np.searchsorted(at, stop))
-        shared = np.cumsum(before[i:j] < i)
-        if not len(shared) or shared[-1] < least:
+    again = np.full(len(own), -1)
+    again[order[same]] = order[same + 1]
+    again, known = again.tolist(), number.tolist()
+    hits = np.flatnonzero(number >= 0)
+    first: list[int] = []  # negative places, so that they rise
+    shared = np.zeros(len(sizes), np.int64)
+    out: dict = {}
+    for a in range(int(hits[-1]), int(hits[0]) - 1, -1):
+        mine = known[a]
+        if again[a] >= 0:
+            k = bisect_left(first, -again[a])
+            if k < len(first) and first[k] == -again[a]:
+                del first[k]
+                if mine >= 0:
+                    shared -= holds[:, mine]
+        first.append(-a)
+        if mine >= 0:
+            shared += holds[:, mine]
+        if len(first) > longest:
+            gone = known[-first.pop(0)]
+            if gone >= 0:
+                shared -= holds[:, gone]
+        if mine < 0:
+            continue
+        can = np.flatnonzero((shared >= least) & holds[:, mine])
+        if not len(can):
+            continue
+        places = -np.array(first[::-1])
+        which = number[places]
+        for k in can.tolist():
+            n = int(most[k])
+            hit = holds[k, which[:n]] & (which[:n] >= 0)
+            ends = np.flatnonzero(hit)
+            dice = 2 * np.arange(1, len(ends) + 1) / (ends + 1 + sizes[k])
+            good = np.flatnonzero(dice >= t - 1e-12)
+            if len(good):
+                out[k, a] = sorted(zip((-dice[good]).tolist(), places[ends[good]].tolist()))
+    return out
+
+
+def chosen(found: dict, sizes: np.ndarray) -> list[tuple[int, float, int, int]]:
+    """(template, coefficient, first word, last word): the best stretch first, then the best of those that share no word with it, and so on."""
+    heap = [(ends[0][0], -int(sizes[k]), k, a, ends[0][1], 0) for (k, a), ends in found.items()]
+    heapify(heap)
+    begins: list[int] = []  # first and last bigrams taken so far
+    stops: list[int] = []
+    kept = []
+    while heap:
+        dice, size, k, a, b, i = heappop(heap)
+        at = bisect_left(begins, a)
+        if (at and stops[at - 1] + 1 >= a) or (at < len(begins) and begins[at] == a):
             continue
-        dice = 2 * shared / (fresh[at[i:j] - a] + size)
-        k = int(np.argmax(dice))
-        if dice[k] > best[0] + 1e-12:
-            best = (float(dice[k]), a, int(at[i + k]))
-    return best
+        if at < len(begins) and b + 1 >= begins[at]:
+            ends = found[k, a]
+            i = next((j for j in range(i + 1, len(ends)) if ends[j][1] + 1 < begins[at]), None)
+            if i is not None:
+                heappush(heap, (ends[i][0], size, k, a, ends[i][1], i))
+            continue
+        begins.insert(at, a)
+        stops.insert(at, b)
+        kept.append((k, -dice, a, b + 1))
+    return sorted(kept, key=lambda m: m[2])
 
 
 def matches(own: np.ndarray, every, quick, holds, sizes, t: float) -> list[tuple[int, float, int, int]]:
     """Non-overlapping (template, coefficient, first word, last word) of one text."""
     at = np.flatnonzero(quick[(own >> np.uint64(48)).astype(np.int64)])
-    number = np.searchsorted(every, own[at])
-    known = every[np.minimum(number, len(every) - 1)] == own[at]
-    at, number = at[known], number[known]
+    place = np.searchsorted(every, own[at])
+    known = every[np.minimum(place, len(every) - 1)] == own[at]
+    at, place = at[known], place[known]
     if not len(at):
         return []
-    found = []
-    possible = np.flatnonzero(holds[:, np.unique(number)].sum(axis=1) >= t / (2 - t) * sizes - 1e-9)
-    for k in possible[sizes[possible] > 0]:
-        mine = holds[k, number]
-        dice, a, b = best_stretch(own, at[mine], number[mine], int(sizes[k]), t)
-        if dice >= t - 1e-12:
-            found.append((int(k), dice, a, b + 1))
-    kept: list = []
-    for m in sorted(found, key=lambda m: (-m[1], -sizes[m[0]], m[0])):
-        if all(m[3] < o[2] or o[3] < m[2] for o in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: (m[2], m[0]))
+    possible = np.flatnonzero((sizes > 0) & (holds[:, np.unique(place)].sum(axis=1) >= t / (2 - t) * sizes - 1e-9))
+    if not len(possible):
+        return []
+    number = np.full(len(own), -1)
+    number[at] = place
+    found = stretches(own, number, holds[possible], sizes[possible], t)
+    return [(int(possible[k]), *m) for k, *m in chosen(found, sizes[possible])]
+
+
+def read_templates(spark, path: str, max_bytes: int = 16 << 20) -> dict[str, str]:
+    """Templates from a folder of plain text files, one licence a file, named by the file; refused beyond ``max_bytes``, as they go to every task."""
+    files = spark.read.format("binaryFile").load(path)
+    size = files.agg(F.sum("length")).first()[0] or 0
+    if size > max_bytes:
+        raise ValueError(f"{size} bytes of licence templates, at most {max_bytes} are allowed")
+    names = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.txt$", "")
+    return {r["name"]: r["text"] for r in files.select(names.alias("name"), F.decode("content", "utf-8").alias("text")).collect()}
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

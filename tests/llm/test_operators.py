@@ -137,23 +137,41 @@ def test_decontamination(spark, sf, rows):
 def test_licences(spark):
     templates = {"a": "one two three four five six seven", "b": "two three four x y z w v u t one two", "c": "hello world"}
     texts = random_texts(4, 200, "one two three four five six seven x y z w v u t hello world".split(), 30) + [f"p {t} q" for t in templates.values()]
+    pieces = [p for t in templates.values() for p in (t, t, " ".join(t.split()[1:]), " ".join(t.split()[:-2]), t.split()[0])]
+    texts += [" ".join(pieces[int(x, 16)] for x in m) for m in random_texts(5, 80, [f"{i:x}" for i in range(15)], 6) for m in [m.split()]]
 
     def best(text, t=0.6):
         w = text.split()
-        pairs, found = list(zip(w, w[1:])), {}
+        pairs, found = list(zip(w, w[1:])), []
         for name, x in templates.items():
             y = set(zip(x.split(), x.split()[1:]))
-            c = [(-2 * len(set(pairs[i:j + 1]) & y) / (len(set(pairs[i:j + 1])) + len(y)), i, j) for i in range(len(pairs)) for j in range(i, len(pairs)) if pairs[i] in y and pairs[j] in y]
-            if c and -min(c)[0] >= t - 1e-12:
-                found[name] = (-min(c)[0], min(c)[1], min(c)[2] + 1, len(y))
+            c = [(2 * len(set(pairs[i:j + 1]) & y) / (len(set(pairs[i:j + 1])) + len(y)), i, j) for i in range(len(pairs)) for j in range(i, len(pairs)) if pairs[i] in y and pairs[j] in y]
+            found += [(-d, -len(y), name, i, j + 1) for d, i, j in c if d >= t - 1e-12]
         kept = []
-        for name, m in sorted(found.items(), key=lambda x: (-round(x[1][0], 9), -x[1][3], x[0])):
-            if all(m[2] < o[1] or o[2] < m[1] for _, o in kept):
-                kept.append((name, m))
-        return sorted((m[1], name, m[2], round(m[0], 9)) for name, m in kept)
+        for m in sorted(found):
+            if all(m[4] < o[3] or o[4] < m[3] for o in kept):
+                kept.append(m)
+        return sorted((i, name, j, -d) for d, _, name, i, j in kept)
 
     got = op4_license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates, 0.6).collect()
-    assert all(sorted((f.first_word, f.licence, f.last_word, round(f.dice, 9)) for f in r.found) == best(texts[r.doc_id]) for r in got)
+    assert all(sorted((f.first_word, f.licence, f.last_word, f.dice) for f in r.found) == best(texts[r.doc_id]) for r in got)
+    assert max(len(r.found) for r in got) > 2
+
+
+def test_licences_of_one_text_are_all_found(spark, tmp_path):
+    full = op4_license.TEMPLATES
+    edited = full["CC-BY-4.0"].replace("Mountain View", "Palo Alto").replace("Commons Attribution", "Commons  attribution")
+    texts = [f"x {full['MIT-line']} some words between {full['MIT-line']}", f"{full['CC-BY-SA-4.0']} and then, a b c d e f g h, {edited}", " ".join([full["MIT-line"]] * 3000), f"{full['MIT']} {'ha ' * 50000} {full['ISC']}"]
+    got = {r.doc_id: [f.licence for f in r.found] for r in op4_license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ["MIT-line"] * 2, 1: ["CC-BY-SA-4.0", "CC-BY-4.0"], 2: ["MIT-line"] * 3000, 3: ["MIT", "ISC"]}
+    (tmp_path / "own.txt").write_text("This text may be used by all who read it to the end.")
+    (tmp_path / "other").write_text("No use without a written word from the author of it.")
+    listed = op4_license.read_templates(spark, str(tmp_path))
+    assert sorted(listed) == ["other", "own"]
+    r = op4_license.scan(spark.createDataFrame([(1, "Note: this text may be used by all who read it to the end!")], "doc_id long, text string"), listed).first()
+    assert [(f.licence, f.dice, f.first_word) for f in r.found] == [("own", 1.0, 1)]
+    with pytest.raises(ValueError, match="bytes of licence templates"):
+        op4_license.read_templates(spark, str(tmp_path), 10)
 
 
 def test_quality(spark, sf, rows):
