@@ -306,3 +306,11 @@ def test_jaccard(spark, monkeypatch, leaf):
 
 def test_jaccard_query(spark, sf, rows):
     assert sorted(map(tuple, op10_jaccard.op10_ngram_jaccard(spark, sf).collect())) == plain.jaccard_groups(rows)
+
+
+def test_contexts_of_many_matches_in_one_text(spark):
+    text = " ".join(f"\U0001f600 mail user{i}@example{i}.com now" for i in range(500)) + " tel +1 23 456 789 01 23 45 67 89 12 34 end"
+    got = op9_pii.candidates(op9_pii.proposed(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"))).collect()
+    assert sum(r.kind == 0 for r in got) == 500 and any(r.kind == 3 and r.label is None for r in got)
+    for r in got:
+        assert (r.doc_id, r.value, r.left, r.right) == (1, text[r.at:r.end], text[max(0, r.at - op9_pii.CONTEXT):r.at], text[r.end:r.end + op9_pii.CONTEXT])
