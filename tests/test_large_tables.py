@@ -2,6 +2,7 @@
 
 import math
 
+from quantloom.operators import aggregates as ag
 from quantloom.plans.registry import tidy
 
 
@@ -9,3 +10,10 @@ def test_tidy_keeps_what_no_long_holds(spark):
     xs = [3.644825217999954e38, -2e20, float("inf"), float("nan"), 0.1234567, None]
     got = [r.x for r in tidy(spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double"), 5).orderBy("i").collect()]
     assert [math.isclose(got[0], xs[0], rel_tol=1e-12), math.isclose(got[1], xs[1], rel_tol=1e-12), got[2], math.isnan(got[3]), got[4], got[5]] == [True, True, float("inf"), True, 0.12346, None]
+
+
+def test_trade_buckets_compound_over_many_trades(spark):
+    rows = [("loss", -0.5)] * 2000 + [("gain", 1.0)] * 2000 + [("out", -1.0), ("out", 0.5), ("beyond", -1.5)]
+    d = ag.trade_buckets(spark.createDataFrame(rows, "b string, net double").selectExpr("b", "net", "net AS gross", "0.0D AS cost"), "b")
+    got = {r.b: r.log_compounded for r in d.collect()}
+    assert math.isclose(got["loss"], 2000 * math.log(0.5)) and math.isclose(got["gain"], 2000 * math.log(2.0)) and got["out"] == float("-inf") and math.isnan(got["beyond"])
