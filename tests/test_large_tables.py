@@ -2,7 +2,10 @@
 
 import math
 
+from harness import compare, connect
+
 from quantloom.operators import aggregates as ag
+from quantloom.plans.catalog import all_queries
 from quantloom.plans.registry import tidy
 
 
@@ -17,3 +20,8 @@ def test_trade_buckets_compound_over_many_trades(spark):
     d = ag.trade_buckets(spark.createDataFrame(rows, "b string, net double").selectExpr("b", "net", "net AS gross", "0.0D AS cost"), "b")
     got = {r.b: r.log_compounded for r in d.collect()}
     assert math.isclose(got["loss"], 2000 * math.log(0.5)) and math.isclose(got["gain"], 2000 * math.log(2.0)) and got["out"] == float("-inf") and math.isnan(got["beyond"])
+
+
+def test_citations_where_documents_pass_two_thousand(spark):
+    sf = "/root/testdata/sf0.1"
+    assert compare(spark, connect(sf), all_queries()["resolved_citations"], sf).startswith("ok")
