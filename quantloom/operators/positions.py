@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import by, clip, col, div
@@ -63,32 +62,37 @@ def vol_filter(df: DataFrame, which: str, key: Sequence[str] = ("symbol",), time
 def cooldown(df: DataFrame, position: str, bars: int, key: Sequence[str] = ("symbol",), time: Sequence[str] = ("date",)) -> DataFrame:
     """At least ``bars`` rows between entries or flips.
 
-    An entry depends on when the last one was accepted, so this is a true ordered fold.  Rows further
-    than ``bars`` behind a flat stretch of at least ``bars`` rows cannot matter, so every key is cut at
-    such stretches and the pieces are folded independently.
+    An entry depends on when the last one was accepted, so this is a true ordered fold.  The rows of a key pass
+    through their task in time order and leave three numbers behind, so a task folds all its keys in one pass.
     """
     if bars <= 0:
         return df.withColumn("cooled", F.col(position))
-    w = by(key, time)
-    active = F.max(F.when(F.col(position) != 0, F.lit(1))).over(w.rowsBetween(-bars, -1))
-    start = (F.col(position) != 0) & active.isNull()
-    d = df.withColumn("_piece", F.sum(F.when(start, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(time))
-        target = pdf[position].to_numpy(dtype=float)
-        out, current, entered = np.zeros(len(target)), 0.0, -bars
-        for i, want in enumerate(target):
-            if want == 0.0:
-                current = 0.0
-            elif want != current and i - entered >= bars:
-                current, entered = want, i
-            out[i] = current
-        pdf["cooled"] = out
-        return pdf
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields) + ", cooled double"
-    return d.groupBy(*key, "_piece").applyInPandas(fold, schema).drop("_piece")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, current, since = None, 0.0, bars
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            fresh = np.zeros(len(pdf), dtype=bool)
+            for k in key:
+                v, none = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+                fresh[1:] |= np.where(none[1:] | none[:-1], none[1:] != none[:-1], v[1:] != v[:-1])
+            ends = [tuple(None if pd.isna(v) else v for v in (pdf[k].iloc[i] for k in key)) for i in (0, -1)]
+            fresh[0] = ends[0] != last
+            last, out = ends[1], []
+            for want, new in zip(pdf[position].to_numpy(dtype=float).tolist(), fresh.tolist()):
+                if new:
+                    current, since = 0.0, bars
+                if want == 0.0:
+                    current = 0.0
+                elif want != current and since >= bars:
+                    current, since = want, 0
+                out.append(current)
+                since += 1
+            yield pdf.assign(cooled=out)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", cooled double"
+    return df.repartition(*key).sortWithinPartitions(*key, *time).mapInPandas(fold, schema)
 
 
 def equal_sleeves(df: DataFrame, weight: str, date: str = "date") -> DataFrame:

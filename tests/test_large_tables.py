@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 from harness import compare, connect
 
 from quantloom.operators import aggregates as ag
+from quantloom.operators import positions as ps
 from quantloom.plans.catalog import all_queries
 from quantloom.plans.registry import tidy
 
@@ -25,3 +27,26 @@ def test_trade_buckets_compound_over_many_trades(spark):
 def test_citations_where_documents_pass_two_thousand(spark):
     sf = "/root/testdata/sf0.1"
     assert compare(spark, connect(sf), all_queries()["resolved_citations"], sf).startswith("ok")
+
+
+def test_cooldown_folds_many_keys_in_one_pass(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k if k else None, i, float(v)) for k in range(40) for i, v in enumerate(rng.choice([-1.0, 0.0, 0.0, 1.0], 30))]
+    want = {}
+    for k in range(40):
+        current, entered = 0.0, -4
+        for key, i, v in rows[30 * k:30 * k + 30]:
+            if v == 0:
+                current = 0.0
+            elif v != current and i - entered >= 4:
+                current, entered = v, i
+            want[key, i] = current
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "7")  # a key spans batches
+        d = ps.cooldown(spark.createDataFrame(rows, "symbol long, date int, p double").repartition(5), "p", 4)
+        assert {(r.symbol, r.date): r.cooled for r in d.collect()} == want
+    finally:
+        spark.conf.set(size, before)
+    assert "FlatMapGroups" not in d._jdf.queryExecution().executedPlan().toString()
