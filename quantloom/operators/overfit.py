@@ -20,7 +20,7 @@ from quantloom.functions.columns import by, div
 from quantloom.functions.noise import counter_uniform, key32, uniform
 from quantloom.functions.normal import norm_cdf, norm_ppf
 from quantloom.operators.quantiles import exact_quantiles
-from quantloom.session import durable, spread
+from quantloom.session import durable, spread, stored
 
 MIN_BLOCK_ROWS = 5
 EULER = 0.5772156649015329
@@ -390,54 +390,85 @@ def permutation_p_value(best: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- correlation clusters
 
-def correlation_edges(returns: DataFrame, threshold: float = 0.9, tile: int = 256) -> DataFrame:
+TILE_ROWS = 16384
+
+
+def correlation_edges(returns: DataFrame, threshold: float = 0.9, tile: int | None = None) -> DataFrame:
     """Edges that span the |correlation| ≥ threshold graph: a spanning forest per tile pair, at most its rows less one.
 
-    Standardised return arrays are cut into tiles of a fixed number of strategies; a pair of tiles is one
-    task of one matrix product, and only spanning edges leave it (never all pairs), so a large cluster
-    of near-copies costs at most one edge per row and tile pair.
+    Strategies travel as packed (date number, return) cells and are standardised in the task.  A pair of tiles is one task; every strategy
+    goes to as many tasks as there are tiles, so tiles are as large as a task holds (``TILE_ROWS``; two of them take 0.4 GB at 2500 dates),
+    or as small as gives every core a pair.  Products are screened in single precision; those its error leaves open are
+    decided in double precision.  Only spanning edges leave a task (never all pairs), so a large cluster of near-copies costs at most
+    one edge per row and tile pair.
     """
     dates = returns.select("date").distinct().withColumn("_i", F.row_number().over(W.orderBy("date")) - 1)  # calendar-sized
     total = dates.agg(F.count(F.lit(1)).alias("_n"))
-    arr = returns.join(F.broadcast(dates.crossJoin(total)), "date").groupBy("strategy_id").agg(F.collect_list(F.struct("_i", "ret")).alias("rets"), F.max("_n").alias("_n"))
-    n = returns.select("strategy_id").distinct().count()
-    tiles = max(1, math.ceil(n / tile))
+    arr = returns.join(F.broadcast(dates.crossJoin(total)), "date").groupBy("strategy_id").agg(F.collect_list(F.struct("_i", "ret")).alias("cells"), F.max("_n").alias("_n"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"strategy_id": pdf["strategy_id"], "at": [np.asarray(v, dtype=np.int32).tobytes() for v in pdf["at"]],
+                                "ret": [np.asarray(v, dtype=float).tobytes() for v in pdf["ret"]], "_n": pdf["_n"]})
+
+    flat = arr.select("strategy_id", F.col("cells._i").alias("at"), F.col("cells.ret").alias("ret"), "_n")
+    packed = stored(flat.mapInPandas(pack, f"strategy_id {dict(returns.dtypes)['strategy_id']}, at binary, ret binary, _n long"))
+    n, cores = packed.count(), returns.sparkSession.sparkContext.defaultParallelism
+    if tile is None:
+        tiles = max(math.ceil(n / TILE_ROWS), min(math.ceil(n / 256), math.ceil(math.sqrt(2 * cores))), 1)
+    else:
+        tiles = max(1, math.ceil(n / tile))
     # tiles by hash are near-even; the size only affects speed, every pair of strategies meets in one tile pair
-    a = arr.withColumn("_t", F.pmod(F.xxhash64("strategy_id"), F.lit(tiles)).cast("int"))
+    a = packed.withColumn("_t", F.pmod(F.xxhash64("strategy_id"), F.lit(tiles)).cast("int"))
     others = F.sequence(F.lit(0), F.lit(tiles - 1))
     a = a.withColumn("_o", F.explode(others)).withColumn("_p", F.least("_t", "_o")).withColumn("_q", F.greatest("_t", "_o")).drop("_o")
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf["_p"].iloc[0], pdf["_q"].iloc[0]
-        z = np.zeros((len(pdf), int(pdf["_n"].iloc[0])))
-        for k, cells in enumerate(pdf["rets"]):
-            z[k, [c["_i"] for c in cells]] = [c["ret"] for c in cells]
-        z = z - z.mean(axis=1, keepdims=True)
-        norm = np.sqrt((z * z).sum(axis=1, keepdims=True))
-        z = np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
+        p, q, dates_ = pdf["_p"].iloc[0], pdf["_q"].iloc[0], int(pdf["_n"].iloc[0])
+        ats, rets = pdf["at"].to_numpy(), pdf["ret"].to_numpy()
+
+        def standard(rows: np.ndarray) -> np.ndarray:
+            z = np.zeros((len(rows), dates_))
+            for k, r in enumerate(rows):
+                z[k, np.frombuffer(ats[r], dtype=np.int32)] = np.frombuffer(rets[r])
+            z -= z.mean(axis=1, keepdims=True)
+            norm = np.sqrt((z * z).sum(axis=1, keepdims=True))
+            return np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
+
+        def single(rows: np.ndarray) -> np.ndarray:
+            z = np.empty((len(rows), dates_), dtype=np.float32)
+            for k in range(0, len(rows), 256):
+                z[k:k + 256] = standard(rows[k:k + 256])
+            return z
+
         ids, t = pdf["strategy_id"].to_numpy(dtype=object), pdf["_t"].to_numpy()
         left, right = np.where(t == p)[0], np.where(t == q)[0]
-        hit = np.abs(z[left] @ z[right].T) >= threshold - 1e-12
-        # a spanning forest of the tile pair's hits: a row is linked to the first of its group, so groups joined by one row stay together
-        parent = np.arange(len(ids))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        src, dst = [], []
-        for i, row in zip(left, hit):
-            for j in right[row]:
-                x, y = root(i), root(j)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    src.append(ids[i])
-                    dst.append(ids[j])
+        zr = single(right)
+        # a spanning forest of the tile pair's hits: rows that an edge joined carry one label
+        label, src, dst = np.arange(len(ids)), [], []
+
+        def join(i: int, js: np.ndarray) -> None:
+            other = label[js] != label[i]
+            for old, k in zip(*np.unique(label[js[other]], return_index=True)):
+                src.append(ids[i])
+                dst.append(ids[js[other][k]])
+                label[label == old] = label[i]
+
+        screen = (dates_ + 8) * 2.0 ** -23  # bounds the error of a single precision product of unit vectors
+        for k in range(0, len(left), 256):
+            zl = standard(left[k:k + 256])
+            near = np.abs(zl.astype(np.float32) @ zr.T)
+            for i, row, exact in zip(left[k:k + 256], near, zl):
+                join(i, right[row >= threshold + screen])
+                open_ = right[(row >= threshold - screen) & (row < threshold + screen)]
+                open_ = open_[label[open_] != label[i]]
+                if len(open_):
+                    join(i, open_[np.abs(standard(open_) @ exact) >= threshold - 1e-12])
         return pd.DataFrame({"src": src, "dst": dst}, dtype=object)
 
-    e = spread(a, "_p", "_q").groupBy("_p", "_q").applyInPandas(product, "src string, dst string")
+    kind = dict(returns.dtypes)["strategy_id"]
+    parts = max(cores, min(2 * tiles * (tiles + 1), 4096))
+    e = a.repartition(parts, "_p", "_q").groupBy("_p", "_q").applyInPandas(product, f"src {kind}, dst {kind}")
     return e.filter("src <> dst").distinct()
 
 

@@ -15,6 +15,7 @@ from quantloom.plans.queries_signals import universe_bars
 from quantloom.plans.registry import query
 from quantloom.plans.sqltext import norm_cdf, norm_ppf
 from quantloom.plans.views import bars, table
+from quantloom.session import stored
 
 STRAT = f"{SMOOTH}, {SA}, st AS (SELECT date, CAST(symbol AS VARCHAR) AS strategy_id, net AS ret FROM sa)"
 
@@ -132,7 +133,7 @@ def permutation_control(spark, sf):
 
 @query("OS13")
 def correlation_clusters(spark, sf):
-    base = strategy_returns(spark, sf)
+    base = stored(strategy_returns(spark, sf))
     # near-copies of every fourth strategy make clusters that can be counted
     copies = base.filter(F.col("strategy_id").cast("long") % 4 == 0).withColumn("strategy_id", F.concat("strategy_id", F.lit("c"))).withColumn("ret", F.col("ret") * 2.0)
     r = base.unionByName(copies)

@@ -6,6 +6,7 @@ import numpy as np
 from harness import compare, connect
 
 from quantloom.operators import aggregates as ag
+from quantloom.operators import overfit as of
 from quantloom.operators import positions as ps
 from quantloom.plans.catalog import all_queries
 from quantloom.plans.registry import tidy
@@ -50,3 +51,17 @@ def test_cooldown_folds_many_keys_in_one_pass(spark):
     finally:
         spark.conf.set(size, before)
     assert "FlatMapGroups" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_correlation_edges_travel_packed_and_decide_in_double_precision(spark):
+    n = 2000
+    unit = np.linalg.qr(np.random.default_rng(9).normal(size=(n, 7)) - 0.0)[0]
+    unit -= unit.mean(axis=0)
+    unit = np.linalg.qr(unit)[0]
+    mix = lambda a, b, c: c * unit[:, a] + math.sqrt(1 - c * c) * unit[:, b]
+    m = {"a": unit[:, 0], "above": mix(0, 1, 0.9 + 1e-9), "b": unit[:, 2], "below": mix(2, 3, 0.9 - 1e-9), "c": unit[:, 4], "minus": -3.0 * unit[:, 4]}
+    r = spark.createDataFrame([(i, k, float(x)) for k, v in m.items() for i, x in enumerate(v)], "date int, strategy_id string, ret double")
+    e = of.correlation_edges(r, 0.9)
+    assert {frozenset((x.src, x.dst)) for x in e.collect()} == {frozenset(("a", "above")), frozenset(("c", "minus"))}
+    # what is copied to the tile pairs is read from the packed table, no list of cells is gathered again
+    assert "collect_list" not in e._jdf.queryExecution().executedPlan().toString()
