@@ -8,8 +8,10 @@ from harness import compare, connect
 from quantloom.operators import aggregates as ag
 from quantloom.operators import overfit as of
 from quantloom.operators import positions as ps
+from quantloom.operators.residuals import residual_z
 from quantloom.plans.catalog import all_queries
 from quantloom.plans.registry import tidy
+from quantloom.plans.views import bars, sectors
 
 
 def test_tidy_keeps_what_no_long_holds(spark):
@@ -65,3 +67,10 @@ def test_correlation_edges_travel_packed_and_decide_in_double_precision(spark):
     assert {frozenset((x.src, x.dst)) for x in e.collect()} == {frozenset(("a", "above")), frozenset(("c", "minus"))}
     # what is copied to the tile pairs is read from the packed table, no list of cells is gathered again
     assert "collect_list" not in e._jdf.queryExecution().executedPlan().toString()
+
+
+def test_residuals_hold_no_window_per_cell(spark, sf):
+    """A name's windows are cut from its packed cells inside the task; no row carries a list of the rows before it."""
+    z = residual_z(bars(spark, sf), sectors(spark, sf), window=30, components=2)
+    p = z._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(_r" not in p and "posexplode" not in p and "FlatMapCoGroups" in p
