@@ -5,7 +5,7 @@
 with other separators and groups, phone numbers without the plus sign; and parts of matches that fail, as an over-long match may hold real data: runs of whole
 digit groups with 12 to 19 digits and a valid checksum, prefixes of a phone number with 9 to 15 digits, and all windows of four octets in longer dotted runs.  Boosted trees see the format of the normalised value and its
 context, never the marks that tell a variant from the fixed format.  They learn from matches of the fixed formats that pass (1) and fail
-(0) the rules; ``TRAIN_ROWS`` bounds the expected size of that sample.  A threshold is calibrated on a held-out quarter:
+(0) the rules, all of them.  A threshold is calibrated on a held-out quarter:
 the lowest score above which precision is at least ``PRECISION``.  Proposals above it that overlap no base span are added; of proposals that overlap
 each other the one with the higher score stays, at equal scores the longer.
 
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import documents, saved
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS = 20_000
 TREES = 20
 DEPTH = 4
 PRECISION = 0.98
@@ -217,7 +216,7 @@ def selected(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, precision:
     data, names = features(cand)
     draw = F.pmod(F.xxhash64("doc_id", "at", "kind", "value"), F.lit(1 << 20)) / float(1 << 20)
     data = VectorAssembler(inputCols=names, outputCol="features").transform(data)
-    learn = data.where("label IS NOT NULL").withColumn("draw", draw).where(F.col("draw") < min(1.0, TRAIN_ROWS / (share[0] + share[1])))
+    learn = data.where("label IS NOT NULL").withColumn("draw", draw)
     learn = saved(learn.select("features", F.col("label").cast("double").alias("label"), (F.pmod(F.xxhash64("draw"), F.lit(4)) == 0).alias("held")))
     sides = {(r["held"], r["label"]) for r in learn.groupBy("held", "label").count().collect()}
     if len(sides) < 4:
