@@ -29,6 +29,17 @@ def expand(base: DataFrame, axes: dict[str, Sequence]) -> DataFrame:
     return d
 
 
+GRID_SYMBOLS = 256  # in one partition: a grid turns a symbol into some thousand rows
+
+
+def dealt(base: DataFrame) -> DataFrame:
+    """``base`` partitioned by symbol into parts of ``GRID_SYMBOLS``, whatever the bytes of its files.
+
+    A grid's rows exist only behind its explodes, so the size of the input says nothing of them; aggregates by symbol then need no shuffle of the grid.
+    """
+    return base.repartition(max(1, -(-base.count() // GRID_SYMBOLS)), "symbol")
+
+
 def benchmark_grid(universes: DataFrame) -> DataFrame:
     """universe × family × lookback × threshold; ``universes`` has the column ``symbol``."""
     return expand(universes.select("symbol"), {"family": FAMILIES, "lookback": LOOKBACKS, "threshold": THRESHOLDS}).withColumn(

@@ -61,7 +61,7 @@ def balanced_selection(spark, sf):
 
 @query("GRD3 GRD4 JN20", "SELECT s_suppkey AS symbol, CAST(1296 AS BIGINT) AS n_bar_variants, CAST(72 AS BIGINT) AS n_model_variants FROM supplier")
 def variant_grids(spark, sf):
-    u = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("symbol"))
+    u = gr.dealt(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("symbol")))
     b = gr.bar_variants(u).groupBy("symbol").agg(F.countDistinct("variant_id").alias("n_bar_variants"))
     m = gr.model_grid(u, ["ridge", "huber", "elastic_net"], ["base", "wide"], [15, 60], [0.9, 0.95, 0.99], ["both", "long_only"]).groupBy("symbol").agg(F.countDistinct("variant").alias("n_model_variants"))
     return b.join(m, "symbol")

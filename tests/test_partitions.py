@@ -15,3 +15,15 @@ def test_windows_over_bars_get_bounded_partitions(spark, sf, monkeypatch):
     assert max(r.p for r in parts) + 1 <= -(-int(str(size)) // (1 << 14)) and len(parts) > spark.sparkContext.defaultParallelism / 2
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_grids_are_counted_where_they_are_expanded(spark, sf, monkeypatch):
+    from quantloom.operators import grids
+    from quantloom.plans.catalog import all_queries
+
+    monkeypatch.setattr(grids, "GRID_SYMBOLS", 4)
+    d = all_queries()["variant_grids"].fn(spark, sf)
+    exchanges = [line for line in d._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert exchanges and not [line for line in exchanges if "variant" in line]  # no row of a grid is shuffled
+    base = grids.dealt(spark.read.parquet(f"{sf}/supplier.parquet").withColumnRenamed("s_suppkey", "symbol"))
+    assert base.rdd.getNumPartitions() == -(-base.count() // 4)
