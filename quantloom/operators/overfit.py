@@ -290,12 +290,26 @@ def circular_blocks(key: int, t: int, length: int, chunk: int, draws: np.ndarray
 
 def geometric_blocks(key: int, t: int, length: int, chunk: int, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of blocks of geometric length, one row per resample, until ``t`` rows are filled."""
-    rng = np.random.default_rng([key, chunk])
-    size = rng.geometric(1.0 / length, (len(draws), t // length + 1))
+    rng = np.random.Generator(np.random.SFC64([key, chunk]))
+    scale = 1.0 / math.log1p(-1.0 / length) if length > 1 else 0.0
+
+    def drawn(n: int) -> tuple[np.ndarray, np.ndarray]:  # of 64 random bits the upper half gives the start, the lower the length by inversion
+        bits = rng.integers(0, 1 << 64, (len(draws), n), dtype=np.uint64)
+        low = (bits & np.uint64(0xFFFFFFFF)).astype(np.float64)
+        low += 0.5
+        low *= 2.0 ** -32
+        np.log(low, out=low)
+        low *= scale
+        return (((bits >> np.uint64(32)) * np.uint64(t)) >> np.uint64(32)).view(np.int64), low.astype(np.int64) + 1
+
+    mean = t / length
+    start, size = drawn(int(mean + 3.0 * math.sqrt(mean)) + 2)
     while size.sum(axis=1).min() < t:
-        size = np.concatenate([size, rng.geometric(1.0 / length, size.shape)], axis=1)
+        start, size = (np.concatenate(x, axis=1) for x in zip((start, size), drawn(int(math.sqrt(mean)) + 2)))
     filled = np.minimum(np.cumsum(size, axis=1), t)
-    return rng.integers(0, t, size.shape), np.diff(filled, axis=1, prepend=0)
+    size = filled.copy()
+    size[:, 1:] -= filled[:, :-1]
+    return start, size
 
 
 def resampled_sharpes(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -310,44 +324,47 @@ def resampled_sharpes(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.
     return np.where(flat, 0.0, (a / t + center) / np.sqrt(np.where(flat, 1.0, var)) * YEAR)
 
 
-def bootstrap(returns: DataFrame, blocks: Blocks, resamples: int, block: int | None, seed: int, least: int, per_task: int = 250) -> DataFrame:
+def bootstrap(returns: DataFrame, blocks: Blocks, resamples: int, block: int | None, seed: int, least: int, per_task: int = 1000) -> DataFrame:
     """Sharpe interval per strategy by resampled blocks of its returns; non-finite returns go.
 
-    A strategy is one array; its resamples are drawn in chunks over many tasks and leave them as one number each.
-    A draw depends only on (seed, strategy, resample or chunk), so a repeated task gives the same numbers.  Strategies with fewer than ``least`` returns
-    have the status ``not_enough_observations``, zero bounds and no resamples.
+    A strategy is one array in one row; its task draws the resamples ``per_task`` at a time and gives back the two bounds, so neither the returns nor the resamples
+    are shuffled once more.  A draw depends only on (seed, strategy, resample or chunk), so a repeated task gives the same numbers.  Strategies with fewer than
+    ``least`` returns have the status ``not_enough_observations``, zero bounds and no resamples.
     """
     if resamples <= 0:
         raise ValueError("resamples must be positive")
     finite = returns.filter(F.col("ret").isNotNull() & ~F.isnan("ret") & (F.abs("ret") < float("inf")))
     arrays = returns.select("strategy_id").distinct().join(return_arrays(finite), "strategy_id", "left").withColumn("rets", F.coalesce("rets", F.array().cast("array<double>")))
-    chunks = -(-resamples // per_task)
-    d = arrays.withColumn("key", key32("strategy_id", seed=seed)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    chunks = [(c, np.arange(first, min(resamples, first + per_task))) for c, first in enumerate(range(0, resamples, per_task))]
+
+    def interval(key: int, rets: np.ndarray) -> tuple:
+        x = np.asarray(rets, dtype=float)
+        t = len(x)
+        length = block or max(1, round(t ** (1 / 3)))
+        point = 0.0 if t < 2 or (x == x[0]).all() else x.mean() / x.std(ddof=1) * YEAR
+        if t < least:
+            return "not_enough_observations", point, 0.0, 0.0, 0, t, length
+        sharpes = np.concatenate([resampled_sharpes(x, *blocks(int(key), t, length, c, draws)) for c, draws in chunks])
+        return "computed", point, *linear_quantiles(sharpes, (0.025, 0.975)), resamples, t, length
+
+    columns = ["status", "point_sharpe", "ci_lower_95", "ci_upper_95", "resamples", "observations", "block_length"]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for r in rows.itertuples(index=False):
-                x = np.asarray(r.rets, dtype=float)
-                t = len(x)
-                length = block or max(1, round(t ** (1 / 3)))
-                point = 0.0 if t < 2 or (x == x[0]).all() else x.mean() / x.std(ddof=1) * YEAR
-                first = r.chunk * per_task
-                sharpes = np.zeros(0) if t < least else resampled_sharpes(x, *blocks(int(r.key), t, length, int(r.chunk), np.arange(first, min(resamples, first + per_task))))
-                yield pd.DataFrame({"strategy_id": [r.strategy_id], "point_sharpe": [point], "observations": [t], "block_length": [length], "sharpes": [sharpes]})
-
-    s = spread(d, "strategy_id", "chunk").mapInPandas(draw, "strategy_id string, point_sharpe double, observations long, block_length long, sharpes array<double>")
-    s = s.groupBy("strategy_id").agg(*[F.any_value(c).alias(c) for c in ("point_sharpe", "observations", "block_length")], F.array_sort(F.flatten(F.collect_list("sharpes"))).alias("all"))  # one double per resample
-    enough = F.size("all") > 0
-    bound = lambda p: F.when(enough, array_quantile(F.col("all"), p)).otherwise(0.0)
-    return s.select("strategy_id", F.when(enough, "computed").otherwise("not_enough_observations").alias("status"), "point_sharpe", bound(0.025).alias("ci_lower_95"), bound(0.975).alias("ci_upper_95"),
-                    F.size("all").cast("long").alias("resamples"), "observations", "block_length")
-
-
-def array_quantile(ordered: Column, p: float) -> Column:
-    """Linear quantile of an ascending array."""
-    at = F.lit(p) * (F.size(ordered) - 1)
-    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
-    return low + (high - low) * (at - F.floor(at))
+            out = pd.DataFrame([interval(k, x) for k, x in zip(rows["key"], rows["rets"])], columns=columns)
+            out.insert(0, "strategy_id", rows["strategy_id"].to_numpy())
+            yield out
+
+    kind = "strategy_id string, status string, point_sharpe double, ci_lower_95 double, ci_upper_95 double, resamples long, observations long, block_length long"
+    return spread(arrays.withColumn("key", key32("strategy_id", seed=seed)), "strategy_id").mapInPandas(draw, kind)
+
+
+def linear_quantiles(x: np.ndarray, levels: Sequence[float]) -> list[float]:
+    """Quantiles by linear interpolation, from a partial sort."""
+    at = [p * (len(x) - 1) for p in levels]
+    ranks = sorted({r for v in at for r in (math.floor(v), math.ceil(v))})
+    part = np.partition(x, ranks)
+    return [float(part[math.floor(v)] + (part[math.ceil(v)] - part[math.floor(v)]) * (v - math.floor(v))) for v in at]
 
 
 def stationary_bootstrap(returns: DataFrame, resamples: int = 10_000, block: int | None = None, seed: int = 42) -> DataFrame:

@@ -63,3 +63,23 @@ def test_table_with_short_constant_and_broken_series(spark):
         naive.append(s.mean() / s.std(ddof=1) * math.sqrt(252))
     low, high = np.percentile(naive, [2.5, 97.5])
     assert wide["ci_lower_95"] == pytest.approx(low, abs=0.12 * (high - low)) and wide["ci_upper_95"] == pytest.approx(high, abs=0.12 * (high - low))
+
+
+def test_resamples_stay_in_the_task_of_their_strategy(spark):
+    rows = [(d, f"s{k}", math.sin(d * (1.1 + k)) * 0.01) for k in range(3) for d in range(120)]
+    table = spark.createDataFrame(rows, "date int, strategy_id string, ret double")
+    d = of.stationary_bootstrap(table, resamples=1100)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "sharpes" not in plan  # one row per strategy goes in, one comes out
+    got = {r["strategy_id"]: r for r in d.collect()}
+    assert sorted(got) == ["s0", "s1", "s2"] and all(r["resamples"] == 1100 and r["ci_lower_95"] < r["ci_upper_95"] for r in got.values())
+    x = np.random.default_rng(5).standard_normal(997)
+    np.testing.assert_allclose(of.linear_quantiles(x, (0.0, 0.025, 0.5, 0.975, 1.0)), np.quantile(x, [0.0, 0.025, 0.5, 0.975, 1.0]), rtol=1e-12)
+
+
+@pytest.mark.parametrize("length", [1, 2, 8])
+def test_block_lengths_are_geometric(length):
+    _, size = of.geometric_blocks(3, 50_000, length, 1, np.arange(4))
+    inner = size[:, :2000].ravel()  # the last blocks are cut
+    for k in range(1, 6):
+        assert (inner == k).mean() == pytest.approx((1 - 1 / length) ** (k - 1) / length, abs=0.025)
