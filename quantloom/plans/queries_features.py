@@ -10,6 +10,7 @@ from quantloom.operators import ranks as rk
 from quantloom.plans.registry import query
 from quantloom.plans.sqltext import SOFAR, g, lr, prior, windows
 from quantloom.plans.views import bars, dividends, membership
+from quantloom.session import by_key
 
 R1 = f"r AS (SELECT *, {lr()} AS r1 FROM bars WINDOW wk AS (PARTITION BY symbol ORDER BY date))"
 
@@ -158,6 +159,7 @@ def past_only_features(spark, sf):
     from quantloom.sources.market import normalise_ohlcv
     b = bars(spark, sf).withColumn("date", F.concat(F.col("date").cast("string"), F.lit(" 00:00:00"))).withColumn("symbol", F.col("symbol").cast("string"))
     d = normalise_ohlcv(b, "bars", "date", "symbol").withColumn("symbol", F.col("symbol").cast("long"))
+    d = by_key(d, d, "symbol")  # the cast symbol is a new key to the planner
     d = ft.past_only_ohlcv(d, horizons=(1, 5, 20))
     return d.drop("dataset_id", "open", "high", "low", "close", "volume", "dollar_volume")
 

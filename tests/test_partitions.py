@@ -27,3 +27,12 @@ def test_grids_are_counted_where_they_are_expanded(spark, sf, monkeypatch):
     assert exchanges and not [line for line in exchanges if "variant" in line]  # no row of a grid is shuffled
     base = grids.dealt(spark.read.parquet(f"{sf}/supplier.parquet").withColumnRenamed("s_suppkey", "symbol"))
     assert base.rdd.getNumPartitions() == -(-base.count() // 4)
+
+
+def test_windows_over_normalised_bars_keep_bounded_partitions(spark, sf, monkeypatch):
+    from quantloom.plans.catalog import all_queries
+
+    monkeypatch.setattr(session, "PART_BYTES", 1 << 14)
+    plan = all_queries()["past_only_features"].fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("REPARTITION_BY_NUM")]
+    assert "Window" in above and "ENSURE_REQUIREMENTS" not in above  # no shuffle that adaptive execution may merge lies between the windows and the parts
