@@ -1,10 +1,11 @@
 """Quality rules by n-gram perplexity.
 
-Symbols are bytes folded to an alphabet of 48 (letters, one sign for all capitals, one for digits, the common marks,
-sixteen signs for bytes beyond ASCII); sign 0 stands before each text.  Spark counts the symbol 4-grams of all texts; as
-there are at most 48^4 of them, the model has a proven size bound whatever the corpus.  The interpolated modified
-Kneser-Ney model (three discounts per order from counts of counts, continuation counts below the top order) is kept
-as sorted key arrays with probabilities and back-off weights.  A text's perplexity comes from summed
+Symbols are the bytes of the text as they are, 256 of them; sign 0 stands before each text.  Texts are dealt into buckets of about
+``BUCKET_BYTES`` by a hash; Spark lists each bucket's distinct symbol 4-grams with their counts and adds the buckets up, so the model grows with
+the corpus and is a distributed table at every step.  The interpolated modified Kneser-Ney model (three discounts per order from counts of
+counts, continuation counts below the top order) is fitted by grouping and joining the grams of each order; no context has more than ``SIGNS``
+continuations.  A join gives each bucket the log-probabilities of its own grams; they meet the bucket's texts as sorted arrays that are searched for
+every byte.  All texts train, so every gram is found.  A text's perplexity comes from summed
 log-probabilities; per language the band is median - lower * spread to median + upper * spread of the cross-entropy, spread
 being half the distance between the 25 and 75 per cent points, widened for short texts, whose mean scatters more, by
 sqrt(1 + SHORT / bytes).  Outside the band a text is rejected.  Percentiles are over texts with distinct least hashes of
@@ -22,13 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quantloom.llm.common import SAME, SPACE, Words, column, documents, mix, raw, saved, slices, span_hashes
+from quantloom.llm.common import SAME, SPACE, Words, column, documents, dropped, mix, raw, saved, slices, span_hashes
 
 ORDER = 4
-SIGNS = 48
+SIGNS = 257
+BUCKET_BYTES = 1 << 24
 LOWER_SPREADS = 6.0
 UPPER_SPREADS = 6.0
 SHORT = 500.0
@@ -39,28 +42,13 @@ MIN_WORDS = 50
 STEP_BYTES = 1 << 22
 
 
-def alphabet() -> np.ndarray:
-    code = np.zeros(256, np.int64)
-    code[128:] = 32 + (np.arange(128) % 16)
-    code[:128] = 31
-    code[np.arange(97, 123)] = np.arange(1, 27)
-    code[65:91] = 27
-    code[48:58] = 28
-    code[[32, 9, 11, 12, 13]] = 29
-    code[10] = 30
-    for i, marks in enumerate((b".", b",", b"!?", b"#*$%&|<>")):
-        code[list(marks)] = 44 + i
-    return code
-
-
-ALPHABET = alphabet()
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
 
 def grams(buf: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Packed 4-grams that end at bytes ``lo`` to ``hi`` of consecutive texts."""
-    sign = ALPHABET[buf[max(0, lo - ORDER + 1):hi]]
+    """Packed grams of the top order that end at bytes ``lo`` to ``hi`` of consecutive texts."""
+    sign = buf[max(0, lo - ORDER + 1):hi].astype(np.int64) + 1
     sign = np.concatenate([np.zeros(ORDER - 1 - min(lo, ORDER - 1), np.int64), sign])
     n = hi - lo
     out = sign[ORDER - 1:].copy()
@@ -74,26 +62,59 @@ def grams(buf: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return out
 
 
-def counted(batches):
-    total = np.zeros(SIGNS ** ORDER, np.int64)
-    for batch in batches:
-        buf, offsets = raw(column(batch, "text"))
-        for lo in range(0, len(buf), STEP_BYTES):
-            total += np.bincount(grams(buf, offsets, lo, min(len(buf), lo + STEP_BYTES)), minlength=len(total))
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["gram", "n"])
+def added(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(gram, kind="stable")
+    keys, first = np.unique(gram[order], return_index=True)
+    return keys, np.add.reduceat(n[order], first) if len(keys) else n
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    return docs.select("text").mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def counted(bucket, table):
+    """The distinct grams of a bucket's texts, sorted, with their counts."""
+    gram, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in table.to_batches():
+        buf, offsets = raw(column(batch, "text"))
+        for lo in range(0, len(buf), STEP_BYTES):
+            more, k = np.unique(grams(buf, offsets, lo, min(len(buf), lo + STEP_BYTES)), return_counts=True)
+            gram, n = added(np.append(gram, more), np.append(n, k))
+    return pa.table({"bucket": pa.array(np.full(len(gram), bucket[0].as_py()), pa.int64()), "gram": pa.array(gram), "n": pa.array(n)})
+
+
+def discounts(few) -> list[float]:
+    """Discounts of grams counted 0, 1, 2 and 3 or more times, from the numbers of grams counted 1 to 4 times."""
+    y = few[0] / max(1, few[0] + 2 * few[1])
+    return [0.0] + [min(i, max(0.0, i - (i + 1) * y * few[i] / max(1, few[i - 1]))) if few[0] and few[1] else 0.5 for i in (1, 2, 3)]
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(gram, logp) of every counted gram (gram, n) of the top order: log2 probability of its last sign after the others."""
+    levels = [counts]
+    for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct signs seen before
+        levels.insert(0, saved(levels[0].groupBy((F.col("gram") % SIGNS ** k).alias("gram")).agg(F.count("*").alias("n"))))
+    rare = None
+    for k, level in enumerate(levels):
+        part = level.where("n <= 4").groupBy("n").agg(F.count("*").alias("grams")).select(F.lit(k).alias("k"), "n", "grams")
+        rare = part if rare is None else rare.unionByName(part)
+    few = {(r["k"], r["n"]): r["grams"] for r in rare.collect()}  # four numbers an order
+    lower = None
+    for k, level in enumerate(levels):
+        _, one, two, more = discounts([few.get((k, i), 0) for i in (1, 2, 3, 4)])
+        context = Window.partitionBy("context")
+        d = level.select("gram", "n", F.expr(f"gram div {SIGNS}").alias("context"), F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more).alias("off"))
+        d = d.withColumns({"total": F.sum("n").over(context), "kept": F.sum("off").over(context)})
+        if lower is None:
+            d = d.withColumn("base", F.lit(1.0 / SIGNS))
+        else:
+            d = d.withColumn("suffix", F.col("gram") % SIGNS ** k).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("base")), "suffix")
+        lower = d.select("gram", ((F.col("n") - F.col("off") + F.col("kept") * F.col("base")) / F.col("total")).alias("p"))
+    return lower.select("gram", F.log2("p").cast("float").alias("logp"))
 
 
 @dataclass
 class KneserNey:
-    """Per order, from one sign up: sorted keys with log2 probabilities, sorted contexts with log2 back-off weights."""
+    """The same model from counts in one process, for few texts: per order, from one sign up, sorted keys with probabilities, sorted contexts with back-off weights."""
 
     keys: list[np.ndarray]
-    logp: list[np.ndarray]
+    p: list[np.ndarray]
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
 
@@ -101,38 +122,30 @@ class KneserNey:
     def fit(cls, gram: np.ndarray, n: np.ndarray) -> KneserNey:
         order = np.argsort(gram)
         tables = [(gram[order], n[order])]
-        for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct signs seen before
+        for k in range(ORDER - 1, 0, -1):
             tables.append(np.unique(tables[-1][0] % SIGNS ** k, return_counts=True))
         model = cls([], [], [], [])
-        lower = np.full(1, 1.0 / SIGNS)
         for k, (keys, c) in enumerate(reversed(tables), start=1):
-            few = [int((c == i).sum()) for i in (1, 2, 3, 4)]
-            y = few[0] / max(1, few[0] + 2 * few[1])
-            discount = np.array([0.0] + [min(i, max(0.0, i - (i + 1) * y * few[i] / max(1, few[i - 1]))) if few[0] and few[1] else 0.5 for i in (1, 2, 3)])
-            off = discount[np.minimum(c, 3)]
+            off = np.array(discounts([int((c == i).sum()) for i in (1, 2, 3, 4)]))[np.minimum(c, 3)]
             context, start = np.unique(keys // SIGNS, return_index=True)
             total, kept = np.add.reduceat(c, start), np.add.reduceat(off, start)
-            weight = kept / total
             group = np.repeat(np.arange(len(context)), np.diff(np.append(start, len(keys))))
-            base = lower[0] if k == 1 else lower[np.searchsorted(model.keys[-1], keys % SIGNS ** (k - 1))]
-            p = (c - off) / total[group] + weight[group] * base
+            base = 1.0 / SIGNS if k == 1 else model.p[-1][np.searchsorted(model.keys[-1], keys % SIGNS ** (k - 1))]
             model.keys.append(keys)
-            model.logp.append(np.log2(p).astype(np.float32))
+            model.p.append((c - off + kept[group] * base) / total[group])
             model.contexts.append(context)
-            model.backoff.append(np.log2(np.maximum(weight, 1e-12)).astype(np.float32))
-            lower = p
+            model.backoff.append(kept / total)
         return model
 
     def dense(self) -> np.ndarray:
-        """Log2 probabilities of all possible grams of the top order, for lookups without a search."""
-        table = np.full(1, -np.log2(SIGNS), np.float32)
+        """Log2 probabilities of every sign after every seen context of the top order."""
+        table = np.full((1, SIGNS), 1.0 / SIGNS)
         for k in range(1, ORDER + 1):
-            weight = np.zeros(SIGNS ** (k - 1), np.float32)
-            weight[self.contexts[k - 1]] = self.backoff[k - 1]
-            suffix = np.tile(table, SIGNS) if k > 1 else np.repeat(table, SIGNS)
-            table = suffix + np.repeat(weight, SIGNS)
-            table[self.keys[k - 1]] = self.logp[k - 1]
-        return table
+            context = self.contexts[k - 1]
+            suffix = np.searchsorted(self.contexts[k - 2], context % SIGNS ** (k - 2)) if k > 1 else np.zeros(1, np.int64)
+            table = table[suffix] * self.backoff[k - 1][:, None]
+            table[np.searchsorted(context, self.keys[k - 1] // SIGNS), self.keys[k - 1] % SIGNS] = self.p[k - 1]
+        return np.log2(table)
 
 
 def repeated_words(words: Words) -> np.ndarray:
@@ -191,10 +204,16 @@ def duplicate_lines(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(doc[order[same]], minlength=rows)
 
 
-def measures(model):
-    def run(batches):
-        table = model.value.dense()
-        for batch in batches:
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double, n_bytes long, sketch long"
+
+
+def measures(kind: pa.Schema):
+    def run(texts, found):
+        gram, logp = (found.column(c).to_numpy() for c in ("gram", "logp"))
+        order = np.argsort(gram)
+        gram, logp = gram[order], logp[order]
+        out = []
+        for batch in texts.to_batches():
             buf, offsets = raw(column(batch, "text"))
             for a, b in slices(offsets):
                 part, at = buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
@@ -202,30 +221,38 @@ def measures(model):
                 total = np.zeros(b - a)
                 for lo in range(0, len(part), STEP_BYTES):
                     hi = min(len(part), lo + STEP_BYTES)
-                    sums = np.append(0.0, np.cumsum(table[grams(part, at, lo, hi)], dtype=np.float64))
+                    sums = np.append(0.0, np.cumsum(logp[np.searchsorted(gram, grams(part, at, lo, hi))], dtype=np.float64))
                     total += np.diff(sums[np.clip(at, lo, hi) - lo])
                 size = np.diff(at)
                 counts = [np.diff(np.append(0, np.cumsum(x))[at]) for x in (~SPACE[part] & ((part & 0xC0) != 0x80), SYMBOL[part])]
                 bits = np.divide(-total, size, out=np.full(b - a, np.nan), where=size > 0)
-                yield pa.RecordBatch.from_arrays([
-                    *(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(np.diff(words.offsets)), *map(pa.array, counts), pa.array(duplicate_lines(part, at)),
-                    pa.array(repeated_words(words)), pa.array(bits, from_pandas=True), pa.array(size), pa.array(sketches(words))],
-                    [*batch.schema.names[:-1], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits", "n_bytes", "sketch"])
+                out.append(pa.RecordBatch.from_arrays([
+                    *(batch.column(c).slice(a, b - a) for c in ("doc_id", "mark", "lang")), pa.array(np.diff(words.offsets)), *map(pa.array, counts), pa.array(duplicate_lines(part, at)),
+                    pa.array(repeated_words(words)), pa.array(bits, from_pandas=True), pa.array(size), pa.array(sketches(words))], kind.names).cast(kind))
+        return pa.Table.from_batches(out, kind)
     return run
 
 
-def fit(docs: DataFrame) -> KneserNey:
-    """The model of all texts; at most ``SIGNS`` to the power ``ORDER`` counts come to the driver."""
-    table = gram_counts(docs).toArrow()
-    return KneserNey.fit(table["gram"].to_numpy(), table["n"].to_numpy())
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash of the text, lang, base counts and bits a byte under the model of all texts, one row per input row."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+    texts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("bucket"), "doc_id", F.xxhash64("text").alias("mark"), "lang", "text")
+    held = saved(texts.select("bucket", "text").repartition(parts, "bucket").groupBy("bucket").applyInArrow(counted, "bucket long, gram long, n long"))
+    model = kneser_ney(saved(held.groupBy("gram").agg(F.sum("n").alias("n"))))
+    found = saved(held.select("bucket", "gram").join(model, "gram"))
+    dropped(held)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, lang string, {MEASURES}"
+    kind = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
+    grouped = [t.repartition(parts, "bucket").groupBy("bucket") for t in (texts, found)]
+    out = saved(grouped[0].cogroup(grouped[1]).applyInArrow(measures(kind), schema))
+    dropped(found)
+    return out
 
 
 def assess(docs: DataFrame, lower: float = LOWER_SPREADS, upper: float = UPPER_SPREADS, mark: bool = False) -> DataFrame:
     """Base counts, perplexity per symbol, the band of the language and the verdict, one row per input row; ``mark`` adds a hash of the text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
-    rows = saved(docs.select("doc_id", F.xxhash64("text").alias("mark"), "lang", "text").mapInArrow(
-        measures(model), f"doc_id {kind}, mark long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double, n_bytes long, sketch long"))
+    rows = measured(docs)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     points = F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000)
     distinct = rows.where(~failed).groupBy("lang", "sketch").agg(F.min_by("bits", "mark").alias("bits"))
