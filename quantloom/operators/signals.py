@@ -21,6 +21,7 @@ from quantloom.functions.noise import uniform
 from quantloom.functions.rolling import rolling
 from quantloom.operators.features import days_since_extreme, ewmas, rolling_mad, rolling_vol
 from quantloom.operators.positions import position_mode, vol_target
+from quantloom.session import stored
 
 FAMILIES = ("AROON ATR_TRAILING_TREND BOLLINGER_BREAKOUT BOLLINGER_REVERT CCI DONCHIAN_BREAKOUT EWMA_CROSS KELTNER_BREAKOUT LAGGED_MOMENTUM MACD "
             "MA_CROSSOVER MOM_SKIP RANGE_OSCILLATOR ROC ROLLING_SHARPE_MOM RSI_MEANREVERT STOCHASTIC TS_MOMENTUM VOLMANAGED_MOMENTUM VOLTGT_MOMENTUM "
@@ -333,10 +334,9 @@ def null_baselines(df: DataFrame, signal: str = "signal", group: Sequence[str] =
     The shuffle pairs two keyed orders of the group, both numbered without sorting a group in one task.
     """
     from quantloom.operators.ranks import ordinal
-    d = df.withColumns({"_u": uniform("date", "symbol", seed=seed), "_u2": uniform("date", "symbol", seed=seed + 1)})
-    d = ordinal(d, "_u", "_ra", group, ("symbol",))
+    d = stored(df.withColumns({"_u": uniform("date", "symbol", seed=seed), "_u2": uniform("date", "symbol", seed=seed + 1)}))  # the ranks read it four times
     target = ordinal(d, "_u2", "_rb", group, ("symbol",)).select(*group, F.col("_rb").alias("_ra"), F.col(signal).alias("shuffled"))
-    out = d.join(target, [*group, "_ra"])
+    out = ordinal(d, "_u", "_ra", group, ("symbol",)).join(target, [*group, "_ra"])
     rnd = F.when(F.col("_u") < 0.5, -1.0).otherwise(1.0)
     return out.withColumns({"inverted": -F.col(signal), "always_long": F.lit(1.0), "always_short": F.lit(-1.0), "random_side": rnd,
                             "same_mask_random": F.when(F.col(signal) != 0, rnd).otherwise(0.0)}).drop("_u", "_u2", "_ra")
