@@ -19,6 +19,7 @@ from quantloom.functions.columns import (by, clip, col, div, full, iso_week, las
 from quantloom.functions.noise import gaussian
 from quantloom.functions.rolling import rolling, rolling_pairs
 from quantloom.operators.ranks import scaled_ranks, with_group_stats
+from quantloom.session import stored
 
 LN2 = math.log(2.0)
 
@@ -439,9 +440,14 @@ def noise_sentinel(panel: DataFrame, seed: int = 42, name: str = "noise_sentinel
     return panel.withColumn(name, gaussian("date", "symbol", seed=seed))
 
 
-def build_features(panel: DataFrame, universe: str = "in_index", seed: int = 42) -> DataFrame:
-    """The composed daily feature set: symbol windows first, then one date stage, ranks and noise."""
-    d = volume_liquidity(microstructure(volatility(returns_momentum(panel))))
-    d = market_regime(d)
-    d = scaled_ranks(d, ["log_return_20", "realized_vol_20", "volume_zscore_20d"], universe)
+def build_features(panel: DataFrame, universe: str = "in_index", seed: int = 42, columns: Sequence[str] | None = None) -> DataFrame:
+    """The composed daily feature set: symbol windows first, then one date stage, ranks and noise.
+
+    The ranks read the features three times, so these are written once; ``columns`` names the ones wanted beside the panel's own
+    and the ranked (all if None).
+    """
+    ranked = ["log_return_20", "realized_vol_20", "volume_zscore_20d"]
+    d = market_regime(volume_liquidity(microstructure(volatility(returns_momentum(panel)))))
+    d = stored(d if columns is None else d.select(*dict.fromkeys([*panel.columns, *ranked, *columns])))
+    d = scaled_ranks(d, ranked, universe)
     return noise_sentinel(d, seed)

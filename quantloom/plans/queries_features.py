@@ -9,8 +9,8 @@ from quantloom.operators import features as ft
 from quantloom.operators import ranks as rk
 from quantloom.plans.registry import query
 from quantloom.plans.sqltext import SOFAR, g, lr, prior, windows
-from quantloom.plans.views import bars, dividends, membership
-from quantloom.session import by_key
+from quantloom.plans.views import bars, dividends, membership, table
+from quantloom.session import by_key, stored
 
 R1 = f"r AS (SELECT *, {lr()} AS r1 FROM bars WINDOW wk AS (PARTITION BY symbol ORDER BY date))"
 
@@ -331,7 +331,8 @@ FROM a LEFT JOIN k ON a.symbol = k.symbol AND a.date = k.date""",
        "log_return_20 realized_vol_20 cross_sectional_dispersion rank_log_return_20 rank_realized_vol_20 rank_volume_zscore_20d noise_sentinel")
 def composed_features(spark, sf):
     b = bars(spark, sf).join(membership(spark, sf), ["symbol", "date"], "left").withColumn("in_index", F.coalesce("in_index", F.lit(False)))
-    d = ft.build_features(b)
+    b = by_key(stored(b), table(spark, sf, "lineitem"), "symbol")  # the windows and the date stage read it
+    d = ft.build_features(b, columns=["cross_sectional_dispersion"])
     return d.select("symbol", "date", "in_index", "log_return_20", "realized_vol_20", "cross_sectional_dispersion", "rank_log_return_20",
                     "rank_realized_vol_20", "rank_volume_zscore_20d", "noise_sentinel")
 

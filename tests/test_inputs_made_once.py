@@ -4,6 +4,6 @@ import pytest
 from test_plans import plan
 
 
-@pytest.mark.parametrize("name", ["null_baselines", "book_backtest", "sensitivity_audit"])
+@pytest.mark.parametrize("name", ["null_baselines", "book_backtest", "sensitivity_audit", "composed_features"])
 def test_bars_are_made_once(spark, sf, name):
     assert "l_extendedprice" not in plan(spark, sf, name)
