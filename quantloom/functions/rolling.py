@@ -1,65 +1,117 @@
-"""Rolling moments in linear time.
+"""Rolling moments over windows that are put together from shorter ones.
 
-A sliding row frame is evaluated from scratch for every row, so a 252-row standard deviation costs 252 updates per row.  Here a
-series is cut into blocks of n rows: the last n rows are the end of one block and the start of the next.  Moments from the start of a
-block on, and back from its end, run along with the rows, and the two states (count, mean, centred sums) merge exactly.  A value
-leaves the result with its row, however large it was.
+A sliding row frame is evaluated from scratch for every row, so a 252-row standard deviation costs 252 updates per row.  Here the moments of
+short windows are taken once and lagged: 60 rows are three windows of 20 rows side by side, 120 rows two of 60.  Every step is a lag in the one order
+of the series, so nothing is sorted again, and the parts (count, sum, mean, centred sums, extremes) merge exactly.  A value leaves the result with
+its row, however large it was.
 
 Nulls are skipped.  NaN and infinity behave as in a plain frame at every length: windows that hold them show them, later windows do not.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
-from quantloom.functions.columns import by, col, div, full, last_rows
+from quantloom.functions.columns import by, col, full, last_rows
 
-SHORT_FRAME = 32  # up to here a plain frame is as fast; results are the same
+SHORT_FRAME = 32  # a column whose windows are no longer than this keeps plain frames; results are the same
+PIECES = 4  # of one window; more are avoided by a window of a quarter of its rows
 _DIRECT = {"sum": F.sum, "avg": F.avg, "std": F.stddev_samp, "var": F.var_samp, "max": F.max, "min": F.min}
+_FIELDS = {"sum": ("s",), "avg": ("s",), "std": ("mx", "xx"), "var": ("mx", "xx"), "max": ("hi",), "min": ("lo",)}
+_PAIR = ("mx", "my", "xx", "yy", "xy")
 Spec = tuple[str, str, int]
+Pair = tuple[str, str, Sequence[int], int]
 
 
-def _state(x: Column, y: Column | None, frame: WindowSpec) -> Column:
-    """Count, sum, means and centred sums of one column, or of the rows where both of two are set."""
-    n = F.count(x).over(frame)
-    parts = {"n": n, "sum": F.sum(x).over(frame), "mx": F.avg(x).over(frame), "xx": F.var_pop(x).over(frame) * n}
-    if y is not None:
-        parts |= {"my": F.avg(y).over(frame), "yy": F.var_pop(y).over(frame) * n, "xy": F.covar_pop(x, y).over(frame) * n}
-    return F.struct(*[e.alias(k) for k, e in parts.items()])
+def window_parts(sizes: Iterable[int]) -> dict[int, list[int]]:
+    """For each length, in the order of building, the shorter lengths that stand side by side in it; 1 is the row itself."""
+    parts: dict[int, list[int]] = {1: []}
 
+    def fewest(n: int) -> list[int]:
+        best: list[list[int]] = [[]]
+        for k in range(1, n + 1):
+            best.append(min(([b, *best[k - b]] for b in parts if b <= k), key=len))
+        return sorted(best[n], reverse=True)
 
-def _merged(a: Column, b: Column, pair: bool) -> dict[str, Column]:
-    """The state of two adjacent stretches; either may be empty."""
-    na, nb = (F.coalesce(s["n"], F.lit(0)).cast("double") for s in (a, b))
-    n = na + nb
-    only = F.when(na == 0, b).when(nb == 0, a)
+    def build(n: int) -> None:
+        if n in parts:
+            return
+        if len(fewest(n)) > PIECES:
+            build(-(-n // 4))
+        parts[n] = fewest(n)
 
-    def mean(m: str) -> Column:
-        return F.when(a[m] == b[m], a[m]).otherwise((na * a[m] + nb * b[m]) / n)
+    for n in sorted(set(sizes)):
+        build(n)
+    return parts
 
-    def centred(s: str, u: str, v: str) -> Column:
-        return F.coalesce(only[s], a[s] + b[s] + (b[u] - a[u]) * (b[v] - a[v]) * (na * nb / n))
 
-    out = {"n": n, "sum": F.coalesce(only["sum"], a["sum"] + b["sum"]), "mx": F.coalesce(only["mx"], mean("mx")), "xx": centred("xx", "mx", "mx")}
-    return out | ({"yy": centred("yy", "my", "my"), "xy": centred("xy", "mx", "my")} if pair else {})
+_EMPTY = {"hi": float("-inf"), "lo": float("inf")}  # of a window without values; all other fields start at 0
 
 
-def _blocked(df: DataFrame, columns: dict[str, tuple[Column, Column | None]], sizes: Sequence[int], key: Sequence[str], time: Sequence[str]) -> tuple[DataFrame, dict]:
-    """``df`` with helper columns, and for each (name, size) the state of the last ``size`` rows."""
-    d = df.withColumn("_row", F.row_number().over(by(key, time)) - 1)
-    order = Window.partitionBy(*key).orderBy("_row")
-    for n in sizes:
-        d = d.withColumn(f"_block_{n}", F.floor(F.col("_row") / n))
-        block = Window.partitionBy(*key, f"_block_{n}")
-        for side, w in (("a", block.orderBy("_row")), ("b", block.orderBy(F.desc("_row")))):
-            frame = w.rowsBetween(Window.unboundedPreceding, 0)
-            d = d.withColumns({f"_{side}_{c}_{n}": _state(x, y, frame) for c, (x, y) in columns.items()})
-    d = d.withColumns({f"_b_{c}_{n}": F.when((F.col("_row") + 1) % n != 0, F.lag(f"_b_{c}_{n}", n - 1).over(order)) for c in columns for n in sizes})
-    return d, {(c, n): _merged(F.col(f"_b_{c}_{n}"), F.col(f"_a_{c}_{n}"), y is not None) for c, (_, y) in columns.items() for n in sizes}
+def _own(x: Column, y: Column | None, fields: set[str]) -> dict[str, Column]:
+    """State of a single row; no field is null, which halves the generated code."""
+    values = {"n": F.when(x.isNotNull(), 1.0).otherwise(0.0), "s": x, "mx": x, "xx": x - x, "hi": x, "lo": x}
+    if y is not None:
+        values |= {"my": y, "yy": y - y, "xy": (x - x) * (y - y)}
+    return {f: F.coalesce(values[f], F.lit(_EMPTY.get(f, 0.0))) for f in fields}
+
+
+def _merged(name: str, n: int, at: dict[str, list[Column]]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Fields of the window of ``n`` rows from those of its parts, and those that need its means first."""
+    first, second = {}, {}
+    total = lambda es: sum(es[1:], es[0])
+    mean = lambda f: F.col(f"_{name}_{f}_{n}")
+    count = total(at["n"])
+    for f, es in at.items():
+        if f in ("n", "s"):
+            first[f] = total(es)
+        elif f in ("hi", "lo"):
+            first[f] = (F.greatest if f == "hi" else F.least)(*es)
+        elif f in ("mx", "my"):
+            base = es[-1]  # the mean of a part that has values, so equal means stay as they are
+            for k, e in list(zip(at["n"], es))[-2::-1]:
+                base = F.when(k > 0, e).otherwise(base)
+            first[f] = F.when(count > 0, base + total([k * (e - base) for k, e in zip(at["n"], es)]) / F.greatest(count, F.lit(1.0))).otherwise(0.0)
+        else:
+            u, v = {"xx": ("mx", "mx"), "yy": ("my", "my"), "xy": ("mx", "my")}[f]
+            second[f] = total([e + k * (a - mean(u)) * (b - mean(v)) for e, k, a, b in zip(es, at["n"], at[u], at[v])])
+    return tuple({f"_{name}_{f}_{n}": e for f, e in d.items()} for d in (first, second))
+
+
+def _states(df: DataFrame, series: dict[str, tuple[Column, Column | None, set[str], set[int]]], key: Sequence[str], time: Sequence[str]) -> DataFrame:
+    """``df`` with ``_<name>_<field>_<rows>`` for the lengths each series asks for and those they are put together from."""
+    parts = window_parts(n for *_, sizes in series.values() for n in sizes)
+    needed: dict[int, list[str]] = {n: [] for n in parts}
+    for name, (_, _, _, sizes) in series.items():
+        todo = list(sizes)
+        while todo:
+            n = todo.pop()
+            if name not in needed[n]:
+                needed[n].append(name)
+                todo += parts[n]
+    d = df.withColumns({f"_{c}_{f}_1": e for c, (x, y, fields, _) in series.items() for f, e in _own(x, y, fields).items()})
+    w = by(key, time)
+    depth = {1: 0}
+    for n, pieces in parts.items():
+        depth.setdefault(n, 1 + max((depth[b] for b in pieces), default=0))
+    for level in range(1, max(depth.values()) + 1):
+        lags, first, second = {}, {}, {}
+        for n in (n for n in parts if depth[n] == level):
+            for c in needed[n]:
+                at = {f: [F.col(f"_{c}_{f}_{parts[n][0]}")] for f in series[c][2]}
+                for i in range(1, len(parts[n])):
+                    for f, es in at.items():
+                        lags[f"_{c}_{f}_{n}_{i}"] = F.lag(f"_{c}_{f}_{parts[n][i]}", sum(parts[n][:i]), _EMPTY.get(f, 0.0)).over(w)
+                        es.append(F.col(f"_{c}_{f}_{n}_{i}"))
+                sums, centred = _merged(c, n, at)
+                first |= sums
+                second |= centred
+        d = d.withColumns(lags).withColumns(first)
+        d = d.withColumns(second) if second else d
+    return d
 
 
 def _clean(d: DataFrame, df: DataFrame, added: Sequence[str]) -> DataFrame:
@@ -67,39 +119,44 @@ def _clean(d: DataFrame, df: DataFrame, added: Sequence[str]) -> DataFrame:
 
 
 def rolling(df: DataFrame, specs: dict[str, Spec], key: Sequence[str] = ("symbol",), time: Sequence[str] = ("date",),
-            least: int | None = None) -> DataFrame:
-    """Add ``name: (sum|avg|std|var|max|min, column, rows)``; null until ``least`` (default rows) non-null values."""
-    long = {k: s for k, s in specs.items() if s[2] > SHORT_FRAME and s[0] not in ("max", "min")}
-    columns = {f"c{i}": x for i, x in enumerate(sorted({s[1] for s in long.values()}))}
-    place = {x: c for c, x in columns.items()}
-    d, states = df, {}
-    if long:
-        d, states = _blocked(df, {c: (col(x).cast("double"), None) for c, x in columns.items()}, sorted({s[2] for s in long.values()}), key, time)
+            least: int | None = None, pairs: dict[str, Pair] | None = None) -> DataFrame:
+    """Add ``name: (sum|avg|std|var|max|min, column, rows)``; null until ``least`` (default rows) non-null values.
+
+    ``pairs`` adds ``prefix: (x, y, sizes, shift)`` as :func:`rolling_pairs` does, in the same steps.
+    """
+    lengths = {x: {s[2] for s in specs.values() if s[1] == x} for x in {s[1] for s in specs.values()}}
+    place = {x: f"c{i}" for i, x in enumerate(sorted(x for x, sizes in lengths.items() if max(sizes) > SHORT_FRAME))}
+    series: dict[str, tuple[Column, Column | None, set[str], set[int]]] = {}
+    for x, c in place.items():
+        series[c] = col(x).cast("double"), None, {"n"}.union(*(_FIELDS[s[0]] for s in specs.values() if s[1] == x)), lengths[x]
+    for i, (x, y, sizes, _) in enumerate((pairs or {}).values()):
+        both = col(x).isNotNull() & col(y).isNotNull()
+        series[f"p{i}"] = F.when(both, col(x).cast("double")), F.when(both, col(y).cast("double")), {"n", *_PAIR}, set(sizes)
+    d = _states(df, series, key, time) if series else df
     out: dict[str, Column] = {}
     for name, (fn, x, n) in specs.items():
-        if name not in long:
+        if x not in place:
             out[name] = full(n, _DIRECT[fn](col(x)), x, last_rows(n, key, time), least)
             continue
-        s = states[place[x], n]
-        var = div(s["xx"], s["n"] - 1)
-        value = {"sum": s["sum"], "avg": s["mx"], "var": var, "std": F.sqrt(var)}[fn]
-        out[name] = F.when(s["n"] >= (n if least is None else least), value)
-    return _clean(d.withColumns(out), df, list(out)) if long else d.withColumns(out)
+        count, total, xx, hi, lo = (F.col(f"_{place[x]}_{f}_{n}") for f in ("n", "s", "xx", "hi", "lo"))
+        # a full window holds n values, whatever it lacks makes it null
+        var = xx / float(n - 1) if least is None and n > 1 else F.when(count > 1, xx / F.greatest(count - 1, F.lit(1.0)))
+        value = {"sum": total, "avg": total / (float(n) if least is None else F.greatest(count, F.lit(1.0))), "var": var, "std": F.sqrt(var), "max": hi, "min": lo}[fn]
+        out[name] = F.when(count >= (n if least is None else max(least, 1)), value)
+    late: dict[str, Column] = {}
+    for i, (prefix, (_, _, sizes, shift)) in enumerate((pairs or {}).items()):
+        for n in sizes:
+            count, *moments = (F.col(f"_p{i}_{f}_{n}") for f in ("n", "xy", "xx", "yy"))
+            found = {f"{prefix}_n_{n}": count} | {f"{prefix}_{k}_{n}": F.when(count > 1, m / F.greatest(count - 1, F.lit(1.0))) for k, m in zip(("cov", "vx", "vy"), moments)}
+            out |= found
+            if shift:
+                late |= {c: F.lag(c, shift, *([0.0] if c == f"{prefix}_n_{n}" else [])).over(by(key, time)) for c in found}
+    d = d.withColumns(out)
+    d = d.withColumns(late) if late else d
+    return _clean(d, df, list(out)) if series else d
 
 
 def rolling_pairs(df: DataFrame, x: str, y: str, sizes: Sequence[int], key: Sequence[str] = ("symbol",), time: Sequence[str] = ("date",),
                   shift: int = 0, prefix: str = "_pair") -> DataFrame:
     """Joint rolling moments over rows t-n-shift+1 … t-shift: ``<prefix>_{n|cov|vx|vy}_<rows>`` (rows where both are set)."""
-    both = col(x).isNotNull() & col(y).isNotNull()
-    u, v = (F.when(both, col(c).cast("double")) for c in (x, y))
-    d, states = _blocked(df, {"p": (u, v)}, sorted(set(sizes)), key, time)
-    out = {}
-    for n in sizes:
-        s = states["p", n]
-        out |= {f"{prefix}_n_{n}": s["n"], **{f"{prefix}_{k}_{n}": div(s[m], s["n"] - 1) for k, m in (("cov", "xy"), ("vx", "xx"), ("vy", "yy"))}}
-    d = d.withColumns(out)
-    if shift:
-        order = Window.partitionBy(*key).orderBy("_row")
-        d = d.withColumns({c: F.lag(c, shift).over(order) for c in out})
-        d = d.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in out if c.startswith(f"{prefix}_n_")})
-    return _clean(d, df, list(out))
+    return rolling(df, {}, key, time, pairs={prefix: (x, y, sizes, shift)})

@@ -232,8 +232,7 @@ def trend_fingerprint(panel: DataFrame, windows: Sequence[int] = (20, 60, 120, 2
     w = by()
     d = panel.withColumns({"_t": F.row_number().over(w).cast("double"), "_lc": F.log("close"), "_r": F.coalesce(logret("close", 1, w), F.lit(0.0))})
     d = d.withColumn("_ar", F.abs("_r"))
-    d = rolling_pairs(d, "_t", "_lc", windows)
-    d = rolling(d, {f"_sd{n}": ("std", "_r", n) for n in windows} | {f"_mx{n}": ("max", "_ar", n) for n in windows})
+    d = rolling(d, {f"_sd{n}": ("std", "_r", n) for n in windows} | {f"_mx{n}": ("max", "_ar", n) for n in windows}, pairs={"_pair": ("_t", "_lc", windows, 0)})
     for n in windows:
         ready = F.col(f"_pair_n_{n}") >= n
         tss = n * (n * n - 1) / 12.0 / (n - 1)
