@@ -186,27 +186,32 @@ def characteristics(panel: DataFrame) -> DataFrame:
     """The nineteen price and volume characteristics of the cross-sectional model."""
     d = panel.withColumns({"log_ret": logret("close", 1, by()), "dollar_volume": F.col("close") * F.col("volume"),
                            "_loc": (F.col("close") - F.col("low")) / clip(F.col("high") - F.col("low"), 1e-9)})
-    d = rolling(d.withColumn("_ill", div(F.abs("log_ret"), "dollar_volume")), {
+    d = _with_market(d.withColumn("_ill", div(F.abs("log_ret"), "dollar_volume")))
+    d = rolling(d, {
         "momentum_1m": ("sum", "log_ret", 21), "momentum_3m": ("sum", "log_ret", 63), "momentum_6m": ("sum", "log_ret", 126),
         "_sum252": ("sum", "log_ret", 252), "reversal_5d": ("sum", "log_ret", 5), "realized_vol_20": ("std", "log_ret", 20),
         "realized_vol_60": ("std", "log_ret", 60), "dollar_volume_20d": ("avg", "dollar_volume", 20), "amihud_illiq_20": ("avg", "_ill", 20),
         "max_daily_return_20": ("max", "log_ret", 20), "_hi60": ("max", "close", 60), "_hi252": ("max", "close", 252),
-        "_va": ("avg", "volume", 20), "_vs": ("std", "volume", 20), "close_location_20": ("avg", "_loc", 20)})
+        "_va": ("avg", "volume", 20), "_vs": ("std", "volume", 20), "close_location_20": ("avg", "_loc", 20)}, pairs=_market_pairs(BETA_SPEC))
     d = d.withColumns({
         "momentum_12m_skip_1m": F.col("_sum252") - F.col("momentum_1m"), "reversal_1d": F.col("log_ret"), "reversal_1m": F.col("momentum_1m"),
         "drawdown_60": div("close", "_hi60") - 1.0, "drawdown_252": div("close", "_hi252") - 1.0,
         "volume_shock_zscore_20": div(F.col("volume") - F.col("_va"), "_vs")})
-    return market_beta(d.drop("_loc", "_ill", "_sum252", "_hi60", "_hi252", "_va", "_vs")).drop("mkt_ret")
+    return _betas(d.drop("_loc", "_ill", "_sum252", "_hi60", "_hi252", "_va", "_vs"), BETA_SPEC, 60).drop("mkt_ret")
 
 
-def market_beta(panel: DataFrame, spec: Sequence[tuple[int, int]] = ((60, 30), (252, 100)), idio: int = 60) -> DataFrame:
-    """Market beta over rows t-n … t-1 (at least ``least`` pairs, from row index n on) and idiosyncratic volatility.
+BETA_SPEC = ((60, 30), (252, 100))
 
-    The residual variance follows from the same moments: var(r) - beta * cov(r, m).
-    """
-    d = panel if "log_ret" in panel.columns else panel.withColumn("log_ret", logret("close", 1, by()))
-    d = with_group_stats(d, ["date"], calendar_sized=True, mkt_ret=F.avg("log_ret"))
-    d = rolling_pairs(d.withColumn("_i", F.row_number().over(by())), "log_ret", "mkt_ret", [n for n, _ in spec], shift=1)
+
+def _with_market(d: DataFrame) -> DataFrame:
+    return with_group_stats(d, ["date"], calendar_sized=True, mkt_ret=F.avg("log_ret")).withColumn("_i", F.row_number().over(by()))
+
+
+def _market_pairs(spec: Sequence[tuple[int, int]]) -> dict:
+    return {"_pair": ("log_ret", "mkt_ret", [n for n, _ in spec], 1)}
+
+
+def _betas(d: DataFrame, spec: Sequence[tuple[int, int]], idio: int) -> DataFrame:
     for n, least in spec:
         enough = (F.col(f"_pair_n_{n}") >= least) & (F.col("_i") > n)
         d = d.withColumn(f"beta_to_market_{n}", F.when(enough, div(f"_pair_cov_{n}", f"_pair_vy_{n}")))
@@ -216,6 +221,15 @@ def market_beta(panel: DataFrame, spec: Sequence[tuple[int, int]] = ((60, 30), (
     return d.drop("_i", *[c for c in d.columns if c.startswith("_pair_")])
 
 
+def market_beta(panel: DataFrame, spec: Sequence[tuple[int, int]] = BETA_SPEC, idio: int = 60) -> DataFrame:
+    """Market beta over rows t-n … t-1 (at least ``least`` pairs, from row index n on) and idiosyncratic volatility.
+
+    The residual variance follows from the same moments: var(r) - beta * cov(r, m).
+    """
+    d = panel if "log_ret" in panel.columns else panel.withColumn("log_ret", logret("close", 1, by()))
+    return _betas(rolling(_with_market(d), {}, pairs=_market_pairs(spec)), spec, idio)
+
+
 def rolling_index_beta(df: DataFrame, y: str, x: str, window: int, key: Sequence[str] = ("symbol",), time: Sequence[str] = ("date",)) -> DataFrame:
     """Population covariance over sample variance, both on full windows."""
     d = rolling_pairs(df, y, x, [window], key, time, prefix="_index")
