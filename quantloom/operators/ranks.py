@@ -76,16 +76,12 @@ def scaled_ranks(panel: DataFrame, columns: Sequence[str], universe: str, date:
                  symbol: str = "symbol") -> DataFrame:
     """Ranks scaled to [-0.5, 0.5] inside the universe, ``rank_<column>``; null when one name or fewer.
 
-    All columns are ranked in one pass over a narrow (date, symbol, column, value) table.
+    All columns are ranked in one pass over a narrow (date, symbol, column number, value) table.
     """
-    long = panel.filter(F.col(universe)).select(date, symbol, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("val")) for c in columns])).alias("kv")) \
-        .select(date, symbol, "kv.col", "kv.val")
+    long = panel.filter(F.col(universe)).select(date, symbol, F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("col", "val"))
     ranked = ordinal(long, "val", "_r", part=(date, "col"), ties=(symbol,), size="_cnt")
     scaled = F.when(F.col("val").isNotNull() & (F.col("_cnt") > 1), (F.col("_r") - 1.0) / (F.col("_cnt") - 1.0) - 0.5)
-    wide = ranked.withColumn("_s", scaled).groupBy(date, symbol).pivot("col", list(columns)).agg(F.first("_s"))
-    for c in columns:
-        wide = wide.withColumnRenamed(c, f"rank_{c}")
+    wide = ranked.withColumn("_s", scaled).groupBy(date, symbol).agg(*[F.max(F.when(F.col("col") == i, F.col("_s"))).alias(f"rank_{c}") for i, c in enumerate(columns)])
     return panel.join(wide, [date, symbol], "left")
 
 

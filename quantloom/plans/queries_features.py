@@ -9,7 +9,7 @@ from quantloom.operators import features as ft
 from quantloom.operators import ranks as rk
 from quantloom.plans.registry import query
 from quantloom.plans.sqltext import SOFAR, g, lr, prior, windows
-from quantloom.plans.views import bars, dividends, membership
+from quantloom.plans.views import bars, by_symbol, daily, dividends, membership
 from quantloom.session import by_key
 
 R1 = f"r AS (SELECT *, {lr()} AS r1 FROM bars WINDOW wk AS (PARTITION BY symbol ORDER BY date))"
@@ -330,8 +330,9 @@ SELECT a.symbol, a.date, a.in_index, log_return_20, realized_vol_20, cross_secti
 FROM a LEFT JOIN k ON a.symbol = k.symbol AND a.date = k.date""",
        "log_return_20 realized_vol_20 cross_sectional_dispersion rank_log_return_20 rank_realized_vol_20 rank_volume_zscore_20d noise_sentinel")
 def composed_features(spark, sf):
-    b = bars(spark, sf).join(membership(spark, sf), ["symbol", "date"], "left").withColumn("in_index", F.coalesce("in_index", F.lit(False)))
-    d = ft.build_features(b)
+    # joined as both sides are aggregated, then partitioned once for all windows by symbol
+    b = daily(spark, sf).join(membership(spark, sf), ["symbol", "date"], "left").withColumn("in_index", F.coalesce("in_index", F.lit(False)))
+    d = ft.build_features(by_symbol(b, sf))
     return d.select("symbol", "date", "in_index", "log_return_20", "realized_vol_20", "cross_sectional_dispersion", "rank_log_return_20",
                     "rank_realized_vol_20", "rank_volume_zscore_20d", "noise_sentinel")
 
