@@ -408,61 +408,77 @@ def permutation_p_value(best: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- correlation clusters
 
 TILE_ROWS = 16384
+OPEN_PAIRS = 1 << 16  # of one tile pair that are decided one by one
 
 
-def correlation_edges(returns: DataFrame, threshold: float = 0.9, tile: int | None = None) -> DataFrame:
+def correlation_edges(returns: DataFrame, threshold: float = 0.9, tile: int | None = None, open_pairs: int = OPEN_PAIRS) -> DataFrame:
     """Edges that span the |correlation| ≥ threshold graph: a spanning forest per tile pair, at most its rows less one.
 
-    Strategies travel as packed (date number, return) cells and are standardised in the task.  A pair of tiles is one task; every strategy
+    Strategies are standardised once and travel as single precision cells beside a bitmap of their dates.  A pair of tiles is one task; every strategy
     goes to as many tasks as there are tiles, so tiles are as large as a task holds (``TILE_ROWS``; two of them take 0.4 GB at 2500 dates),
-    or as small as gives every core a pair.  Products are screened in single precision; those its error leaves open are
-    decided in double precision.  Only spanning edges leave a task (never all pairs), so a large cluster of near-copies costs at most
-    one edge per row and tile pair.
+    or as small as gives every core a pair.  Products are screened in single precision; pairs its error leaves open are decided in double precision
+    in a second step, to which only they travel, or the whole tile pair where more than ``open_pairs`` are open.  Only spanning edges leave a task
+    (never all pairs), so a large cluster of near-copies costs at most one edge per row and tile pair.
     """
+    spark = returns.sparkSession
     dates = returns.select("date").distinct().withColumn("_i", F.row_number().over(W.orderBy("date")) - 1)  # calendar-sized
     total = dates.agg(F.count(F.lit(1)).alias("_n"))
     arr = returns.join(F.broadcast(dates.crossJoin(total)), "date").groupBy("strategy_id").agg(F.collect_list(F.struct("_i", "ret")).alias("cells"), F.max("_n").alias("_n"))
+    kind = dict(returns.dtypes)["strategy_id"]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"strategy_id": pdf["strategy_id"], "at": [np.asarray(v, dtype=np.int32).tobytes() for v in pdf["at"]],
-                                "ret": [np.asarray(v, dtype=float).tobytes() for v in pdf["ret"]], "_n": pdf["_n"]})
+            out = []
+            for key, at, ret, n in zip(pdf["strategy_id"], pdf["at"], pdf["ret"], pdf["_n"]):
+                z, on = np.zeros(n), np.zeros(n, bool)
+                z[at], on[at] = ret, True
+                x = z[on]
+                z -= z.mean()
+                norm = np.sqrt((z * z).sum())
+                z = z / norm if norm > 0 else np.zeros(n)
+                out.append((key, np.packbits(on).tobytes(), x.tobytes(), z[on].astype(np.float32).tobytes(), float(z[~on][0]) if not on.all() else 0.0, n))
+            yield pd.DataFrame(out, columns=["strategy_id", "at", "ret", "unit", "rest", "_n"])
 
     flat = arr.select("strategy_id", F.col("cells._i").alias("at"), F.col("cells.ret").alias("ret"), "_n")
-    packed = stored(flat.mapInPandas(pack, f"strategy_id {dict(returns.dtypes)['strategy_id']}, at binary, ret binary, _n long"))
-    n, cores = packed.count(), returns.sparkSession.sparkContext.defaultParallelism
+    packed = stored(flat.mapInPandas(pack, f"strategy_id {kind}, at binary, ret binary, unit binary, rest double, _n long"))
+    n, cores = packed.count(), spark.sparkContext.defaultParallelism
     if tile is None:
         tiles = max(math.ceil(n / TILE_ROWS), min(math.ceil(n / 256), math.ceil(math.sqrt(2 * cores))), 1)
     else:
         tiles = max(1, math.ceil(n / tile))
     # tiles by hash are near-even; the size only affects speed, every pair of strategies meets in one tile pair
-    a = packed.withColumn("_t", F.pmod(F.xxhash64("strategy_id"), F.lit(tiles)).cast("int"))
     others = F.sequence(F.lit(0), F.lit(tiles - 1))
-    a = a.withColumn("_o", F.explode(others)).withColumn("_p", F.least("_t", "_o")).withColumn("_q", F.greatest("_t", "_o")).drop("_o")
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q, dates_ = pdf["_p"].iloc[0], pdf["_q"].iloc[0], int(pdf["_n"].iloc[0])
-        ats, rets = pdf["at"].to_numpy(), pdf["ret"].to_numpy()
-
-        def standard(rows: np.ndarray) -> np.ndarray:
-            z = np.zeros((len(rows), dates_))
-            for k, r in enumerate(rows):
-                z[k, np.frombuffer(ats[r], dtype=np.int32)] = np.frombuffer(rets[r])
-            z -= z.mean(axis=1, keepdims=True)
-            norm = np.sqrt((z * z).sum(axis=1, keepdims=True))
-            return np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
-
-        def single(rows: np.ndarray) -> np.ndarray:
-            z = np.empty((len(rows), dates_), dtype=np.float32)
-            for k in range(0, len(rows), 256):
-                z[k:k + 256] = standard(rows[k:k + 256])
-            return z
 
-        ids, t = pdf["strategy_id"].to_numpy(dtype=object), pdf["_t"].to_numpy()
+    def tiled(*columns: str) -> DataFrame:
+        a = packed.select("strategy_id", "at", *columns, "_n", F.pmod(F.xxhash64("strategy_id"), F.lit(tiles)).cast("int").alias("_t"))
+        return a.withColumn("_o", F.explode(others)).withColumn("_p", F.least("_t", "_o")).withColumn("_q", F.greatest("_t", "_o")).drop("_o")
+
+    def dense(at: bytes, cells: np.ndarray, dates_: int, rest: float = 0.0) -> np.ndarray:
+        z = np.full(dates_, rest, cells.dtype)
+        z[np.unpackbits(np.frombuffer(at, np.uint8), count=dates_).view(bool)] = cells
+        return z
+
+    def standard(at: np.ndarray, ret: np.ndarray, dates_: int) -> np.ndarray:
+        z = np.array([dense(a, np.frombuffer(r), dates_) for a, r in zip(at, ret)]).reshape(len(at), dates_)
+        z -= z.mean(axis=1, keepdims=True)
+        norm = np.sqrt((z * z).sum(axis=1, keepdims=True))
+        return np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
+
+    def forest(pdf: pd.DataFrame, exact: bool) -> pd.DataFrame:
+        p, q, dates_ = int(pdf["_p"].iloc[0]), int(pdf["_q"].iloc[0]), int(pdf["_n"].iloc[0])
+        ids, t, ats = pdf["strategy_id"].to_numpy(dtype=object), pdf["_t"].to_numpy(), pdf["at"].to_numpy()
         left, right = np.where(t == p)[0], np.where(t == q)[0]
-        zr = single(right)
+
+        def rows(at: np.ndarray) -> np.ndarray:
+            if exact:
+                return standard(ats[at], pdf["ret"].to_numpy()[at], dates_)
+            units, rests, z = pdf["unit"].to_numpy(), pdf["rest"].to_numpy(), np.empty((len(at), dates_), np.float32)
+            for k, r in enumerate(at):
+                z[k] = dense(ats[r], np.frombuffer(units[r], np.float32), dates_, rests[r])
+            return z
+
         # a spanning forest of the tile pair's hits: rows that an edge joined carry one label
-        label, src, dst = np.arange(len(ids)), [], []
+        label, src, dst, open_ = np.arange(len(ids)), [], [], []
 
         def join(i: int, js: np.ndarray) -> None:
             other = label[js] != label[i]
@@ -471,22 +487,48 @@ def correlation_edges(returns: DataFrame, threshold: float = 0.9, tile: int | No
                 dst.append(ids[js[other][k]])
                 label[label == old] = label[i]
 
-        screen = (dates_ + 8) * 2.0 ** -23  # bounds the error of a single precision product of unit vectors
-        for k in range(0, len(left), 256):
-            zl = standard(left[k:k + 256])
-            near = np.abs(zl.astype(np.float32) @ zr.T)
-            for i, row, exact in zip(left[k:k + 256], near, zl):
-                join(i, right[row >= threshold + screen])
-                open_ = right[(row >= threshold - screen) & (row < threshold + screen)]
-                open_ = open_[label[open_] != label[i]]
-                if len(open_):
-                    join(i, open_[np.abs(standard(open_) @ exact) >= threshold - 1e-12])
-        return pd.DataFrame({"src": src, "dst": dst}, dtype=object)
+        screen = 1e-12 if exact else (dates_ + 8) * 2.0 ** -23  # bounds the error of a single precision product of unit vectors
+        step = 2048 if exact else len(right)  # double precision takes a part of the right tile at a time
+        for r in range(0, len(right), max(step, 1)):
+            part = right[r:r + step]
+            zr = rows(part)
+            for k in range(0, len(left), 256):
+                near = np.abs(rows(left[k:k + 256]) @ zr.T)
+                for i, row in zip(left[k:k + 256], near):
+                    join(i, part[row >= threshold + (-screen if exact else screen)])
+                    if not exact and len(open_) <= open_pairs:
+                        js = part[(row >= threshold - screen) & (row < threshold + screen)]
+                        open_ += [(i, j) for j in js[label[js] != label[i]][:open_pairs + 1]]
+        full = len(open_) > open_pairs
+        late = [] if full else [(i, j) for i, j in open_ if label[i] != label[j]]
+        n_open = len(late) + full
+        return pd.DataFrame({"src": pd.Series(src + [ids[i] for i, _ in late] + [None] * full, dtype=object), "dst": pd.Series(dst + [ids[j] for _, j in late] + [None] * full, dtype=object),
+                             "open": [False] * len(src) + [True] * n_open, "_p": p, "_q": q})
 
-    kind = dict(returns.dtypes)["strategy_id"]
     parts = max(cores, min(2 * tiles * (tiles + 1), 4096))
-    e = a.repartition(parts, "_p", "_q").groupBy("_p", "_q").applyInPandas(product, f"src {kind}, dst {kind}")
-    return e.filter("src <> dst").distinct()
+    edge = f"src {kind}, dst {kind}, open boolean, _p int, _q int"
+
+    def edges(a: DataFrame, exact: bool) -> DataFrame:
+        return a.repartition(parts, "_p", "_q").groupBy("_p", "_q").applyInPandas(lambda pdf: forest(pdf, exact), edge)
+
+    found = stored(edges(tiled("unit", "rest"), False).filter("open OR src <> dst"))
+    sure = found.filter("NOT open").select("src", "dst").distinct()
+    left_open = found.filter("open")
+    if left_open.isEmpty():
+        return sure
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            near = [abs(float((standard([a, c], [b, d], n)[0] * standard([a, c], [b, d], n)[1]).sum())) for a, b, c, d, n in zip(pdf["a"], pdf["b"], pdf["c"], pdf["d"], pdf["_n"])]
+            yield pdf.loc[np.array(near, dtype=float) >= threshold - 1e-12, ["src", "dst"]]
+
+    one = packed.select(F.col("strategy_id").alias("src"), F.col("at").alias("a"), F.col("ret").alias("b"), "_n")
+    two = packed.select(F.col("strategy_id").alias("dst"), F.col("at").alias("c"), F.col("ret").alias("d"))
+    single = left_open.filter("src IS NOT NULL").select("src", "dst").distinct().join(one, "src").join(two, "dst").mapInPandas(decide, f"src {kind}, dst {kind}")
+    whole = left_open.filter("src IS NULL").select("_p", "_q")
+    if not whole.isEmpty():
+        single = single.unionByName(edges(tiled("ret").join(F.broadcast(whole), ["_p", "_q"], "left_semi"), True).select("src", "dst"))
+    return sure.unionByName(single).filter("src <> dst").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
